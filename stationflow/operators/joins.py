@@ -1,0 +1,25 @@
+"""Join helpers shared by the operators.
+
+A side is broadcast only behind a row count that proves it small; otherwise
+the plan falls back to a shuffled join (and AQE may still pick a broadcast
+from runtime statistics).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Station dimensions: a city has hundreds of stations, a continent tens of thousands.
+# Above this bound the dimension is joined by shuffle instead.
+DIMENSION_BROADCAST_MAX_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows, else ``df``.
+
+    The check is a ``limit(max_rows + 1).count()``, which stops reading as soon
+    as the bound is exceeded.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
