@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ..functions import columns as C
-from ..operators import docks, status
+from ..operators import balance, docks, geo, metrics, status
 from . import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +209,202 @@ SELECT STATION_NAME, BROKEN_DOCKS FROM (
 )
 def q_broken_docks_list(spark: SparkSession, sf: str) -> DataFrame:
     return docks.broken_docks_list(docks.top_broken_docks(_broken(spark, sf)))
+
+
+# ---------------------------------------------------------------------------------------
+# Column library over the state
+# ---------------------------------------------------------------------------------------
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.station_features(_state(spark, sf))
+
+
+@query(
+    "station_features",
+    _WITH
+    + """
+SELECT STATION_ID, STATION_NAME, LAT, LON, CAPACITY, NUM_BIKES_AVAILABLE, NUM_DOCKS_AVAILABLE,
+       OCCUPATION_RATIO, CAPACITY AS TOTAL_CAPACITY, OCCUPATION_RATIO AS RATIO,
+       'Station ID: ' || coalesce(STATION_NAME, 'None') || ' - Bikes Available: '
+         || coalesce(CAST(NUM_BIKES_AVAILABLE AS VARCHAR), 'None') AS LABEL
+FROM state
+""",
+)
+def q_station_features(spark: SparkSession, sf: str) -> DataFrame:
+    f = _features(spark, sf)
+    return f.withColumn("LABEL", C.station_label("STATION_NAME", "NUM_BIKES_AVAILABLE"))
+
+
+_COLOR_SQL = """
+CASE WHEN r IS NULL OR isnan(r) THEN NULL
+     WHEN r >= 0.4e0 AND r <= 0.6e0 THEN '#00FF00'
+     WHEN r < 0.4e0 THEN printf('#%02x%02x%02x', 0,
+        least(greatest(CAST(trunc(255e0 * r / 0.4e0) AS INTEGER), 0), 255),
+        least(greatest(CAST(trunc(255e0 * (0.4e0 - r) / 0.4e0) AS INTEGER), 0), 255))
+     ELSE printf('#%02x%02x%02x',
+        least(greatest(CAST(trunc(255e0 * (r - 0.6e0) / 0.4e0) AS INTEGER), 0), 255),
+        least(greatest(CAST(trunc(255e0 * (1e0 - (r - 0.6e0) / 0.4e0)) AS INTEGER), 0), 255), 0)
+END"""
+
+
+@query(
+    "occupancy_color",
+    _WITH
+    + f"""
+SELECT STATION_ID, r AS RATIO, {_COLOR_SQL} AS COLOR
+FROM (SELECT STATION_ID, OCCUPATION_RATIO AS r FROM state)
+""",
+)
+def q_occupancy_color(spark: SparkSession, sf: str) -> DataFrame:
+    f = _features(spark, sf)
+    return f.select("STATION_ID", "RATIO", C.occupancy_color("RATIO").alias("COLOR"))
+
+
+_ENTROPY_SQL = """
+CASE WHEN r = 0 OR r = 1 THEN 0e0
+     WHEN r > 0 AND r < 1 THEN -r * log2(r) - (1e0 - r) * log2(1e0 - r) END"""
+
+
+@query(
+    "station_entropy",
+    _WITH
+    + f"""
+SELECT STATION_ID, round({_ENTROPY_SQL}, 12) AS ENTROPY
+FROM (SELECT STATION_ID, OCCUPATION_RATIO AS r FROM state)
+""",
+)
+def q_station_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    f = _features(spark, sf)
+    return f.select("STATION_ID", F.round(C.binary_entropy("RATIO"), 12).alias("ENTROPY"))
+
+
+@query(
+    "bike_need",
+    _WITH
+    + """
+SELECT STATION_ID, round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED,
+       round_even(CAPACITY * 0.5e0 - NUM_BIKES_AVAILABLE, 0) AS NEED_VISITED
+FROM state
+""",
+)
+def q_bike_need(spark: SparkSession, sf: str) -> DataFrame:
+    f = _features(spark, sf)
+    return f.select(
+        "STATION_ID",
+        C.bike_need("TOTAL_CAPACITY", "NUM_BIKES_AVAILABLE").alias("NEED"),
+        C.bike_need("TOTAL_CAPACITY", "NUM_BIKES_AVAILABLE", C.VISITED_TARGET).alias("NEED_VISITED"),
+    )
+
+
+@query(
+    "transfer_amounts",
+    _WITH
+    + """
+SELECT STATION_ID,
+       least(least(20e0, abs(NEED)), CAST(NUM_BIKES_AVAILABLE AS DOUBLE)) AS PICKUP_EMPTY_TRUCK,
+       least(least(10e0, abs(NEED)), CAST(NUM_BIKES_AVAILABLE AS DOUBLE)) AS PICKUP_HALF_TRUCK,
+       round_even(least(20e0, NEED, CAST(NUM_DOCKS_AVAILABLE AS DOUBLE)) / 1.7e0, 0) AS DROPOFF_FULL_TRUCK,
+       round_even(least(10e0, NEED, CAST(NUM_DOCKS_AVAILABLE AS DOUBLE)) / 1.7e0, 0) AS DROPOFF_HALF_TRUCK
+FROM (SELECT *, round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED FROM state)
+""",
+)
+def q_transfer_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    f = balance.with_need(_features(spark, sf))
+    return f.select(
+        "STATION_ID",
+        C.pickup_amount(F.lit(20), "NEED", "NUM_BIKES_AVAILABLE").alias("PICKUP_EMPTY_TRUCK"),
+        C.pickup_amount(F.lit(10), "NEED", "NUM_BIKES_AVAILABLE").alias("PICKUP_HALF_TRUCK"),
+        C.dropoff_amount(F.lit(20), "NEED", "NUM_DOCKS_AVAILABLE").alias("DROPOFF_FULL_TRUCK"),
+        C.dropoff_amount(F.lit(10), "NEED", "NUM_DOCKS_AVAILABLE").alias("DROPOFF_HALF_TRUCK"),
+    )
+
+
+@query(
+    "rebalance_candidates",
+    _WITH
+    + """
+SELECT STATION_ID, OCCUPATION_RATIO AS RATIO, NEED, NEED < 0 AS IS_SURPLUS
+FROM (SELECT *, round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED FROM state)
+WHERE OCCUPATION_RATIO > 0e0 OR OCCUPATION_RATIO < 0.1e0
+""",
+)
+def q_rebalance_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    f = balance.rebalance_candidates(balance.with_need(_features(spark, sf)))
+    return f.select("STATION_ID", "RATIO", "NEED", (F.col("NEED") < 0).alias("IS_SURPLUS"))
+
+
+@query(
+    "surplus_stations",
+    _WITH
+    + """
+SELECT STATION_ID, NEED
+FROM (SELECT *, round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED FROM state)
+WHERE (OCCUPATION_RATIO > 0e0 OR OCCUPATION_RATIO < 0.1e0) AND NEED < 0
+""",
+)
+def q_surplus_stations(spark: SparkSession, sf: str) -> DataFrame:
+    f = balance.surplus_stations(balance.rebalance_candidates(balance.with_need(_features(spark, sf))))
+    return f.select("STATION_ID", "NEED")
+
+
+@query(
+    "invalid_ratio",
+    _WITH
+    + """
+SELECT STATION_ID, NUM_BIKES_AVAILABLE, CAPACITY AS TOTAL_CAPACITY,
+       CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / CAST(CAPACITY AS DOUBLE) AS VISITED_RATIO
+FROM state
+WHERE CAPACITY <> 0 AND (CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / CAST(CAPACITY AS DOUBLE) < 0
+   OR CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / CAST(CAPACITY AS DOUBLE) > 1)
+""",
+)
+def q_invalid_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    f = balance.invalid_ratio(_features(spark, sf))
+    return f.select("STATION_ID", "NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY", "VISITED_RATIO")
+
+
+# ---------------------------------------------------------------------------------------
+# Metrics (E2, E3)
+# ---------------------------------------------------------------------------------------
+
+
+def _hist_sql(src: str, bins: int = 40) -> str:
+    """numpy-style equal-width histogram in SQL: guess, then correct against the edges."""
+    return f"""
+b AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5e0 ELSE min(x) END AS lo,
+             CASE WHEN min(x) = max(x) THEN max(x) + 0.5e0 ELSE max(x) END AS hi
+      FROM {src} WHERE x IS NOT NULL),
+g AS (SELECT x, lo, hi, (hi - lo) / {bins}e0 AS step,
+             least(CAST(trunc((x - lo) / (hi - lo) * {bins}e0) AS INTEGER), {bins - 1}) AS i0
+      FROM {src}, b WHERE x IS NOT NULL),
+g1 AS (SELECT *, CASE WHEN x < i0 * step + lo THEN i0 - 1 ELSE i0 END AS i1 FROM g),
+g2 AS (SELECT CASE WHEN x >= (CASE WHEN i1 + 1 = {bins} THEN hi ELSE (i1 + 1) * step + lo END)
+                    AND i1 <> {bins - 1} THEN i1 + 1 ELSE i1 END AS BIN FROM g1),
+c AS (SELECT BIN, count(*) AS n FROM g2 GROUP BY BIN),
+allb AS (SELECT CAST(range AS INTEGER) AS BIN FROM range({bins}))
+SELECT allb.BIN AS BIN, allb.BIN * ((hi - lo) / {bins}e0) + lo AS BIN_LO,
+       CASE WHEN allb.BIN + 1 = {bins} THEN hi ELSE (allb.BIN + 1) * ((hi - lo) / {bins}e0) + lo END AS BIN_HI,
+       coalesce(c.n, 0) AS COUNT
+FROM allb LEFT JOIN c ON allb.BIN = c.BIN, b
+"""
+
+
+@query(
+    "ratio_histogram",
+    _WITH + ", xs AS (SELECT OCCUPATION_RATIO AS x FROM state), " + _hist_sql("xs"),
+)
+def q_ratio_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.ratio_histogram(_features(spark, sf), "RATIO", 40)
+
+
+@query(
+    "visited_ratio_histogram",
+    _WITH
+    + """, xs AS (SELECT CASE WHEN CAPACITY <> 0 THEN
+            CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / CAST(CAPACITY AS DOUBLE) END AS x FROM state), """
+    + _hist_sql("xs"),
+)
+def q_visited_ratio_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    f = _features(spark, sf)
+    return metrics.ratio_histogram(f, C.visited_ratio("NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY"), 40)
