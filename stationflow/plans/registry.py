@@ -15,6 +15,10 @@ from pyspark.sql.types import DecimalType
 
 from ..functions import columns as C
 from ..operators import balance, docks, geo, metrics, status
+from ..operators.joins import bounded_broadcast
+from ..session import scratch_path
+from ..sources import readers, sinks
+from ..streaming.state import StateStore, refresh_state, start_state_refresh
 from . import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,3 +412,264 @@ def q_ratio_histogram(spark: SparkSession, sf: str) -> DataFrame:
 def q_visited_ratio_histogram(spark: SparkSession, sf: str) -> DataFrame:
     f = _features(spark, sf)
     return metrics.ratio_histogram(f, C.visited_ratio("NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY"), 40)
+
+
+# ---------------------------------------------------------------------------------------
+# Geography
+# ---------------------------------------------------------------------------------------
+
+# Query parameters: pair radius in metres, degree radius, grid cell of the area means.
+PAIR_RADIUS_M = 1500.0
+DEGREE_RADIUS = 0.01
+AREA_CELL_DEG = 0.01
+
+_POINTS_SQL = f"""
+WITH m AS ({S.MASTER_SQL}),
+p AS (SELECT STATION_ID AS id, CAST(LAT AS DOUBLE) AS lat, CAST(LON AS DOUBLE) AS lon FROM m)
+"""
+
+_HAVERSINE_SQL = f"""
+2e0 * {C.EARTH_RADIUS_M}e0 * asin(sqrt(
+  sin((radians(b.lat) - radians(a.lat)) / 2e0) * sin((radians(b.lat) - radians(a.lat)) / 2e0)
+  + cos(radians(a.lat)) * cos(radians(b.lat))
+    * sin((radians(b.lon) - radians(a.lon)) / 2e0) * sin((radians(b.lon) - radians(a.lon)) / 2e0)))"""
+
+_PAIRS_SQL = (
+    _POINTS_SQL
+    + f"""
+SELECT SRC_STATION_ID, TGT_STATION_ID, round(DISTANCE, 3) AS DISTANCE FROM (
+  SELECT a.id AS SRC_STATION_ID, b.id AS TGT_STATION_ID, {_HAVERSINE_SQL} AS DISTANCE
+  FROM p a JOIN p b ON a.id < b.id)
+WHERE DISTANCE <= {PAIR_RADIUS_M}e0
+"""
+)
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return geo.pairs_within(_master(spark, sf), PAIR_RADIUS_M)
+
+
+@query("station_pairs", _PAIRS_SQL)
+def q_station_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf).withColumn("DISTANCE", F.round("DISTANCE", 3))
+
+
+@query("materialised_pairs", _PAIRS_SQL)
+def q_materialised_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    stored = sinks.materialise(_pairs(spark, sf), scratch_path(spark, "pairs"))
+    return stored.withColumn("DISTANCE", F.round("DISTANCE", 3))
+
+
+@query(
+    "degree_pairs",
+    _POINTS_SQL
+    + f"""
+SELECT SRC_STATION_ID, TGT_STATION_ID, DISTANCE FROM (
+  SELECT a.id AS SRC_STATION_ID, b.id AS TGT_STATION_ID,
+         sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) AS DISTANCE
+  FROM p a JOIN p b ON a.id <> b.id)
+WHERE DISTANCE <= {DEGREE_RADIUS}e0
+""",
+)
+def q_degree_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return geo.degree_pairs_within(_master(spark, sf), DEGREE_RADIUS)
+
+
+@query(
+    "nearest_station",
+    _POINTS_SQL
+    + """
+SELECT a.id AS STATION_ID, b.id AS NEAREST_ID,
+       sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon)) AS DISTANCE
+FROM p a JOIN p b ON a.id <> b.id
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY DISTANCE, b.id) = 1
+""",
+)
+def q_nearest_station(spark: SparkSession, sf: str) -> DataFrame:
+    return geo.nearest_station(_master(spark, sf))
+
+
+@query(
+    "area_mean_ratio",
+    _WITH
+    + f"""
+, cells AS (
+  SELECT CAST(floor(LAT / {AREA_CELL_DEG}e0) AS BIGINT) AS CELL_LAT, CAST(floor(LON / {AREA_CELL_DEG}e0) AS BIGINT) AS CELL_LON,
+         count(w) AS N_STATIONS, coalesce(avg(w), 0e0) AS r
+  FROM (SELECT LAT, LON,
+          (CASE WHEN CAPACITY <> 0 THEN CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / CAST(CAPACITY AS DOUBLE) END + 2e0) - 2e0 AS w
+        FROM state WHERE LAT IS NOT NULL AND LON IS NOT NULL)
+  GROUP BY 1, 2)
+SELECT CELL_LAT, CELL_LON, N_STATIONS, round(r, 9) AS MEAN_RATIO, {_COLOR_SQL} AS COLOR FROM cells
+""",
+)
+def q_area_mean_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    f = _features(spark, sf).where(F.col("LAT").isNotNull() & F.col("LON").isNotNull())
+    f = f.withColumn("VISITED_RATIO", C.visited_ratio("NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY"))
+    out = geo.area_mean_ratio(f, AREA_CELL_DEG, "VISITED_RATIO")
+    return out.withColumn("MEAN_RATIO", F.round("MEAN_RATIO", 9))
+
+
+# ---------------------------------------------------------------------------------------
+# Rebalancing plan (H1-H7, D5): the greedy walk has no SQL twin (rows-only check)
+# ---------------------------------------------------------------------------------------
+
+
+def _zoned_features(spark: SparkSession, sf: str) -> DataFrame:
+    m = _master(spark, sf)
+    zones = bounded_broadcast(m.select("STATION_ID", "POST_CODE"))
+    return balance.station_features(status.current_state(_status(spark, sf), m, ("LAST_REPORTED", "EVENT_ID"))).join(
+        zones, "STATION_ID", "left"
+    )
+
+
+@query("plan_routes")
+def q_plan_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.plan_routes(_zoned_features(spark, sf), "POST_CODE")
+
+
+@query("apply_plan")
+def q_apply_plan(spark: SparkSession, sf: str) -> DataFrame:
+    f = _zoned_features(spark, sf).persist()
+    return balance.apply_plan(f, balance.plan_routes(f, "POST_CODE"))
+
+
+@query("route_legs")
+def q_route_legs(spark: SparkSession, sf: str) -> DataFrame:
+    f = _zoned_features(spark, sf)
+    return balance.route_legs(balance.plan_routes(f, "POST_CODE"), _master(spark, sf))
+
+
+@query("plan_entropy_report")
+def q_plan_entropy_report(spark: SparkSession, sf: str) -> DataFrame:
+    f = _zoned_features(spark, sf).persist()
+    applied = balance.apply_plan(f, balance.plan_routes(f, "POST_CODE"))
+    return metrics.entropy_report(applied, "INITIAL_RATIO", C.visited_ratio("NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY"))
+
+
+# ---------------------------------------------------------------------------------------
+# Incremental state
+# ---------------------------------------------------------------------------------------
+
+# The two arrival batches of the upsert keys: clicks and views land first, the
+# other event types later (so later arrivals can carry older LAST_REPORTED).
+FIRST_BATCH_TYPES = ("click", "view")
+
+_TWO_BATCH_SQL = (
+    _WITH
+    + """
+, first_batch AS (
+  SELECT * FROM enriched WHERE STATUS IN ('click', 'view') AND STATION_ID IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY STATION_ID ORDER BY LAST_REPORTED DESC, EVENT_ID DESC) = 1),
+second_batch AS (
+  SELECT * FROM enriched WHERE (STATUS NOT IN ('click', 'view') OR STATUS IS NULL) AND STATION_ID IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY STATION_ID ORDER BY LAST_REPORTED DESC, EVENT_ID DESC) = 1),
+merged AS (
+  SELECT * FROM second_batch
+  UNION ALL
+  SELECT * FROM first_batch WHERE STATION_ID NOT IN (SELECT STATION_ID FROM second_batch))
+"""
+)
+
+def _two_batches(spark: SparkSession, sf: str) -> tuple[StateStore, DataFrame, DataFrame]:
+    st = _status(spark, sf)
+    first = st.where(F.col("STATUS").isin(*FIRST_BATCH_TYPES))
+    second = st.where(~F.col("STATUS").isin(*FIRST_BATCH_TYPES) | F.col("STATUS").isNull())
+    return StateStore(spark, scratch_path(spark, "state")), first, second
+
+
+def _run_two_batches(spark: SparkSession, sf: str) -> StateStore:
+    store, first, second = _two_batches(spark, sf)
+    m = _master(spark, sf)
+    for batch_id, batch in enumerate((first, second)):
+        refresh_state(batch, batch_id, store, m, order_by=("LAST_REPORTED", "EVENT_ID"), order="arrival")
+    return store
+
+
+@query("upsert_two_batches", _TWO_BATCH_SQL + "SELECT " + ", ".join(STATE_OUT) + " FROM merged")
+def q_upsert_two_batches(spark: SparkSession, sf: str) -> DataFrame:
+    store = _run_two_batches(spark, sf)
+    return present(store.read().select(*STATE_OUT))
+
+
+@query(
+    "entropy_report",
+    _TWO_BATCH_SQL
+    + f"""
+, e AS (
+  SELECT sum(CASE WHEN v = 0 THEN ent END) AS b, sum(CASE WHEN v = 1 THEN ent END) AS a
+  FROM (SELECT v, {_ENTROPY_SQL} AS ent
+        FROM (SELECT 0 AS v, OCCUPATION_RATIO AS r FROM first_batch
+              UNION ALL SELECT 1 AS v, OCCUPATION_RATIO AS r FROM merged)))
+SELECT round(coalesce(b, 0), 4) AS INITIAL_ENTROPY, round(coalesce(a, 0), 4) AS FINAL_ENTROPY,
+       round(coalesce(a, 0) - coalesce(b, 0), 4) AS ENTROPY_GAIN
+FROM e
+""",
+)
+def q_entropy_report(spark: SparkSession, sf: str) -> DataFrame:
+    store = _run_two_batches(spark, sf)
+    before, after = store.read(version=0), store.read(version=1)
+    return metrics.entropy_report_versions(before, after, "OCCUPATION_RATIO")
+
+
+@query("stream_latest_status", _WITH + "SELECT " + ", ".join(STATE_OUT) + " FROM state")
+def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
+    events_path = f"{sf.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(events_path).schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    root = scratch_path(spark, "stream-state")
+    q = start_state_refresh(
+        S.status_from_events(src),
+        _master(spark, sf),
+        f"{root}/state",
+        f"{root}/checkpoint",
+        available_now=True,
+        order_by=("LAST_REPORTED", "EVENT_ID"),
+    )
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return present(StateStore(spark, f"{root}/state").read().select(*STATE_OUT))
+
+
+# ---------------------------------------------------------------------------------------
+# Sources and sinks round trips
+# ---------------------------------------------------------------------------------------
+
+_FEED_COLS = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS"]
+_FEED_SQL = f"WITH st AS ({S.STATUS_SQL}) SELECT " + ", ".join(_FEED_COLS) + " FROM st"
+
+
+@query("json_roundtrip", _FEED_SQL)
+def q_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Status -> two feed snapshots (A7) -> feed reader (A1) -> staging append (A5) -> scan (A10)."""
+    _, first, second = _two_batches(spark, sf)
+    base = scratch_path(spark, "landing")
+    sinks.write_snapshot_json(sinks.to_feed_shape(first), base, "20240101_000000")
+    sinks.write_snapshot_json(sinks.to_feed_shape(second), base, "20240101_000500")
+    staging = scratch_path(spark, "staging")
+    sinks.append_staging(readers.read_status_json(spark, base, multi_line=False), staging)
+    return readers.read_table(spark, staging).select(*_FEED_COLS)
+
+
+@query("envelope_rows", _FEED_SQL)
+def q_envelope_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Status rows wrapped as API payloads {"data": {"stations": [...]}} and read back."""
+    feed = sinks.to_feed_shape(_status(spark, sf))
+    payload = feed.select(F.struct(F.array(F.struct(*feed.columns)).alias("stations")).alias("data"))
+    path = scratch_path(spark, "payloads")
+    payload.write.json(path)
+    return readers.read_envelope(spark, path, multi_line=False).select(*_FEED_COLS)
+
+
+@query("csv_roundtrip", _WITH + "," + _BROKEN_SQL + "SELECT * FROM broken")
+def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "brokendocks-csv")
+    sinks.write_csv(_broken(spark, sf), path)
+    return present(readers.read_broken_docks_csv(spark, path))
+
+
+@query("file_inventory", "SELECT 'events.parquet' AS FILE_NAME, count(*) AS N_ROWS FROM events")
+def q_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    inv = readers.file_inventory(spark, f"{sf.rstrip('/')}/events.parquet", "parquet")
+    return inv.select("FILE_NAME", "N_ROWS")

@@ -94,6 +94,9 @@ def refresh_state(
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
+    # Read the previous version before registering the observation, so a first
+    # batch (no state yet) does not report a failed lookup to its listener.
+    prev = store.read(below=batch_id)
     obs = Observation(f"refresh_{batch_id}")
     observed = batch.observe(
         obs,
@@ -102,7 +105,6 @@ def refresh_state(
     )
     fresh = enrich_status(latest_per_station(observed, order_by), master, broadcast_master).persist()
     try:
-        prev = store.read(below=batch_id)
         if order == "arrival" or prev is None:
             new = upsert(prev, fresh)
         else:
