@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schemas import STATE_COLUMNS
+from ..schemas import STATE, STATE_COLUMNS
 from .joins import bounded_broadcast
 
 KEY = "STATION_ID"
@@ -38,20 +38,25 @@ def latest_per_station(
     status: DataFrame,
     order_by: Sequence[str] = ("LAST_REPORTED", "TST_REC"),
     key: str = KEY,
+    with_counts: bool = False,
 ) -> DataFrame:
     """One row per key: the row with the greatest ``order_by`` tuple.
 
     ``max_by`` over a struct runs as partial + final aggregation, so a hot key
     is pre-reduced in every map task instead of being shuffled whole.
+
+    ``with_counts=True`` keeps the NULL-key group and adds ``_N``, the number of
+    input rows per key, so a caller can count processed and rejected rows from
+    the reduced result instead of scanning the input again.
     """
     rest = [c for c in status.columns if c != key]
     ordering = F.struct(*[F.col(c) for c in order_by])
-    return (
-        valid_status(status)
-        .groupBy(key)
-        .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), ordering).alias("_latest"))
-        .select(key, "_latest.*")
-    )
+    aggs = [F.max_by(F.struct(*[F.col(c) for c in rest]), ordering).alias("_latest")]
+    if with_counts:
+        aggs.append(F.count(F.lit(1)).alias("_N"))
+    src = status if with_counts else valid_status(status)
+    out = src.groupBy(key).agg(*aggs).select(key, "_latest.*", *(["_N"] if with_counts else []))
+    return out
 
 
 def enrich_status(status: DataFrame, master: DataFrame, broadcast_master: bool = True) -> DataFrame:
@@ -71,10 +76,16 @@ def enrich_status(status: DataFrame, master: DataFrame, broadcast_master: bool =
         "TST_REC": C.ingest_stamp(),
     }
     extra = [c for c in status.columns if c not in STATE_COLUMNS]
-    return joined.select(
-        *[state_exprs[c].alias(c) if c in state_exprs else F.col(c) for c in STATE_COLUMNS],
-        *[F.col(c) for c in extra],
-    )
+    present = set(joined.columns)
+
+    def col(f):
+        if f.name in state_exprs:
+            return state_exprs[f.name].alias(f.name)
+        if f.name in present:
+            return F.col(f.name)
+        return F.lit(None).cast(f.dataType).alias(f.name)  # field the feed did not carry
+
+    return joined.select(*[col(f) for f in STATE.fields], *[F.col(c) for c in extra])
 
 
 def current_state(

@@ -19,7 +19,7 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -94,28 +94,25 @@ def refresh_state(
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
-    # Read the previous version before registering the observation, so a first
-    # batch (no state yet) does not report a failed lookup to its listener.
     prev = store.read(below=batch_id)
-    obs = Observation(f"refresh_{batch_id}")
-    observed = batch.observe(
-        obs,
-        F.count(F.lit(1)).alias("rows"),
-        F.count(F.when(F.col(KEY).isNull(), F.lit(1))).alias("rejected"),
-    )
-    fresh = enrich_status(latest_per_station(observed, order_by), master, broadcast_master).persist()
+    # One pass over the micro-batch: reduce to one row per key, keeping the row
+    # counts (NULL-key group included) for the message and the reject count.
+    reduced = latest_per_station(batch, order_by, with_counts=True).persist()
     try:
+        stats = reduced.agg(
+            F.sum("_N").alias("rows"), F.sum(F.when(F.col(KEY).isNull(), F.col("_N"))).alias("rejected")
+        ).first()
+        fresh = enrich_status(reduced.where(F.col(KEY).isNotNull()).drop("_N"), master, broadcast_master)
         if order == "arrival" or prev is None:
             new = upsert(prev, fresh)
         else:
             new = latest_per_station(prev.unionByName(fresh, allowMissingColumns=True), order_by)
         store.write(new, batch_id)
     finally:
-        fresh.unpersist()
-    m = obs.get
-    msg = f"Processed {m.get('rows', 0)} rows"
-    if m.get("rejected"):
-        log.warning("batch %s: %s rows without a station id were dropped", batch_id, m["rejected"])
+        reduced.unpersist()
+    msg = f"Processed {stats['rows'] or 0} rows"
+    if stats["rejected"]:
+        log.warning("batch %s: %s rows without a station id were dropped", batch_id, stats["rejected"])
     log.info("batch %s: %s", batch_id, msg)
     return msg
 
