@@ -244,8 +244,8 @@ def nearest_station(
         done = scored.where(ok).select(
             F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE")
         )
-        if checkpoint_every and rnd % checkpoint_every == 0:
-            done = cut_lineage(done)
+        # ``done`` reads the checkpointed ``pending`` of this round, so its lineage
+        # stays one round long without materialising it.
         answers.append(done)
         pending = pending.join(scored.where(~ok | F.col("b").isNull()).select("_id"), "_id", "left_semi")
         if checkpoint_every and rnd % checkpoint_every == 0:

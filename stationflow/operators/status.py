@@ -59,12 +59,17 @@ def latest_per_station(
     return out
 
 
-def enrich_status(status: DataFrame, master: DataFrame, broadcast_master: bool = True) -> DataFrame:
+def enrich_status(status: DataFrame, master: DataFrame, broadcast_master: bool | None = True) -> DataFrame:
     """Status LEFT JOIN master -> the 19 state columns (D1 + B5 + B6 + B4).
 
     Every status row is kept; a station missing from the master keeps NULL
     name/coordinates/capacity/ratio. Extra status columns (e.g. an arrival
     sequence) are carried after the state columns.
+
+    ``broadcast_master``: True hints a broadcast after a row-count check (use
+    it when ``status`` is the raw history, so the history is never shuffled);
+    None leaves the strategy to the planner and AQE (fine when ``status`` is
+    already one row per station); False means the caller already decided.
     """
     m = master.select(*MASTER_COLUMNS)
     if broadcast_master:
@@ -93,8 +98,14 @@ def current_state(
     master: DataFrame,
     order_by: Sequence[str] = ("LAST_REPORTED", "TST_REC"),
 ) -> DataFrame:
-    """Latest status per station, enriched: the batch form of the state table."""
-    return enrich_status(latest_per_station(status, order_by), master)
+    """Latest status per station, enriched: the batch form of the state table.
+
+    The history is reduced first, so the join with the master is station-sized
+    on both sides; its strategy is left to the planner (the master is broadcast
+    when its size is under the auto-broadcast threshold, checked again by AQE
+    at runtime).
+    """
+    return enrich_status(latest_per_station(status, order_by), master, broadcast_master=None)
 
 
 def refresh_count(batch: DataFrame) -> DataFrame:

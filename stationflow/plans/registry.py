@@ -15,7 +15,6 @@ from pyspark.sql.types import DecimalType
 
 from ..functions import columns as C
 from ..operators import balance, docks, geo, metrics, status
-from ..operators.joins import bounded_broadcast
 from ..session import scratch_path
 from ..sources import readers, sinks
 from ..streaming.state import StateStore, refresh_state, start_state_refresh
@@ -60,9 +59,18 @@ def _status(spark: SparkSession, sf: str) -> DataFrame:
     return S.status_feed(spark, sf)
 
 
+ORDER = ("LAST_REPORTED", "EVENT_ID")
+
+
 def _state(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest status per station (arrival = EVENT_ID breaks ties), enriched."""
-    return status.current_state(_status(spark, sf), _master(spark, sf), order_by=("LAST_REPORTED", "EVENT_ID"))
+    """Latest status per station (arrival = EVENT_ID breaks ties), enriched.
+
+    Deduplicated on the raw polls and typed afterwards: the payload is parsed
+    for the surviving row of each station only.
+    """
+    raw = S.status_raw(S.table(spark, sf, "events"))
+    latest = S.status_typed(status.latest_per_station(raw, ORDER))
+    return status.enrich_status(latest, _master(spark, sf), broadcast_master=None)
 
 
 STATE_OUT = [
@@ -517,10 +525,8 @@ def q_area_mean_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 def _zoned_features(spark: SparkSession, sf: str) -> DataFrame:
     m = _master(spark, sf)
-    zones = bounded_broadcast(m.select("STATION_ID", "POST_CODE"))
-    return balance.station_features(status.current_state(_status(spark, sf), m, ("LAST_REPORTED", "EVENT_ID"))).join(
-        zones, "STATION_ID", "left"
-    )
+    zones = m.select("STATION_ID", "POST_CODE")
+    return balance.station_features(_state(spark, sf)).join(zones, "STATION_ID", "left")
 
 
 @query("plan_routes")

@@ -8,9 +8,7 @@ SQL twins live next to the Spark code so the two can be read side by side.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..schemas import MASTER, STAGING
 
 
@@ -19,24 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def master_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Master table (14 columns) derived from ``supplier``."""
-    s = table(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
+    """Master table (14 columns) derived from ``supplier``.
+
+    Spelled as one SQL projection: one analysis pass instead of one per column.
+    """
     derived = {
-        "STATION_ID": k.cast("bigint"),
-        "STATION_NAME": F.col("s_name"),
-        "ADDRESS": F.concat(F.lit("Street "), k.cast("string")),
-        "POST_CODE": F.lpad(F.col("s_nationkey").cast("string"), 5, "0"),
-        "CAPACITY": (F.lit(20) + k % 31).cast("bigint"),
-        "LAT": ((F.lit(413500) + (k * 37) % 1000) / F.lit(1e4)).cast("decimal(12,7)"),
-        "LON": ((F.lit(21000) + (k * 91) % 1000) / F.lit(1e4)).cast("decimal(12,7)"),
+        "STATION_ID": "CAST(s_suppkey AS BIGINT)",
+        "STATION_NAME": "s_name",
+        "ADDRESS": "concat('Street ', CAST(s_suppkey AS STRING))",
+        "POST_CODE": "lpad(CAST(s_nationkey AS STRING), 5, '0')",
+        "CAPACITY": "CAST(20 + s_suppkey % 31 AS BIGINT)",
+        "LAT": "CAST((413500 + (s_suppkey * 37) % 1000) / 1e4 AS DECIMAL(12,7))",
+        "LON": "CAST((21000 + (s_suppkey * 91) % 1000) / 1e4 AS DECIMAL(12,7))",
+        "TST_REC": "localtimestamp()",
     }
-    cols = [
-        derived[f.name].alias(f.name) if f.name in derived else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in MASTER.fields
-        if f.name != "TST_REC"
-    ]
-    return s.select(*cols, C.ingest_stamp().alias("TST_REC"))
+    exprs = [f"{derived.get(f.name, f'CAST(NULL AS {f.dataType.simpleString()})')} AS {f.name}" for f in MASTER.fields]
+    return table(spark, sf_dir, "supplier").selectExpr(*exprs)
 
 
 MASTER_SQL = """
@@ -56,21 +52,48 @@ def status_feed(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     return status_from_events(e)
 
 
-def status_from_events(e: DataFrame) -> DataFrame:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    derived = {
-        "STATION_ID": F.col("user_id").cast("bigint"),
-        "NUM_BIKES_AVAILABLE": C.json_text_field("props", "$.k").try_cast("bigint") % 25,
-        "NUM_DOCKS_AVAILABLE": F.floor("value").cast("bigint") % 15,
-        "LAST_REPORTED": F.timestamp_diff("SECOND", epoch, F.col("ts").cast("timestamp_ntz")),
-        "STATUS": F.col("event_type"),
-    }
-    cols = [
-        derived[f.name].alias(f.name) if f.name in derived else F.lit(None).cast(f.dataType).alias(f.name)
+# Cheap columns (key, ordering, category) and the raw payload the typed columns come from.
+_RAW_STATUS = [
+    "CAST(event_id AS BIGINT) AS EVENT_ID",
+    "CAST(user_id AS BIGINT) AS STATION_ID",
+    # Epoch seconds of the zone-less timestamp: independent of the session zone.
+    "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS LAST_REPORTED",
+    "event_type AS STATUS",
+    "props AS _PROPS",
+    "value AS _VALUE",
+]
+_TYPED = {
+    "NUM_BIKES_AVAILABLE": "try_cast(get_json_object(_PROPS, '$.k') AS BIGINT) % 25",
+    "NUM_DOCKS_AVAILABLE": "CAST(floor(_VALUE) AS BIGINT) % 15",
+    "TST_REC": "localtimestamp()",
+}
+
+
+def status_raw(e: DataFrame) -> DataFrame:
+    """Key, ordering and category of every poll plus the untouched payload.
+
+    Deduplicating on this frame and typing only the survivors parses the JSON
+    payload once per station instead of once per poll.
+    """
+    return e.selectExpr(*_RAW_STATUS)
+
+
+def status_typed(raw: DataFrame) -> DataFrame:
+    """Raw status -> staging columns (13 + EVENT_ID)."""
+    exprs = ["EVENT_ID"] + [
+        f"{_TYPED[f.name]} AS {f.name}"
+        if f.name in _TYPED
+        else f.name
+        if f.name in ("STATION_ID", "LAST_REPORTED", "STATUS")
+        else f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
         for f in STAGING.fields
-        if f.name != "TST_REC"
     ]
-    return e.select(F.col("event_id").cast("bigint").alias("EVENT_ID"), *cols, C.ingest_stamp().alias("TST_REC"))
+    return raw.selectExpr(*exprs)
+
+
+def status_from_events(e: DataFrame) -> DataFrame:
+    """Events -> staging columns."""
+    return status_typed(status_raw(e))
 
 
 STATUS_SQL = """
