@@ -92,3 +92,18 @@ def test_area_mean_ratio(spark):
     assert color == "#00bf3f"  # green int(255*0.3/0.4)=191, blue int(255*0.1/0.4)=63
     assert got[(4105, 200)] == (0, 0.0, "#0000ff")  # only missing ratios -> 0
     assert got[(4110, 200)][2] == "#00FF00"
+
+
+def test_pairs_cover_all_when_radius_exceeds_extent(spark):
+    pts = points(seed=5, n=60)[:60]
+    got = geo.pairs_within(frame(spark, pts), 200_000.0).collect()
+    n = len(pts)
+    assert len(got) == n * (n - 1) // 2
+    assert all(r.SRC_STATION_ID < r.TGT_STATION_ID for r in got)
+
+
+def test_pair_plans_have_no_cross_join(spark):
+    df = frame(spark, points(n=50))
+    for q in (geo.pairs_within(df, 1500.0), geo.degree_pairs_within(df, 0.01)):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
