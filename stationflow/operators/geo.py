@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -165,13 +165,21 @@ def degree_pairs_within(
     )
 
 
+# Nearest neighbour: a quadtree of levels over the data's extent. Level L has
+# cells of side span / 2^L (level 0 covers everything). Each station starts at
+# the coarsest level whose cell holds at most NN_CELL_TARGET representatives,
+# so a dense cluster is searched on a fine grid and never pairs with itself as
+# a whole; unresolved stations move one level coarser per round.
+NN_CELL_TARGET = 32
+NN_MAX_LEVEL = 32
+
+
 def nearest_station(
     stations: DataFrame,
     id_col: str = "STATION_ID",
     lat_col: str = "LAT",
     lon_col: str = "LON",
-    start_step: float | None = None,
-    checkpoint_every: int = 1,
+    cell_target: int = NN_CELL_TARGET,
 ) -> DataFrame:
     """Nearest other station by degree distance, ties to the smaller id.
 
@@ -179,26 +187,34 @@ def nearest_station(
     coordinates; NEAREST_ID is NULL when there is no other station.
 
     Stations sharing exact coordinates are answered by aggregation (distance
-    0, smallest other id) and the search runs over one representative per
-    coordinate, so a pile of identical points never turns into all its pairs.
+    0, smallest other id); the search runs over one representative per
+    coordinate. A station searched at level L compares itself with the
+    representatives of its 3x3 cells there; a best match within one cell side
+    is provably the nearest, otherwise it retries one level coarser. Level 0
+    is exhaustive, so every station ends with the exact answer.
     """
     pts = _points(stations, id_col, lat_col, lon_col)
-    # Per exact coordinate: smallest id, second smallest id, count.
-    by_coord = pts.groupBy("_lat", "_lon").agg(F.min("_id").alias("_id1"), F.count(F.lit(1)).alias("_n"))
-    second = (
-        pts.join(by_coord, ["_lat", "_lon"])
+    id_type = pts.schema["_id"].dataType
+    # One row per exact coordinate: smallest id, count, second smallest id.
+    # Stored once; every later step reads this station-sized table.
+    first_ids = pts.groupBy("_lat", "_lon").agg(F.min("_id").alias("_id1"), F.count(F.lit(1)).alias("_n"))
+    second_ids = (
+        pts.join(first_ids.where(F.col("_n") > 1), ["_lat", "_lon"])
         .where(F.col("_id") != F.col("_id1"))
         .groupBy("_lat", "_lon")
         .agg(F.min("_id").alias("_id2"))
     )
-    with_coord = pts.join(by_coord, ["_lat", "_lon"]).join(second, ["_lat", "_lon"], "left")
-    dup_answers = with_coord.where(F.col("_n") > 1).select(
-        F.col("_id").alias(id_col),
-        F.when(F.col("_id") == F.col("_id1"), F.col("_id2")).otherwise(F.col("_id1")).alias("NEAREST_ID"),
-        F.lit(0.0).alias("DISTANCE"),
+    coords = cut_lineage(first_ids.join(second_ids, ["_lat", "_lon"], "left"), "nn-coords")
+    dup_answers = (
+        pts.join(coords.where(F.col("_n") > 1), ["_lat", "_lon"])
+        .select(
+            F.col("_id").alias(id_col),
+            F.when(F.col("_id") == F.col("_id1"), F.col("_id2")).otherwise(F.col("_id1")).alias("NEAREST_ID"),
+            F.lit(0.0).alias("DISTANCE"),
+        )
     )
-    reps = by_coord.select(F.col("_id1").alias("_id"), "_lat", "_lon")
-    queries = with_coord.where(F.col("_n") == 1).select("_id", "_lat", "_lon")
+    reps = coords.select(F.col("_id1").alias("_id"), "_lat", "_lon")
+    queries = coords.where(F.col("_n") == 1).select(F.col("_id1").alias("_id"), "_lat", "_lon")
 
     stats = reps.agg(
         F.count(F.lit(1)).alias("n"),
@@ -208,52 +224,60 @@ def nearest_station(
         F.max("_lon").alias("x1"),
     ).first()
     n = stats["n"]
-    if n is None or n <= 1:
+    if not n or n <= 1:
         lone = queries.select(
-            F.col("_id").alias(id_col), F.lit(None).cast(pts.schema["_id"].dataType).alias("NEAREST_ID"), F.lit(None).cast("double").alias("DISTANCE")
+            F.col("_id").alias(id_col), F.lit(None).cast(id_type).alias("NEAREST_ID"), F.lit(None).cast("double").alias("DISTANCE")
         )
         return dup_answers.unionByName(lone)
-    span = math.hypot(stats["y1"] - stats["y0"], stats["x1"] - stats["x0"])
-    step = start_step or max(span / math.sqrt(n), 1e-7)
+    y0, x0 = stats["y0"], stats["x0"]
+    span = max(stats["y1"] - y0, stats["x1"] - x0)
+    base = max(span, 1e-9) * 2.0  # level-0 cell: every pair of points is in adjacent cells
+
+    levels = F.explode(F.sequence(F.lit(0), F.lit(NN_MAX_LEVEL)))
 
+    def cell(axis: str, origin: float, level: Column) -> Column:
+        step = F.lit(base) / F.pow(F.lit(2.0), level)
+        return F.floor((F.col(axis) - F.lit(origin)) / step)
+
+    # Every representative at every level (station-sized x 33, the index).
+    index = reps.select("_id", "_lat", "_lon", levels.alias("_L")).select(
+        "_id", "_lat", "_lon", "_L", cell("_lat", y0, F.col("_L")).alias("_cy"), cell("_lon", x0, F.col("_L")).alias("_cx")
+    )
+    occupancy = index.groupBy("_L", "_cy", "_cx").agg(F.count(F.lit(1)).alias("_occ"))
+    start = (
+        index.join(occupancy, ["_L", "_cy", "_cx"])
+        .where(F.col("_occ") <= cell_target)
+        .groupBy("_id")
+        .agg(F.min("_L").alias("_L"))
+    )
+    pending = cut_lineage(queries.join(start, "_id"), "nn-pending")
+    cand = index.select(
+        F.col("_id").alias("c_id"), F.col("_lat").alias("c_lat"), F.col("_lon").alias("c_lon"), "_L", "_cy", "_cx"
+    )
     answers = [dup_answers]
-    pending = queries
-    rnd = 0
-    while True:
-        final = step >= span * _SLACK  # every point lies within one cell's reach
-        cand = _cells(reps, step, step).select(
-            F.col("_id").alias("c_id"), F.col("_lat").alias("c_lat"), F.col("_lon").alias("c_lon"), "_cy", "_cx"
-        )
-        q = _shifted(_cells(pending, step, step), _ALL_NEIGHBOURS).select(
-            "_id", "_lat", "_lon", F.col("_ny").alias("_cy"), F.col("_nx").alias("_cx")
-        )
-        d = C.degree_distance("_lat", "_lon", "c_lat", "c_lon")
+    d = C.degree_distance("_lat", "_lon", "c_lat", "c_lon")
+    for _ in range(NN_MAX_LEVEL + 1):
+        if pending.isEmpty():
+            break
+        q = _shifted(
+            pending.select("_id", "_lat", "_lon", "_L", cell("_lat", y0, F.col("_L")).alias("_cy"), cell("_lon", x0, F.col("_L")).alias("_cx")),
+            _ALL_NEIGHBOURS,
+        ).select("_id", "_lat", "_lon", "_L", F.col("_ny").alias("_cy"), F.col("_nx").alias("_cx"))
         best = (
-            q.join(cand, ["_cy", "_cx"])
+            q.join(cand, ["_L", "_cy", "_cx"])
             .where(F.col("c_id") != F.col("_id"))
             .groupBy("_id")
             .agg(F.min(F.struct(d.alias("d"), F.col("c_id").alias("c"))).alias("b"))
         )
-        scored = pending.select("_id").join(best, "_id", "left")
-        if final:
-            answers.append(
-                scored.select(F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE"))
-            )
-            break
-        ok = F.col("b").isNotNull() & (F.col("b.d") <= F.lit(step / _SLACK))
-        done = scored.where(ok).select(
-            F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE")
-        )
+        scored = pending.join(best, "_id", "left")
+        step = F.lit(base) / F.pow(F.lit(2.0), F.col("_L"))
+        ok = (F.col("_L") == 0) | (F.col("b").isNotNull() & (F.col("b.d") <= step / F.lit(_SLACK)))
         # ``done`` reads the checkpointed ``pending`` of this round, so its lineage
         # stays one round long without materialising it.
-        answers.append(done)
-        pending = pending.join(scored.where(~ok | F.col("b").isNull()).select("_id"), "_id", "left_semi")
-        if checkpoint_every and rnd % checkpoint_every == 0:
-            pending = cut_lineage(pending)
-        if pending.isEmpty():
-            break
-        step *= 2.0
-        rnd += 1
+        answers.append(
+            scored.where(ok).select(F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE"))
+        )
+        pending = cut_lineage(scored.where(~ok).select("_id", "_lat", "_lon", (F.col("_L") - 1).alias("_L")), "nn-pending")
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)

@@ -57,8 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/stationflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one) so iterative jobs survive
-    executor loss without replaying the whole loop."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
+    read it back: later steps (and a retry after a lost executor) start from
+    the stored copy instead of replaying the loop. One job, no recompute (an
+    RDD checkpoint would compute the plan twice); never a local checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

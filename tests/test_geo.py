@@ -107,3 +107,14 @@ def test_pair_plans_have_no_cross_join(spark):
     for q in (geo.pairs_within(df, 1500.0), geo.degree_pairs_within(df, 0.01)):
         plan = q._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_nearest_station_dense_cluster(spark):
+    rnd = random.Random(9)
+    pts = [(i, 41.3 + rnd.random() * 0.2, 2.1 + rnd.random() * 0.2) for i in range(120)]
+    # a third of the stations packed into a 1e-5 degree square (distinct coordinates)
+    pts += [(1000 + i, 41.4 + rnd.random() * 1e-5, 2.2 + rnd.random() * 1e-5) for i in range(60)]
+    got = {r.STATION_ID: (r.NEAREST_ID, r.DISTANCE) for r in geo.nearest_station(frame(spark, pts), cell_target=8).collect()}
+    for a in pts:
+        best = min((math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2), b[0]) for b in pts if b[0] != a[0])
+        assert got[a[0]][0] == best[1], a
