@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, TimestampNTZType, TimestampType
 
 from ..functions import columns as C
 from ..operators import balance, docks, geo, metrics, status
@@ -36,14 +36,23 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def present(df: DataFrame) -> DataFrame:
-    """Decimals as doubles: the value is unchanged, the type is one both engines share."""
-    return df.select(
-        *[
-            F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+# Presentation of results, identical in both engines, values unchanged: decimals
+# as doubles, timestamps as 'yyyy-MM-dd HH:mm:ss' text, and integer columns that
+# a LEFT JOIN can leave NULL as doubles (one nullable numeric type everywhere).
+NULLABLE_INTS = ("CAPACITY", "TOTAL_CAPACITY")
+TS_FORMAT_SPARK = "yyyy-MM-dd HH:mm:ss"
+TS_FORMAT_SQL = "%Y-%m-%d %H:%M:%S"
+
+
+def present(df: DataFrame, nullable_ints: tuple[str, ...] = NULLABLE_INTS) -> DataFrame:
+    def col(f):
+        if isinstance(f.dataType, DecimalType) or f.name in nullable_ints:
+            return F.col(f.name).cast("double").alias(f.name)
+        if isinstance(f.dataType, (TimestampType, TimestampNTZType)):
+            return F.date_format(f.name, TS_FORMAT_SPARK).alias(f.name)
+        return F.col(f.name)
+
+    return df.select(*[col(f) for f in df.schema.fields])
 
 
 # ---------------------------------------------------------------------------------------
@@ -88,6 +97,15 @@ STATE_OUT = [
     "EVENT_ID",
 ]
 
+_STATE_OUT_SQL = ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}"
+    if c in NULLABLE_INTS
+    else f"strftime({c}, '{TS_FORMAT_SQL}') AS {c}"
+    if c == "LAST_REPORTED_TST"
+    else c
+    for c in STATE_OUT
+)
+
 # SQL twins of the stand-ins and of the state (ratio by exact integer arithmetic:
 # 6 decimals half-up, then 4 decimals half-up).
 _WITH = f"""
@@ -118,8 +136,9 @@ state AS (
     "enrich_status",
     _WITH
     + """
-SELECT EVENT_ID, STATION_ID, STATION_NAME, LAT, LON, CAPACITY, NUM_BIKES_AVAILABLE, NUM_DOCKS_AVAILABLE,
-       OCCUPATION_RATIO, LAST_REPORTED, LAST_REPORTED_TST, STATUS
+SELECT """
+    + _STATE_OUT_SQL
+    + """
 FROM enriched
 """,
 )
@@ -128,7 +147,7 @@ def q_enrich_status(spark: SparkSession, sf: str) -> DataFrame:
     return present(df.select(*STATE_OUT))
 
 
-@query("latest_status", _WITH + "SELECT " + ", ".join(STATE_OUT) + " FROM state")
+@query("latest_status", _WITH + "SELECT " + _STATE_OUT_SQL + " FROM state")
 def q_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     return present(_state(spark, sf).select(*STATE_OUT))
 
@@ -236,8 +255,8 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     "station_features",
     _WITH
     + """
-SELECT STATION_ID, STATION_NAME, LAT, LON, CAPACITY, NUM_BIKES_AVAILABLE, NUM_DOCKS_AVAILABLE,
-       OCCUPATION_RATIO, CAPACITY AS TOTAL_CAPACITY, OCCUPATION_RATIO AS RATIO,
+SELECT STATION_ID, STATION_NAME, LAT, LON, CAST(CAPACITY AS DOUBLE) AS CAPACITY, NUM_BIKES_AVAILABLE,
+       NUM_DOCKS_AVAILABLE, OCCUPATION_RATIO, CAST(CAPACITY AS DOUBLE) AS TOTAL_CAPACITY, OCCUPATION_RATIO AS RATIO,
        'Station ID: ' || coalesce(STATION_NAME, 'None') || ' - Bikes Available: '
          || coalesce(CAST(NUM_BIKES_AVAILABLE AS VARCHAR), 'None') AS LABEL
 FROM state
@@ -245,7 +264,7 @@ FROM state
 )
 def q_station_features(spark: SparkSession, sf: str) -> DataFrame:
     f = _features(spark, sf)
-    return f.withColumn("LABEL", C.station_label("STATION_NAME", "NUM_BIKES_AVAILABLE"))
+    return present(f.withColumn("LABEL", C.station_label("STATION_NAME", "NUM_BIKES_AVAILABLE")))
 
 
 _COLOR_SQL = """
@@ -592,7 +611,7 @@ def _run_two_batches(spark: SparkSession, sf: str) -> StateStore:
     return store
 
 
-@query("upsert_two_batches", _TWO_BATCH_SQL + "SELECT " + ", ".join(STATE_OUT) + " FROM merged")
+@query("upsert_two_batches", _TWO_BATCH_SQL + "SELECT " + _STATE_OUT_SQL + " FROM merged")
 def q_upsert_two_batches(spark: SparkSession, sf: str) -> DataFrame:
     store = _run_two_batches(spark, sf)
     return present(store.read().select(*STATE_OUT))
@@ -618,7 +637,7 @@ def q_entropy_report(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.entropy_report_versions(before, after, "OCCUPATION_RATIO")
 
 
-@query("stream_latest_status", _WITH + "SELECT " + ", ".join(STATE_OUT) + " FROM state")
+@query("stream_latest_status", _WITH + "SELECT " + _STATE_OUT_SQL + " FROM state")
 def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     events_path = f"{sf.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(events_path).schema
