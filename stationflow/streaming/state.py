@@ -36,9 +36,10 @@ ORDERS = ("arrival", "event_time")
 class StateStore:
     spark: SparkSession
     root: str
-    # Committed batch ids, read from the commit log once and kept up to date by
-    # :meth:`write`; a restarted job reloads them from the log.
-    _versions: list[int] | None = field(default=None, repr=False)
+    # Newest committed batch id as last seen by this object (kept current by
+    # :meth:`write`); ``_loaded`` tells an empty log from one never read.
+    _latest: int | None = field(default=None, repr=False)
+    _loaded: bool = field(default=False, repr=False)
 
     @property
     def commits(self) -> str:
@@ -47,28 +48,30 @@ class StateStore:
     def version_path(self, batch_id: int) -> str:
         return f"{self.root.rstrip('/')}/v={int(batch_id)}"
 
-    def versions(self, refresh: bool = False) -> list[int]:
-        if self._versions is None or refresh:
-            try:
-                log_df = self.spark.read.schema("BATCH_ID long, PATH string").json(self.commits)
-                rows = log_df.select("BATCH_ID").distinct().collect()  # one row per committed batch
-                self._versions = sorted(int(r.BATCH_ID) for r in rows)
-            except AnalysisException:
-                self._versions = []
-        return self._versions
-
-    def latest_version(self, below: int | None = None) -> int | None:
+    def _log_max(self, below: int | None) -> int | None:
+        """Max committed batch id from the log (one small aggregate)."""
+        try:
+            log_df = self.spark.read.schema("BATCH_ID long, PATH string").json(self.commits)
+        except AnalysisException:
+            return None
+        if below is not None:
+            log_df = log_df.where(F.col("BATCH_ID") < below)
+        v = log_df.agg(F.max("BATCH_ID")).first()[0]
+        return None if v is None else int(v)
+
+    def latest_version(self, below: int | None = None, refresh: bool = False) -> int | None:
         """Newest committed batch id (optionally strictly below ``below``)."""
-        vs = [v for v in self.versions() if below is None or v < below]
-        return vs[-1] if vs else None
+        if refresh or not self._loaded:
+            self._latest, self._loaded = self._log_max(None), True
+        if below is None or self._latest is None or self._latest < below:
+            return self._latest
+        return self._log_max(below)  # a replay: look further back in the log
 
     def read(self, version: int | None = None, below: int | None = None) -> DataFrame | None:
         """A committed version: ``version``, else the newest below ``below``
         (the writer's own view), else the newest in the log (re-read, so a
         reader sees commits made by other jobs)."""
-        if version is None and below is None:
-            self.versions(refresh=True)
-        v = version if version is not None else self.latest_version(below)
+        v = version if version is not None else self.latest_version(below, refresh=below is None)
         if v is None:
             return None
         return self.spark.read.parquet(self.version_path(v))
@@ -80,9 +83,8 @@ class StateStore:
         self.spark.createDataFrame([(int(batch_id), path)], "BATCH_ID long, PATH string").coalesce(1).write.mode(
             "append"
         ).json(self.commits)
-        vs = set(self.versions())
-        vs.add(int(batch_id))
-        self._versions = sorted(vs)
+        if self._loaded and (self._latest is None or batch_id > self._latest):
+            self._latest = int(batch_id)
 
 
 def upsert(prev: DataFrame | None, batch: DataFrame, key: str = KEY) -> DataFrame:
