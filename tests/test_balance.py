@@ -56,6 +56,12 @@ def test_apply_plan_and_metrics(spark):
     assert applied[5].NEED is None
     report, h0, h1 = balance.plan_metrics(balance.apply_plan(f, legs))
     assert report.count() == 1 and h0.count() == 40 and h1.count() == 40
+    plan = balance.route_text(legs).first()
+    assert plan.TEXT.splitlines()[:2] == [
+        "Bike Redistribution Plan:",
+        "Bus Picked up 9 bikes, then moved from Station 1 to Station 2.",
+    ]
+    assert plan.TEXT.endswith("Station 4.\n") and len(plan.TEXT.splitlines()) == 4
     text = balance.route_legs(legs, f).orderBy("LEG_NO").first()
     assert text.TEXT == "Bus Picked up 9 bikes, then moved from Station 1 to Station 2."
     assert (text.FROM_LAT, text.TO_LON) == (0.0, 1.0)
