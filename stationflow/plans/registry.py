@@ -15,7 +15,7 @@ from pyspark.sql.types import DecimalType, TimestampNTZType, TimestampType
 
 from ..functions import columns as C
 from ..operators import balance, docks, geo, metrics, status
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import readers, sinks
 from ..streaming.state import StateStore, refresh_state, start_state_refresh
 from . import standins as S
@@ -553,9 +553,15 @@ def q_plan_routes(spark: SparkSession, sf: str) -> DataFrame:
     return balance.plan_routes(_zoned_features(spark, sf), "POST_CODE")
 
 
+def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Planner input read twice (walk and write-back): stored once as a
+    station-sized table so the status history is reduced only once."""
+    return cut_lineage(_zoned_features(spark, sf), "features")
+
+
 @query("apply_plan")
 def q_apply_plan(spark: SparkSession, sf: str) -> DataFrame:
-    f = _zoned_features(spark, sf).persist()
+    f = _stored_features(spark, sf)
     return balance.apply_plan(f, balance.plan_routes(f, "POST_CODE"))
 
 
@@ -567,7 +573,7 @@ def q_route_legs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("plan_entropy_report")
 def q_plan_entropy_report(spark: SparkSession, sf: str) -> DataFrame:
-    f = _zoned_features(spark, sf).persist()
+    f = _stored_features(spark, sf)
     applied = balance.apply_plan(f, balance.plan_routes(f, "POST_CODE"))
     return metrics.entropy_report(applied, "INITIAL_RATIO", C.visited_ratio("NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY"))
 
@@ -596,6 +602,7 @@ merged AS (
 """
 )
 
+
 def _two_batches(spark: SparkSession, sf: str) -> tuple[StateStore, DataFrame, DataFrame]:
     st = _status(spark, sf)
     first = st.where(F.col("STATUS").isin(*FIRST_BATCH_TYPES))
@@ -607,7 +614,7 @@ def _run_two_batches(spark: SparkSession, sf: str) -> StateStore:
     store, first, second = _two_batches(spark, sf)
     m = _master(spark, sf)
     for batch_id, batch in enumerate((first, second)):
-        refresh_state(batch, batch_id, store, m, order_by=("LAST_REPORTED", "EVENT_ID"), order="arrival")
+        refresh_state(batch, batch_id, store, m, order_by=ORDER, order="arrival")
     return store
 
 
@@ -649,7 +656,7 @@ def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
         f"{root}/state",
         f"{root}/checkpoint",
         available_now=True,
-        order_by=("LAST_REPORTED", "EVENT_ID"),
+        order_by=ORDER,
     )
     q.awaitTermination()
     if q.exception() is not None:
