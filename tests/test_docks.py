@@ -60,3 +60,18 @@ def test_plan_is_inner_join_and_top_k(spark):
     # master LEFT JOIN state + a NULL-rejecting filter plans as an inner join
     assert "Join Inner" in opt
     assert "PythonUDF" not in opt and "BatchEvalPython" not in plan
+
+
+def test_sql_views(spark):
+    from stationflow.plans.views import register_views
+
+    master, st = _frames(spark)
+    names = register_views(spark, master, status.current_state(st, master), prefix="t_")
+    assert names == ["t_stations", "t_current_state", "t_broken_docks", "t_station_pairs"]
+    rows = spark.sql(
+        "SELECT STATION_ID, BROKEN_DOCKS FROM t_broken_docks WHERE BROKEN_DOCKS > 1 "
+        "ORDER BY BROKEN_DOCKS DESC, STATION_ID LIMIT 3"
+    ).collect()
+    assert [tuple(r) for r in rows] == [(245, 23), (455, 22), (104, 16)]
+    # the 10 stations with status share one point (pairs at distance 0); station 999 is ~3 km away
+    assert spark.sql("SELECT count(*) FROM t_station_pairs").first()[0] == 10 * 9 // 2
