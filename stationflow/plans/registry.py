@@ -15,6 +15,7 @@ from pyspark.sql.types import DecimalType, TimestampNTZType, TimestampType
 
 from ..functions import columns as C
 from ..operators import balance, docks, geo, metrics, status
+from ..operators.joins import bounded_broadcast
 from ..session import cut_lineage, scratch_path
 from ..sources import readers, sinks
 from ..streaming.state import StateStore, refresh_state, start_state_refresh
@@ -612,9 +613,10 @@ def _two_batches(spark: SparkSession, sf: str) -> tuple[StateStore, DataFrame, D
 
 def _run_two_batches(spark: SparkSession, sf: str) -> StateStore:
     store, first, second = _two_batches(spark, sf)
-    m = _master(spark, sf)
+    # The broadcast decision for the master is taken once for the whole run.
+    dim = bounded_broadcast(_master(spark, sf).select(*status.MASTER_COLUMNS))
     for batch_id, batch in enumerate((first, second)):
-        refresh_state(batch, batch_id, store, m, order_by=ORDER, order="arrival")
+        refresh_state(batch, batch_id, store, dim, order_by=ORDER, order="arrival", broadcast_master=False)
     return store
 
 
