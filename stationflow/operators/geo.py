@@ -10,9 +10,10 @@ pairs that are actually close, not with n^2:
   cells finds every pair exactly once.
 * ``degree_pairs_within`` -- the same with the reference's degree distance,
   as ordered pairs.
-* ``nearest_station`` -- nearest other station by degree distance, found by
-  rounds of a 3x3-cell search whose cell doubles for stations still
-  unresolved; a match at distance <= cell is provably the nearest.
+* ``nearest_station`` -- nearest other station by degree distance: each
+  station searches its 3x3 cells on a level quadtree, starting at the coarsest
+  level where its cell is sparse and moving one level coarser while
+  unresolved; a match within one cell side is provably the nearest.
 """
 
 from __future__ import annotations
