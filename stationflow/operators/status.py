@@ -49,6 +49,9 @@ def latest_per_station(
     input rows per key, so a caller can count processed and rejected rows from
     the reduced result instead of scanning the input again.
     """
+    missing = [c for c in order_by if c not in status.columns]
+    if missing:
+        raise ValueError(f"ordering columns not in the input: {missing}")
     rest = [c for c in status.columns if c != key]
     ordering = F.struct(*[F.col(c) for c in order_by])
     aggs = [F.max_by(F.struct(*[F.col(c) for c in rest]), ordering).alias("_latest")]

@@ -89,14 +89,16 @@ def stream_status_json(
     max_files_per_trigger: int | None = None,
     clean_source: str | None = None,
     archive_dir: str | None = None,
-    with_source_file: bool = False,
+    with_source_file: bool = True,
 ) -> DataFrame:
     """Continuous ingest of new feed files.
 
     Each file is taken once: the source's file log lives in the query's
     checkpoint. ``clean_source="archive"`` (with ``archive_dir``) or ``"delete"``
     expires consumed files from the landing folder -- the per-file, coordinated
-    form of the reference's daily purge.
+    form of the reference's daily purge. ``SOURCE_FILE`` (on by default) breaks
+    ties between polls of one station that report the same time inside one
+    micro-batch.
     """
     r = spark.readStream.schema(STATUS_JSON).option("multiLine", multi_line)
     if max_files_per_trigger:

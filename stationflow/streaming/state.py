@@ -108,10 +108,15 @@ def refresh_state(
 
     ``order="arrival"`` (the reference): whatever arrives later wins, even with
     an older LAST_REPORTED. ``order="event_time"``: the newer ``order_by`` wins (G6).
-    Rows with a NULL key are dropped and counted (G7).
+    Inside a batch the newest ``order_by`` row per station is kept, then the
+    source file name when the batch carries one. Rows with a NULL key are
+    dropped and counted (G7).
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
+    if "SOURCE_FILE" in batch.columns and "SOURCE_FILE" not in order_by:
+        # Equal report times inside one batch: the later poll file wins.
+        order_by = (*order_by, "SOURCE_FILE")
     prev = store.read(below=batch_id)
     # One pass over the micro-batch: reduce to one row per key, keeping the row
     # counts (NULL-key group included) for the message and the reject count.

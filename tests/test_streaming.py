@@ -93,3 +93,16 @@ def test_clean_source_archive(spark, tmp_dir):
     # consumed files are moved out of the landing folder (all but possibly the newest batch's)
     archived = [f for _, _, fs in os.walk(archive) for f in fs if f.endswith(".json")]
     assert len(archived) >= 1
+
+
+def test_same_report_time_later_file_wins(spark, tmp_dir):
+    land = os.path.join(tmp_dir, "landing")
+    write_array(land, "stations_20240101_100000.json", [poll(1, 5, 10, T0)], mtime=1_700_000_000)
+    write_array(land, "stations_20240101_100500.json", [poll(1, 8, 7, T0)], mtime=1_700_000_001)
+    m = _master(spark, tmp_dir)
+    src = readers.stream_status_json(spark, land)  # both files in one micro-batch
+    root = os.path.join(tmp_dir, "run")
+    q = start_state_refresh(src, m, os.path.join(root, "state"), os.path.join(root, "ckpt"), available_now=True)
+    q.awaitTermination()
+    row = StateStore(spark, os.path.join(root, "state")).read().collect()[0]
+    assert (row.NUM_BIKES_AVAILABLE, row.SOURCE_FILE.endswith("stations_20240101_100500.json")) == (8, True)
