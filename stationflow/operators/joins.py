@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Station dimensions: a city has hundreds of stations, a continent tens of thousands.
-# Above this bound the dimension is joined by shuffle instead.
-DIMENSION_BROADCAST_MAX_ROWS = 2_000_000
+# Station dimensions: a city has hundreds of stations, a continent tens of
+# thousands. The joined master projection is ~100 bytes a row, so this bound
+# keeps a broadcast under ~50 MB; above it the dimension is joined by shuffle.
+DIMENSION_BROADCAST_MAX_ROWS = 500_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_MAX_ROWS) -> DataFrame:
