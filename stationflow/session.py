@@ -43,6 +43,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a local one only when none is configured."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            # A machine-local folder is invisible to other executors and lost with them.
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         # Local runs and tests only: a cluster names a shared folder here.
         root = tempfile.mkdtemp(prefix="stationflow-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, root)
