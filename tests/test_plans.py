@@ -28,3 +28,10 @@ def test_no_python_outside_planner(spark):
 def test_docks_scan_prunes_supplier_columns(spark):
     p = plan(E.queries()["broken_docks"](spark, SF))
     assert "struct<s_suppkey:bigint,s_name:string,s_nationkey:int>" in p or "s_acctbal" not in p
+
+
+def test_batch_split_filter_reaches_the_scan(spark):
+    from stationflow.plans import registry as R
+
+    _, first, _ = R._two_batches(spark, SF)
+    assert "PushedFilters: [In(event_type, [click,view])]" in plan(first)
