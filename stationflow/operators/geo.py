@@ -296,7 +296,7 @@ def area_mean_ratio(df: DataFrame, cell_deg: float = 0.01, ratio_col: str = "RAT
     g = df.groupBy(
         F.floor(F.col("LAT").cast("double") / F.lit(cell_deg)).alias("CELL_LAT"),
         F.floor(F.col("LON").cast("double") / F.lit(cell_deg)).alias("CELL_LON"),
-    ).agg(F.count(C._finite(w)).alias("N_STATIONS"), F.avg(C._finite(w)).alias("_mean"))
+    ).agg(F.count(C.finite(w)).alias("N_STATIONS"), F.avg(C.finite(w)).alias("_mean"))
     mean = F.coalesce(F.col("_mean"), F.lit(0.0))
     return g.select(
         "CELL_LAT",

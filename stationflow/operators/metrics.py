@@ -22,8 +22,8 @@ def entropy_report(df: DataFrame, before: Column | str, after: Column | str, dig
     Ratios outside [0,1] or missing are skipped, as the reference's NaN-skipping
     sum does. Both sums come from one aggregation pass.
     """
-    b = C._c(before)
-    a = C._c(after)
+    b = C.as_column(before)
+    a = C.as_column(after)
     agg = df.agg(F.sum(C.binary_entropy(b)).alias("_b"), F.sum(C.binary_entropy(a)).alias("_a"))
     return _report(agg, digits)
 
@@ -57,7 +57,7 @@ def _report(agg: DataFrame, digits: int) -> DataFrame:
 
 def histogram_bounds(df: DataFrame, col: Column | str) -> tuple[float, float] | None:
     """(min, max) of the non-missing values, or None when there are none."""
-    v = C._finite(C._c(col).cast("double"))
+    v = C.finite(C.as_column(col).cast("double"))
     row = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     if row["lo"] is None:
         return None
@@ -98,7 +98,7 @@ def ratio_histogram(
     skip the min/max pass (e.g. (0.0, 1.0)).
     """
     spark = df.sparkSession
-    x = C._finite(C._c(col).cast("double"))
+    x = C.finite(C.as_column(col).cast("double"))
     if bounds is None:
         bounds = histogram_bounds(df, x)
     if bounds is None:
