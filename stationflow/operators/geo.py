@@ -251,15 +251,21 @@ def nearest_station(
         .groupBy("_id")
         .agg(F.min("_L").alias("_L"))
     )
-    pending = cut_lineage(queries.join(start, "_id"), "nn-pending")
+    # Points closer together than the finest level can resolve start there too.
+    pending = cut_lineage(
+        queries.join(start, "_id", "left").select(
+            "_id", "_lat", "_lon", F.coalesce(F.col("_L"), F.lit(NN_MAX_LEVEL)).alias("_L")
+        ),
+        "nn-pending",
+    )
     cand = index.select(
         F.col("_id").alias("c_id"), F.col("_lat").alias("c_lat"), F.col("_lon").alias("c_lon"), "_L", "_cy", "_cx"
     )
     answers = [dup_answers]
     d = C.degree_distance("_lat", "_lon", "c_lat", "c_lon")
+    # Every round lowers the level of the stations it leaves unresolved, and level
+    # 0 resolves all, so the loop ends within NN_MAX_LEVEL + 1 rounds.
     for _ in range(NN_MAX_LEVEL + 1):
-        if pending.isEmpty():
-            break
         q = _shifted(
             pending.select("_id", "_lat", "_lon", "_L", cell("_lat", y0, F.col("_L")).alias("_cy"), cell("_lon", x0, F.col("_L")).alias("_cx")),
             _ALL_NEIGHBOURS,
@@ -279,6 +285,8 @@ def nearest_station(
             scored.where(ok).select(F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE"))
         )
         pending = cut_lineage(scored.where(~ok).select("_id", "_lat", "_lon", (F.col("_L") - 1).alias("_L")), "nn-pending")
+        if pending.isEmpty():
+            break
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)
