@@ -8,8 +8,10 @@ do we create our own.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,24 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+    The zip is only what the driver uploads: Spark serves it to the executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stationflow_shipped", None) == sc.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="stationflow-zip-"), "stationflow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._stationflow_shipped = sc.applicationId
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a local one only when none is configured."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
