@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, packing, token_files
+from stationflow.llm import bpe, packing, secret_scan, simhash, token_files
 from stationflow.llm.common import table
 from stationflow.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, VOCABULARY, digests_only=True)
@@ -24,13 +28,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op5_bpe": op5_bpe,
     "op6_token_files": op6_token_files,
+    "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_secret_scan": secret_scan.oracle_sql(),
+}
