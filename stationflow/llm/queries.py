@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, packing, secret_scan, simhash, token_files
+from stationflow.llm import bpe, near_embeddings, packing, secret_scan, simhash, token_files, topk
 from stationflow.llm.common import table
 from stationflow.session import scratch_path
 
@@ -16,6 +16,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, VOCABULARY, digests_only=True)
@@ -28,6 +32,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,11 +47,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op4_near_embeddings": op4_near_embeddings,
     "op5_bpe": op5_bpe,
     "op6_token_files": op6_token_files,
+    "op7_topk": op7_topk,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.c, v.c)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
 ORACLE: dict[str, str] = {
     "op3_secret_scan": secret_scan.oracle_sql(),
+    "op7_topk": TOP_K_SQL,
 }
