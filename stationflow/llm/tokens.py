@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -66,61 +67,50 @@ class _Numbers(dict):
         return n
 
 
-class TextEncoder:
-    """Ids of texts; ``words`` may replace the library for the chunks it is given."""
+class ChunkTable:
+    """Numbers (ids, features) of texts that are a function of their chunks between
+    white space: each distinct chunk's are found once and gathered for all texts."""
 
-    def __init__(self, path: str, words: Callable[[TextEncoder], Words] | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.by_chunks = cut_at_white_space(spec)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        names = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
-        self.any_special = regex.compile(f"(?i:{names})" if names else "(?!)")
-        self.words = words(self) if words else None
-        self.border = self.library_ids([BORDER])[0]
+    def __init__(self, words: Words):
+        self.words = words
         self._clear()
 
-    def library_ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.numbers.new = []
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks of the most steps, half a table at most."""
+        least = 2
+        while (self.seen >= least).sum() > MAX_CHUNKS // 2:
+            least *= 2
+        kept = self.seen >= least
+        chunks = [c for c, k in zip(self.numbers, kept.tolist(), strict=True) if k]
+        starts, lengths, ids = self.starts[kept], self.lengths[kept], self.ids
+        self._clear()
+        self.numbers.update(zip(chunks, range(len(chunks)), strict=True))
+        ends = np.cumsum(lengths)
+        self.ids = ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.starts, self.lengths, self.seen = ends - lengths, lengths, np.zeros(len(chunks), np.int64)
 
-    def _library_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and lengths of many chunks by one call: a border that is a token of
-        its own stands between them (they don't hold it)."""
-        text = f" {BORDER} ".join(chunks)
-        found = np.array(self.library_ids([text])[0], np.int32)
-        borders = np.flatnonzero(found == self.border[0])
-        if len(self.border) != 1 or len(borders) != len(chunks) - 1:
-            parts = self.library_ids(chunks)
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            return np.fromiter(chain.from_iterable(parts), np.int32, int(lengths.sum())), lengths
-        lengths = np.diff(np.concatenate([[-1], borders, [len(found)]])) - 1
-        return np.delete(found, borders), lengths
+    def _found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.words(chunks)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
-        if self.words:
-            found = self.words(new)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
-        else:
-            ids, lengths = self._library_chunks(new)
+        ids, lengths = self._found(new)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
 
-    def _keys(self, chunks: list[str]) -> list[str]:
-        """The chunks, lowered where that can't change their ids."""
-        plain = lambda c: (c.isascii() or not BEYOND_LATIN.search(c)) and not ("<" in c and self.any_special.search(c))
-        return [c.lower() if plain(c) else c for c in chunks]
+    def _keys(self, chunks: list[str], texts: pa.Array) -> list[str]:
+        """The chunks of ``texts``, lowered."""
+        return [c.lower() for c in chunks]
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         """Each text's chunks."""
@@ -130,24 +120,21 @@ class TextEncoder:
         return parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (NULL: none) one after another, and each text's number of ids."""
+        """All numbers of the texts (NULL: none) one after another, and how many each text has."""
         texts = pc.fill_null(texts, "")
-        if not self.by_chunks:
-            found = self.library_ids(texts.to_pylist())
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
         lists = self._cut(texts)
         ends = lists.offsets.to_numpy()
         words = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
         ends = ends - ends[0]
-        codes, distinct = words.indices.to_numpy(), self._keys(words.dictionary.to_pylist())
+        codes, distinct = words.indices.to_numpy(), self._keys(words.dictionary.to_pylist(), texts)
         used = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)  # white space at an edge leaves empty chunks
         if len(self.numbers) > MAX_CHUNKS:
-            self._clear()
+            self._forget()
         numbers = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
         long = any(len(c) > LONGEST_KEPT for c in self.numbers.new)
         if self.numbers.new:
             self._learn()
+        self.seen[numbers] += 1
         at = numbers[codes]
         lengths = np.where(used, self.lengths[numbers], 0)[codes]
         after = np.concatenate([[0], np.cumsum(lengths)])
@@ -157,6 +144,54 @@ class TextEncoder:
         return ids, after[ends[1:]] - after[ends[:-1]]
 
 
+class TextEncoder(ChunkTable):
+    """Ids of texts; ``words`` may replace the library for the chunks it is given."""
+
+    def __init__(self, path: str, words: Callable[[TextEncoder], Words] | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.by_chunks = cut_at_white_space(spec)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.names = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self.odd = regex.compile(f"[^\\x00-\\u02ff]|(?i:{self.names})" if self.names else "[^\\x00-\\u02ff]")
+        self.border = self.library_ids([BORDER])[0]
+        self.own = words is None
+        super().__init__(self.library_ids if words is None else words(self))
+
+    def library_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of many chunks by one call: a border that is a token of
+        its own stands between them (they don't hold it)."""
+        if not self.own:
+            return super()._found(chunks)
+        text = f" {BORDER} ".join(chunks)
+        found = np.array(self.library_ids([text])[0], np.int32)
+        borders = np.flatnonzero(found == self.border[0])
+        if len(self.border) != 1 or len(borders) != len(chunks) - 1:
+            return super()._found(chunks)
+        lengths = np.diff(np.concatenate([[-1], borders, [len(found)]])) - 1
+        return np.delete(found, borders), lengths
+
+    def _keys(self, chunks: list[str], texts: pa.Array) -> list[str]:
+        """The chunks, lowered where that can't change their ids."""
+        odd = f"[^\\x{{0}}-\\x{{2ff}}]|{self.names}" if self.names else "[^\\x{0}-\\x{2ff}]"
+        if not pc.any(pc.match_substring_regex(texts, odd, ignore_case=True)).as_py():
+            return [c.lower() for c in chunks]
+        odd_chunk = self.odd.search
+        return [c if odd_chunk(c) else c.lower() for c in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.by_chunks:
+            return super().encode(texts)
+        return super()._found([t or "" for t in texts.to_pylist()])
+
+
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
