@@ -80,3 +80,15 @@ def map_texts(
 
     return df.mapInArrow(run, out)
 
+
+
+def keep_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], size: int = STEP_CHARS) -> DataFrame:
+    """The rows of ``df`` whose texts a task's function marks True; every column stays as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for part in steps(batch, text_col, size):
+                yield part.filter(pa.array(keep(part.column(text_col))))
+
+    return df.mapInArrow(run, df.schema)

@@ -5,13 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import bpe, near_embeddings, packing, secret_scan, simhash, token_files, topk
-from stationflow.llm.common import table
+from stationflow.llm import bpe, language_id, license_scan, near_embeddings, packing, secret_scan, simhash, token_files, topk, toxicity
+from stationflow.llm.common import fold, held_out, table
 from stationflow.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.where(fold() != 0))
+    found = language_id.identify(docs.select("doc_id", "text"), profiles, drop_text=True)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -41,17 +52,26 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, drop_text=True).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
     "op4_near_embeddings": op4_near_embeddings,
     "op5_bpe": op5_bpe,
     "op6_token_files": op6_token_files,
     "op7_topk": op7_topk,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 TOP_K_SQL = """
@@ -65,6 +85,7 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 ORACLE: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle_sql(),
     "op3_secret_scan": secret_scan.oracle_sql(),
     "op7_topk": TOP_K_SQL,
 }
