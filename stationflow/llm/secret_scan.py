@@ -22,7 +22,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import without
 from stationflow.session import cut_lineage
 
 #: Most ways through a regex that are told apart; beyond, the rule scans all texts.
@@ -157,34 +156,31 @@ def spans(text: Column, number: int, rule: Rule) -> Column:
     return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(none)
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, out: str = "secret_spans", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``out``: all rules' spans by start, then by the rules' order.
+def with_spans(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] | None = None) -> DataFrame:
+    """(of, spans): the columns ``keep`` (all, unless given) as a struct, so that no name
+    can clash, and all rules' spans by start, then by the rules' order.
 
-    Without ``keep_text`` the text is left out, and only candidates' texts are
-    shuffled. NULL texts have no spans. A column named ``out`` is replaced.
+    Only candidates' texts are shuffled if ``keep`` leaves the text out. NULL texts have no spans.
     """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
+    name = lambda c: F.col(f"`{c}`")
+    text = F.coalesce(name(text_col), F.lit(""))
     # Rows that are alike share a number; should others ever do, they are just verified both.
-    rows = without(docs, [out]).withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.xxhash64(name(id_col), name(text_col)).alias("row")
+    none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
     full = [spans(text, i, r) for i, r in enumerate(rules) if i not in queries]
-    rows = rows.withColumn("_full", F.concat(*full) if full else F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)"))
+    rows = docs.select(F.struct(*map(name, keep or docs.columns)).alias("of"), row, text.alias("text"), F.concat(none, *full).alias("spans"))
     if queries:
-        found = cut_lineage(candidates(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), text.alias("text")), queries), "candidates")
-        at = F.pmod("_row", F.lit(BITMAP_BITS))
-        rows = rows.join(F.broadcast(_bitmap(found)), F.bitmap_bucket_number(at) == F.col("bucket"), "left").drop("bucket")
-        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        maybe = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.bitmap_bit_position(at) % 8).cast("int")) != 0, F.lit(False))
-        rows = rows.withColumn("_maybe", F.when(maybe, text)).drop("bits")
-        if not keep_text:
-            rows = rows.drop(text_col)
-        rows = rows.join(found.select(F.col("row").alias("_row"), F.col("rules").alias("_rules")), "_row", "left")
-        verified = [F.when(F.array_contains("_rules", i), spans(F.col("_maybe"), i, rules[i])) for i in queries]
-        empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
-        rows = rows.withColumn("_full", F.concat("_full", *[F.coalesce(v, empty) for v in verified])).drop("_maybe", "_rules")
-    elif not keep_text:
-        rows = rows.drop(text_col)
-    return rows.withColumn(out, F.array_sort("_full")).drop("_full", "_row")
+        found = cut_lineage(candidates(docs.select(row, text.alias("text")), queries), "candidates")
+        at = F.pmod("row", F.lit(BITMAP_BITS))
+        position = F.bitmap_bit_position(at)
+        rows = rows.join(F.broadcast(_bitmap(found)), F.bitmap_bucket_number(at) == F.col("bucket"), "left")
+        byte = F.conv(F.hex(F.substring(F.col("bits"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        maybe = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0, F.lit(False))
+        rows = rows.select("of", "row", "spans", F.when(maybe, F.col("text")).alias("text")).join(found, "row", "left")
+        verified = [F.when(F.array_contains("rules", i), spans(F.col("text"), i, rules[i])) for i in queries]
+        rows = rows.select("of", F.concat("spans", *[F.coalesce(v, none) for v in verified]).alias("spans"))
+    return rows.select("of", F.array_sort("spans").alias("spans"))
 
 
 def _listed(of: Column, rules: Sequence[Rule]) -> Column:
@@ -201,16 +197,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     used but to be returned, and may be NULL. Repeated rows stay; an empty table
     gives no rows; other columns are left out.
     """
-    found = with_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, rules)
+    found = with_spans(docs, id_col, text_col, rules, [id_col])
     base = [i for i, r in enumerate(rules) if r.kind in BASE_KINDS]
-    of_kind = lambda i: F.filter("secret_spans", lambda s: s["kind"] == i)
+    of_kind = lambda i: F.filter("spans", lambda s: s["kind"] == i)
     counts = {f"n_{rules[i].kind}": F.size(of_kind(i)).cast("long") for i in base}
-    of_base = F.filter("secret_spans", lambda s: s["kind"].isin(base))
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select(
-        id_col,
+        F.col("of")[id_col].alias(id_col),
         *[c.alias(n) for n, c in counts.items()],
         F.sha2(_listed(of_base, rules), 256).alias("base_sha256"),
-        _listed(F.col("secret_spans"), rules).alias("spans"),
+        _listed(F.col("spans"), rules).alias("spans"),
     )
 
 
@@ -220,8 +216,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     Texts without secrets, NULL ones too, stay as they are. ``length_col`` names a
     column that is set to the new length where a text has changed.
     """
-    found = with_spans(docs, id_col, text_col, rules, "_spans", keep_text=True)
-    text = F.col(f"`{text_col}`")
+    found = with_spans(docs, id_col, text_col, rules)
+    text = F.col("of")[text_col]
 
     def step(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
@@ -229,12 +225,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["made"], piece)).otherwise(acc["made"]).alias("made"))
 
     rest = lambda acc: F.concat(acc["made"], F.substring(text, acc["at"] + 1, F.length(text)))
-    made = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("made")), step, rest)
-    hit = F.size("_spans") > 0
-    columns = {text_col: F.when(hit, made).otherwise(text)}
+    made = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("made")), step, rest)
+    found = found.select("of", F.when(F.size("spans") > 0, made).alias("made"))
+    new = {text_col: F.coalesce("made", text)}
     if length_col:
-        columns[length_col] = F.when(hit, F.length(made)).otherwise(F.col(f"`{length_col}`")).cast(docs.schema[length_col].dataType)
-    return found.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length_col] = F.coalesce(F.length("made"), F.col("of")[length_col]).cast(docs.schema[length_col].dataType)
+    return found.select(*[new.get(c, F.col("of")[c]).alias(c) for c in docs.columns])
 
 
 def oracle_sql(table: str = "documents", rules: Sequence[Rule] = RULES) -> str:

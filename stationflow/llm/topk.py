@@ -158,7 +158,8 @@ def top_k(
     largest = F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))
     size = rows.union(asked).agg(largest.alias("value"), F.max(F.size("vector")).alias("width")).first()
     n_shards, n_blocks = max(1, -(-rows.count() // shard)), max(1, -(-asked.count() // block))
-    in_doubles = ((size["value"] or 0) * SCALE + 1) ** 2 * max(1, size["width"] or 0) < EXACT
+    most = min(size["value"] or 0.0, EXACT) * SCALE + 1
+    in_doubles = most * most * max(1, size["width"] or 0) < EXACT
     number = F.xxhash64("id", "vector")
     each = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     # Each block of queries meets each shard once; both are of bounded size, and equal rows are dealt out too.

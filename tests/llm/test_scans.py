@@ -1,0 +1,113 @@
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+
+from stationflow.llm import license_scan, secret_scan
+
+KINDS = [r.kind for r in secret_scan.RULES]
+PLAIN = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "access": (r"AKIA[A-Z0-9]+", 0, 16),
+    "hex": (r"[0-9a-f]+", 0, 32),
+}
+SECRETS = [
+    "",
+    None,
+    "password: token: abcdefgh12",
+    'é😀 api_key="ABCDEFGH" AKIA0123456789AB',
+    "apikey=12345678 deadbeef" * 3,
+    "token==abcdefg",
+    "SECRET : \"x\"; Passwd='longvalue123'",
+    "f" * 31 + " " + "e" * 32 + "AKIA" + "A" * 11 + " AKIA" + "B" * 12,
+    "-----BEGIN RSA PRIVATE KEY-----",
+    "ghp_" + "a" * 36 + " xoxb-1234567890 eyJabcdefghij.eyJabcdefghij.x",
+    "KKIA AKIAKIAAKIAAKIAAKIA",
+    "token=" + "0123456789abcdef" * 4000,
+    "pass word secre t toke n",
+]
+
+
+def spans(text):
+    out = []
+    for r in secret_scan.RULES:
+        pattern, group, least = PLAIN.get(r.kind, (r.pattern, 0, 1))
+        out += [(m.start(), KINDS.index(r.kind), m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return sorted(out)
+
+
+def said(found, base=False):
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found if not base or k < 3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, odd):
+    rnd = random.Random(4)
+    made = ["".join(rnd.choice(["password", "=", ":", " ", '"', "AKIA", "A1B2", "deadbeef", "token", "é", "x", "secret"]) for _ in range(60)) for _ in range(60)]
+    extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(SECRETS * 2 + made)], "doc_id long, text string")
+    return odd.select("doc_id", "text").union(extra).cache()
+
+
+def test_spans_equal_the_regexes(docs):
+    rows = secret_scan.scan(docs).collect()
+    key = lambda i: (i is None, i or 0)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted((r["doc_id"] for r in rows), key=key) == sorted((r["doc_id"] for r in docs.collect()), key=key)
+    for r in rows:
+        want = spans(texts[r["doc_id"]])
+        assert r["spans"] == said(want)
+        assert r["base_sha256"] == hashlib.sha256(said(want, True).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in want) for i in range(3)]
+
+
+def test_spans_equal_sql(docs, tmp_dir):
+    docs.toPandas().astype({"doc_id": "Int64"}).to_parquet(f"{tmp_dir}/d.parquet")
+    want = duckdb.sql(secret_scan.oracle_sql(f"'{tmp_dir}/d.parquet'")).limit(10**6).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in secret_scan.scan(docs).collect())
+
+
+def test_trigram_queries_hold_for_every_match():
+    for r in secret_scan.RULES:
+        query = secret_scan.trigram_query(r.pattern)
+        for text in SECRETS:
+            for m in re.finditer(r.pattern, text or ""):
+                assert query is None or any(all(g in m[0].lower() for g in clause) for clause in query)
+    assert secret_scan.trigram_query(r"[0-9a-f]{32,}") is None
+    assert secret_scan.trigram_query(r"(abcd|x)y*") is None
+    assert secret_scan.trigram_query(r"abc(de)?f") == [["abc", "bcd", "cde", "def"], ["abc", "bcf"]]
+
+
+def test_only_candidates_texts_are_shuffled(docs):
+    plan = secret_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_redact_keeps_rows_and_columns(spark, odd, none):
+    extra = odd.limit(0).union(spark.createDataFrame([(200, "my password=12345678abc, ok", "en", "s", "f", "r", 27)], odd.schema))
+    out = secret_scan.redact(odd.union(extra), length_col="n_chars")
+    assert out.columns == odd.columns and out.count() == odd.count() + 1
+    r = out.where("doc_id = 200").first()
+    assert (r["text"], r["n_chars"], r["score"]) == ("my <SECRET>, ok", 15, "s")
+    assert out.where("doc_id = 7").first()["text"] == odd.where("doc_id = 7").first()["text"]
+    assert secret_scan.redact(none).count() == 0 and secret_scan.scan(none).count() == 0
+
+
+def test_licences(spark, odd, none, tmp_dir):
+    mit = next(t for n, t in license_scan.LICENSES if n == "MIT" and len(t) > 200)
+    wrapped = mit.replace("Copyright (c) year holder", "Copyright 2024 Some One\n(c) 2021 Another").replace(" the ", "\n  the ").upper()
+    rows = [(300, mit), (301, wrapped), (302, "released under the MIT Licence!!\n\n LICENSED under CC-BY-NC 4.0\nx"), (303, "Copyright 2020 x"), (304, mit + " but not quite")]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = license_scan.scan(docs)
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert found.count() == docs.count()
+    assert by[300]["whole_license"] == by[301]["whole_license"] == "MIT" and by[300]["digest"] == by[301]["digest"]
+    assert (by[302]["n_notices"], by[302]["licenses"]) == (2, "CC-BY-NC-4.0,MIT")
+    assert by[303]["digest"] == by[1]["digest"] == hashlib.sha256(b"").hexdigest()
+    assert by[304]["licenses"] == ""
+    plain = docs.where("doc_id is not null and doc_id <> 10")  # DuckDB lowers some letters in its own way
+    plain.toPandas().to_parquet(f"{tmp_dir}/l.parquet")
+    want = duckdb.sql(license_scan.oracle_sql(f"'{tmp_dir}/l.parquet'")).limit(10**6).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in license_scan.scan(plain).collect())
+    assert license_scan.scan(none).count() == 0
