@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schemas import STATE, STATE_COLUMNS
-from .joins import bounded_broadcast
 
 KEY = "STATION_ID"
 MASTER_COLUMNS = ["STATION_ID", "STATION_NAME", "LAT", "LON", "CAPACITY"]
@@ -42,8 +41,10 @@ def latest_per_station(
 ) -> DataFrame:
     """One row per key: the row with the greatest ``order_by`` tuple.
 
-    ``max_by`` over a struct runs as partial + final aggregation, so a hot key
-    is pre-reduced in every map task instead of being shuffled whole.
+    Equal tuples are decided by the source file, if the input has ``SOURCE_FILE``
+    (the later poll's name is larger), then by the row's values, so the result
+    doesn't depend on how the input is split. ``max`` over a struct runs as partial
+    and final aggregation: a hot key is reduced in every map task before the shuffle.
 
     ``with_counts=True`` keeps the NULL-key group and adds ``_N``, the number of
     input rows per key, so a caller can count processed and rejected rows from
@@ -52,32 +53,34 @@ def latest_per_station(
     missing = [c for c in order_by if c not in status.columns]
     if missing:
         raise ValueError(f"ordering columns not in the input: {missing}")
-    rest = [c for c in status.columns if c != key]
-    ordering = F.struct(*[F.col(c) for c in order_by])
-    aggs = [F.max_by(F.struct(*[F.col(c) for c in rest]), ordering).alias("_latest")]
+    first = [*order_by, *[c for c in ("SOURCE_FILE",) if c in status.columns and c not in order_by]]
+    rest = [c for c in status.columns if c != key and c not in first]
+    aggs = [F.max(F.struct(*first, *rest)).alias("_latest")]
     if with_counts:
         aggs.append(F.count(F.lit(1)).alias("_N"))
     src = status if with_counts else valid_status(status)
-    out = src.groupBy(key).agg(*aggs).select(key, "_latest.*", *(["_N"] if with_counts else []))
-    return out
+    out = src.groupBy(key).agg(*aggs)
+    return out.select(*[F.col(key) if c == key else F.col(f"_latest.{c}") for c in status.columns], *(["_N"] if with_counts else []))
 
 
-def enrich_status(status: DataFrame, master: DataFrame, broadcast_master: bool | None = True) -> DataFrame:
+def latest_master(master: DataFrame) -> DataFrame:
+    """One row per station of a master that may hold several snapshots (D1): the
+    latest by ``TST_REC`` and source file, if there, then the largest row."""
+    order = [c for c in ("TST_REC", "SOURCE_FILE") if c in master.columns]
+    columns = [c for c in MASTER_COLUMNS + order if c in master.columns]
+    return latest_per_station(master.select(*columns), order).select(*MASTER_COLUMNS)
+
+
+def enrich_status(status: DataFrame, master: DataFrame) -> DataFrame:
     """Status LEFT JOIN master -> the 19 state columns (D1 + B5 + B6 + B4).
 
     Every status row is kept; a station missing from the master keeps NULL
-    name/coordinates/capacity/ratio. Extra status columns (e.g. an arrival
-    sequence) are carried after the state columns.
-
-    ``broadcast_master``: True hints a broadcast after a row-count check (use
-    it when ``status`` is the raw history, so the history is never shuffled);
-    None leaves the strategy to the planner and AQE (fine when ``status`` is
-    already one row per station); False means the caller already decided.
+    name/coordinates/capacity/ratio. ``master`` holds one row per station (see
+    :func:`latest_master`). Extra status columns (e.g. an arrival sequence) are
+    carried after the state columns. The join strategy is left to the planner and
+    AQE, which check the master's size when it runs.
     """
-    m = master.select(*MASTER_COLUMNS)
-    if broadcast_master:
-        m = bounded_broadcast(m)
-    joined = status.join(m, KEY, "left")
+    joined = status.join(master.select(*MASTER_COLUMNS), KEY, "left")
     state_exprs = {
         "OCCUPATION_RATIO": C.occupation_ratio("NUM_BIKES_AVAILABLE", "CAPACITY"),
         "LAST_REPORTED_TST": C.epoch_to_ntz("LAST_REPORTED"),
@@ -104,11 +107,10 @@ def current_state(
     """Latest status per station, enriched: the batch form of the state table.
 
     The history is reduced first, so the join with the master is station-sized
-    on both sides; its strategy is left to the planner (the master is broadcast
-    when its size is under the auto-broadcast threshold, checked again by AQE
-    at runtime).
+    on both sides.
     """
-    return enrich_status(latest_per_station(status, order_by), master, broadcast_master=None)
+    reduced = latest_per_station(status, order_by)
+    return enrich_status(reduced.select(*[c for c in reduced.columns if c != "SOURCE_FILE"]), latest_master(master))
 
 
 def refresh_count(batch: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql.types import DecimalType, TimestampNTZType, TimestampType
 
 from ..functions import columns as C
 from ..operators import balance, docks, geo, metrics, status
-from ..operators.joins import bounded_broadcast
 from ..session import cut_lineage, scratch_path
 from ..sources import readers, sinks
 from ..streaming.state import StateStore, refresh_state, start_state_refresh
@@ -80,7 +79,7 @@ def _state(spark: SparkSession, sf: str) -> DataFrame:
     """
     raw = S.status_raw(S.table(spark, sf, "events"))
     latest = S.status_typed(status.latest_per_station(raw, ORDER))
-    return status.enrich_status(latest, _master(spark, sf), broadcast_master=None)
+    return status.enrich_status(latest, _master(spark, sf))
 
 
 STATE_OUT = [
@@ -401,6 +400,11 @@ def q_invalid_ratio(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 
 
+def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds and counts read the features twice: stored, the history is reduced once."""
+    return cut_lineage(_features(spark, sf), "features")
+
+
 def _hist_sql(src: str, bins: int = 40) -> str:
     """numpy-style equal-width histogram in SQL: guess, then correct against the edges."""
     return f"""
@@ -427,7 +431,7 @@ FROM allb LEFT JOIN c ON allb.BIN = c.BIN, b
     _WITH + ", xs AS (SELECT OCCUPATION_RATIO AS x FROM state), " + _hist_sql("xs"),
 )
 def q_ratio_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.ratio_histogram(_features(spark, sf), "RATIO", 40)
+    return metrics.ratio_histogram(_stored_features(spark, sf), "RATIO", 40)
 
 
 @query(
@@ -438,7 +442,7 @@ def q_ratio_histogram(spark: SparkSession, sf: str) -> DataFrame:
     + _hist_sql("xs"),
 )
 def q_visited_ratio_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    f = _features(spark, sf)
+    f = _stored_features(spark, sf)
     return metrics.ratio_histogram(f, C.visited_ratio("NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY"), 40)
 
 
@@ -539,44 +543,146 @@ def q_area_mean_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------
-# Rebalancing plan (H1-H7, D5): the greedy walk has no SQL twin (rows-only check)
+# Rebalancing plan
 # ---------------------------------------------------------------------------------------
 
+# The walk in SQL: from the start always the nearest candidate of the zone that is not
+# yet seen, then the amounts as a second recursion over the ordered stops.
+_PLAN_SQL = (
+    _WITH.replace("WITH m AS", "WITH RECURSIVE m AS")
+    + """
+, features AS (
+  SELECT s.*, CAST(CAPACITY AS DOUBLE) AS cap, coalesce(m2.POST_CODE, '') AS ZONE,
+         round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED
+  FROM state s LEFT JOIN (SELECT STATION_ID AS id2, POST_CODE FROM m) m2 ON s.STATION_ID = m2.id2),
+cand AS (SELECT * FROM features WHERE OCCUPATION_RATIO > 0e0 OR OCCUPATION_RATIO < 0.1e0),
+walk AS (
+  SELECT ZONE, 1 AS stop, STATION_ID AS id, LAT, LON, [STATION_ID] AS seen FROM (
+    SELECT *, row_number() OVER (PARTITION BY ZONE ORDER BY least(NEED, 0e0), STATION_ID) AS rn FROM cand) WHERE rn = 1
+  UNION ALL
+  SELECT ZONE, stop, id, LAT, LON, seen FROM (
+    SELECT w.ZONE, w.stop + 1 AS stop, c.STATION_ID AS id, c.LAT, c.LON, list_append(w.seen, c.STATION_ID) AS seen,
+           row_number() OVER (PARTITION BY w.ZONE ORDER BY
+             sqrt((c.LAT - w.LAT) * (c.LAT - w.LAT) + (c.LON - w.LON) * (c.LON - w.LON)) NULLS LAST, c.STATION_ID) AS rn
+    FROM walk w JOIN cand c ON c.ZONE = w.ZONE AND NOT list_contains(w.seen, c.STATION_ID)) WHERE rn = 1),
+stops AS (
+  SELECT w.ZONE, w.stop, w.id, lead(w.id) OVER (PARTITION BY w.ZONE ORDER BY w.stop) AS next_id,
+         c.NEED AS need, c.cap, CAST(c.NUM_BIKES_AVAILABLE AS DOUBLE) AS bikes, CAST(c.NUM_DOCKS_AVAILABLE AS DOUBLE) AS docks
+  FROM walk w JOIN cand c ON c.STATION_ID = w.id),
+visits AS (
+  SELECT ZONE, 0 AS stop, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS next_id, 0e0 AS amount, false AS pick, 0e0 AS load,
+         0e0 AS bikes, 0e0 AS docks, 0e0 AS cap
+  FROM stops WHERE stop = 1
+  UNION ALL
+  SELECT ZONE, stop, id, next_id, amount, pick, load + CASE WHEN pick THEN amount ELSE -amount END,
+         bikes - CASE WHEN pick THEN amount ELSE -amount END, docks + CASE WHEN pick THEN amount ELSE -amount END, cap
+  FROM (
+    SELECT s.ZONE, s.stop, s.id, s.next_id, s.need < 0 AS pick, v.load, s.bikes, s.docks, s.cap,
+           CASE WHEN s.need < 0 THEN least(least(20e0 - v.load, abs(s.need)), s.bikes)
+                ELSE round_even(least(v.load, s.need, s.docks) / 1.7e0, 0) END AS amount
+    FROM visits v JOIN stops s ON s.ZONE = v.ZONE AND s.stop = v.stop + 1 AND s.next_id IS NOT NULL)),
+legs AS (
+  SELECT ZONE, CAST(stop AS INTEGER) AS LEG_NO, id AS FROM_ID, next_id AS TO_ID, CAST(amount AS INTEGER) AS AMOUNT,
+         CASE WHEN pick THEN 'Picked up ' ELSE 'Dropped off ' END || CAST(CAST(amount AS INTEGER) AS VARCHAR) || ' bikes' AS ACTION,
+         CAST(load AS BIGINT) AS LOAD_AFTER, CAST(bikes AS BIGINT) AS BIKES_AFTER, CAST(docks AS BIGINT) AS DOCKS_AFTER,
+         bikes / cap AS RATIO_AFTER, round_even(cap * 0.5e0 - bikes, 0) AS NEED_AFTER
+  FROM visits WHERE stop > 0),
+texts AS (SELECT *, 'Bus ' || ACTION || ', then moved from Station ' || FROM_ID || ' to Station ' || TO_ID || '.' AS TEXT FROM legs),
+applied AS (
+  SELECT f.STATION_ID, f.ZONE, f.cap, f.OCCUPATION_RATIO AS INITIAL_RATIO,
+         CAST(coalesce(l.BIKES_AFTER, f.NUM_BIKES_AVAILABLE) AS BIGINT) AS NUM_BIKES_AVAILABLE,
+         CAST(CASE WHEN l.FROM_ID IS NULL THEN f.NUM_DOCKS_AVAILABLE ELSE l.DOCKS_AFTER END AS BIGINT) AS NUM_DOCKS_AVAILABLE,
+         CASE WHEN l.FROM_ID IS NULL THEN f.OCCUPATION_RATIO ELSE l.RATIO_AFTER END AS RATIO,
+         CASE WHEN l.FROM_ID IS NULL THEN f.NEED ELSE l.NEED_AFTER END AS NEED
+  FROM features f LEFT JOIN legs l ON l.FROM_ID = f.STATION_ID)
+"""
+)
 
-def _zoned_features(spark: SparkSession, sf: str) -> DataFrame:
-    m = _master(spark, sf)
-    zones = m.select("STATION_ID", "POST_CODE")
-    return balance.station_features(_state(spark, sf)).join(zones, "STATION_ID", "left")
+_AFTER_SQL = "CASE WHEN cap <> 0 THEN CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / cap END"
 
 
-@query("plan_routes")
+def _planner_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Planner features with their zone: stored once as a station-sized table, so that
+    the status history is reduced once however often the plan reads it."""
+    zones = _master(spark, sf).select("STATION_ID", "POST_CODE")
+    features = balance.station_features(_state(spark, sf)).join(zones, "STATION_ID", "left")
+    return cut_lineage(features, "features")
+
+
+def _plan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(features, legs) from the largest surplus of each zone; the walk is stored once."""
+    f = _planner_input(spark, sf)
+    return f, cut_lineage(balance.plan_routes(f, "POST_CODE", start="max_surplus"), "legs")
+
+
+@query("plan_routes", _PLAN_SQL + "SELECT * FROM legs")
 def q_plan_routes(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.plan_routes(_zoned_features(spark, sf), "POST_CODE")
+    return balance.plan_routes(_planner_input(spark, sf), "POST_CODE", start="max_surplus")
 
 
-def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Planner input read twice (walk and write-back): stored once as a
-    station-sized table so the status history is reduced only once."""
-    return cut_lineage(_zoned_features(spark, sf), "features")
+_APPLIED_OUT = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "INITIAL_RATIO", "RATIO", "NEED"]
 
 
-@query("apply_plan")
+@query("apply_plan", _PLAN_SQL + "SELECT " + ", ".join(_APPLIED_OUT) + " FROM applied")
 def q_apply_plan(spark: SparkSession, sf: str) -> DataFrame:
-    f = _stored_features(spark, sf)
-    return balance.apply_plan(f, balance.plan_routes(f, "POST_CODE"))
+    return balance.apply_plan(*_plan(spark, sf)).select(*_APPLIED_OUT)
 
 
-@query("route_legs")
+@query(
+    "route_legs",
+    _PLAN_SQL
+    + """
+SELECT t.ZONE, LEG_NO, FROM_ID, TO_ID, AMOUNT, ACTION, CAST(a.LAT AS DOUBLE) AS FROM_LAT, CAST(a.LON AS DOUBLE) AS FROM_LON,
+       CAST(b.LAT AS DOUBLE) AS TO_LAT, CAST(b.LON AS DOUBLE) AS TO_LON, TEXT
+FROM texts t LEFT JOIN m a ON a.STATION_ID = FROM_ID LEFT JOIN m b ON b.STATION_ID = TO_ID
+""",
+)
 def q_route_legs(spark: SparkSession, sf: str) -> DataFrame:
-    f = _zoned_features(spark, sf)
-    return balance.route_legs(balance.plan_routes(f, "POST_CODE"), _master(spark, sf))
+    return balance.route_legs(_plan(spark, sf)[1], _master(spark, sf))
 
 
-@query("plan_entropy_report")
+@query(
+    "route_text",
+    _PLAN_SQL
+    + f"""
+SELECT ZONE, '{balance.PLAN_HEADER}' || chr(10) || string_agg(TEXT || chr(10), '' ORDER BY LEG_NO) AS TEXT FROM texts GROUP BY ZONE
+""",
+)
+def q_route_text(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.route_text(_plan(spark, sf)[1])
+
+
+@query(
+    "plan_entropy_report",
+    _PLAN_SQL
+    + f"""
+, e AS (
+  SELECT sum(CASE WHEN v = 0 THEN ent END) AS b, sum(CASE WHEN v = 1 THEN ent END) AS a
+  FROM (SELECT v, {_ENTROPY_SQL} AS ent
+        FROM (SELECT 0 AS v, INITIAL_RATIO AS r FROM applied UNION ALL SELECT 1 AS v, {_AFTER_SQL} AS r FROM applied)))
+SELECT round(coalesce(b, 0), 4) AS INITIAL_ENTROPY, round(coalesce(a, 0), 4) AS FINAL_ENTROPY,
+       round(coalesce(a, 0) - coalesce(b, 0), 4) AS ENTROPY_GAIN
+FROM e
+""",
+)
 def q_plan_entropy_report(spark: SparkSession, sf: str) -> DataFrame:
-    f = _stored_features(spark, sf)
-    applied = balance.apply_plan(f, balance.plan_routes(f, "POST_CODE"))
-    return metrics.entropy_report(applied, "INITIAL_RATIO", C.visited_ratio("NUM_BIKES_AVAILABLE", "TOTAL_CAPACITY"))
+    return balance.plan_metrics(balance.apply_plan(*_plan(spark, sf)))[0]
+
+
+@query(
+    "plan_histograms",
+    _PLAN_SQL
+    + ", before AS (SELECT INITIAL_RATIO AS x FROM applied), after AS (SELECT "
+    + _AFTER_SQL
+    + " AS x FROM applied), hist_before AS (WITH "
+    + _hist_sql("before")
+    + "), hist_after AS (WITH "
+    + _hist_sql("after")
+    + ") SELECT 'before' AS PLAN, * FROM hist_before UNION ALL SELECT 'after' AS PLAN, * FROM hist_after",
+)
+def q_plan_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    _, before, after = balance.plan_metrics(balance.apply_plan(*_plan(spark, sf)))
+    return before.withColumn("PLAN", F.lit("before")).unionByName(after.withColumn("PLAN", F.lit("after")))
 
 
 # ---------------------------------------------------------------------------------------
@@ -611,12 +717,10 @@ def _two_batches(spark: SparkSession, sf: str) -> tuple[StateStore, DataFrame, D
     return StateStore(spark, scratch_path(spark, "state")), first, second
 
 
-def _run_two_batches(spark: SparkSession, sf: str) -> StateStore:
+def _run_two_batches(spark: SparkSession, sf: str, order: str = "arrival") -> StateStore:
     store, first, second = _two_batches(spark, sf)
-    # The broadcast decision for the master is taken once for the whole run.
-    dim = bounded_broadcast(_master(spark, sf).select(*status.MASTER_COLUMNS))
     for batch_id, batch in enumerate((first, second)):
-        refresh_state(batch, batch_id, store, dim, order_by=ORDER, order="arrival", broadcast_master=False)
+        refresh_state(batch, batch_id, store, _master(spark, sf), order_by=ORDER, order=order)
     return store
 
 

@@ -1,11 +1,13 @@
 """Keyed current-state table kept by micro-batch upsert.
 
-The state lives in a folder of versioned Parquet snapshots,
-``<root>/v=<batch_id>``, plus an append-only commit log ``<root>/_commits``
-(one small JSON file per committed version). Readers take the newest
-committed version. Batch *n* is always rebuilt from the newest version
-*below* n, so replaying a batch after a failure rewrites the same snapshot
-(idempotent), and no job ever reads and overwrites the same path.
+The state lives in a folder of Parquet snapshots. Each attempt to write one has
+a folder of its own, ``<root>/data/<sequence>-<random>``, and is published by one
+small file, ``<root>/_commits/<sequence>``, that names it; creating that file is
+the commit. Sequence numbers are the store's own, so a stream that starts anew
+(and numbers its batches from 0 again) goes on behind what is there. A batch of
+a query that is committed already is a replay and changes nothing. No job ever
+writes where another may read, and the newest state is found by listing the
+commits, without a Spark job. Old versions and left-over attempts are removed.
 
 Upsert without a lakehouse format: ``prev LEFT ANTI JOIN batch`` on the key,
 ``UNION`` the batch. The batch is first reduced to one row per key (a MERGE
@@ -15,76 +17,111 @@ Work per batch is O(stations), not O(history).
 
 from __future__ import annotations
 
+import json
 import logging
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from ..operators.joins import bounded_broadcast
-from ..operators.status import KEY, MASTER_COLUMNS, enrich_status, latest_per_station
+from ..operators.status import KEY, enrich_status, latest_master, latest_per_station
+from ..schemas import STATE_COLUMNS
 
 log = logging.getLogger(__name__)
 
 ORDERS = ("arrival", "event_time")
+Master = DataFrame | Callable[[], DataFrame]
+
+
+@dataclass(frozen=True)
+class Commit:
+    """One published version."""
+
+    sequence: int
+    query: str
+    batch: int
+    path: str
+    rows: int
 
 
-@dataclass
 class StateStore:
-    spark: SparkSession
-    root: str
-    # Newest committed batch id as last seen by this object (kept current by
-    # :meth:`write`); ``_loaded`` tells an empty log from one never read.
-    _latest: int | None = field(default=None, repr=False)
-    _loaded: bool = field(default=False, repr=False)
-
-    @property
-    def commits(self) -> str:
-        return f"{self.root.rstrip('/')}/_commits"
-
-    def version_path(self, batch_id: int) -> str:
-        return f"{self.root.rstrip('/')}/v={int(batch_id)}"
-
-    def _log_max(self, below: int | None) -> int | None:
-        """Max committed batch id from the log (one small aggregate)."""
+    """Versions of the state under ``root``; the newest ``keep`` ones stay readable."""
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 10):
+        if keep < 1:
+            raise ValueError("at least one version has to be kept")
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+
+    # Small files are read, written and listed through the file system of the root, be it local or shared.
+    def _path(self, name: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._path(folder)
+        # A folder that isn't there is empty; any other trouble is an error.
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _commit(self, name: str) -> Commit:
+        fs, path = self._path(f"_commits/{name}")
+        stream = fs.open(path)
+        try:
+            text = bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+        return Commit(**json.loads(text))
+
+    def commits(self) -> list[Commit]:
+        """The kept commits, oldest first."""
+        return [self._commit(n) for n in self._names("_commits") if n.isdigit()]
+
+    def latest(self) -> Commit | None:
+        names = [n for n in self._names("_commits") if n.isdigit()]
+        return self._commit(names[-1]) if names else None
+
+    def latest_version(self) -> int | None:
+        """Sequence number of the newest version."""
+        newest = self.latest()
+        return None if newest is None else newest.sequence
+
+    def committed(self, query: str, batch: int) -> Commit | None:
+        """The commit of a query's batch, if it is among the kept ones."""
+        return next((c for c in reversed(self.commits()) if (c.query, c.batch) == (query, batch)), None)
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """A kept version by its sequence number, or the newest; None if nothing is published."""
+        commit = self.latest() if version is None else self._commit(f"{version:012d}")
+        return None if commit is None else self.spark.read.parquet(f"{self.root}/{commit.path}")
+
+    def write(self, df: DataFrame, query: str, batch: int, rows: int = 0) -> Commit:
+        """Write a version into a folder of its own, then publish it."""
+        newest = self.latest_version()
+        sequence = 0 if newest is None else newest + 1
+        commit = Commit(sequence, query, int(batch), f"data/{sequence:012d}-{uuid.uuid4().hex[:8]}", int(rows))
+        df.write.parquet(f"{self.root}/{commit.path}")
+        fs, path = self._path(f"_commits/{sequence:012d}")
+        stream = fs.create(path, False)  # fails if another writer was first
         try:
-            log_df = self.spark.read.schema("BATCH_ID long, PATH string").json(self.commits)
-        except AnalysisException:
-            return None
-        if below is not None:
-            log_df = log_df.where(F.col("BATCH_ID") < below)
-        v = log_df.agg(F.max("BATCH_ID")).first()[0]
-        return None if v is None else int(v)
-
-    def latest_version(self, below: int | None = None, refresh: bool = False) -> int | None:
-        """Newest committed batch id (optionally strictly below ``below``)."""
-        if refresh or not self._loaded:
-            self._latest, self._loaded = self._log_max(None), True
-        if below is None or self._latest is None or self._latest < below:
-            return self._latest
-        return self._log_max(below)  # a replay: look further back in the log
-
-    def read(self, version: int | None = None, below: int | None = None) -> DataFrame | None:
-        """A committed version: ``version``, else the newest below ``below``
-        (the writer's own view), else the newest in the log (re-read, so a
-        reader sees commits made by other jobs)."""
-        v = version if version is not None else self.latest_version(below, refresh=below is None)
-        if v is None:
-            return None
-        return self.spark.read.parquet(self.version_path(v))
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        """Write version ``batch_id`` (replacing a half-written one), then commit it."""
-        path = self.version_path(batch_id)
-        df.write.mode("overwrite").parquet(path)
-        self.spark.createDataFrame([(int(batch_id), path)], "BATCH_ID long, PATH string").coalesce(1).write.mode(
-            "append"
-        ).json(self.commits)
-        if self._loaded and (self._latest is None or batch_id > self._latest):
-            self._latest = int(batch_id)
+            stream.write(bytearray(json.dumps(commit.__dict__), "utf-8"))
+        finally:
+            stream.close()
+        self._clean(sequence)
+        return commit
+
+    def _clean(self, newest: int) -> None:
+        """Remove versions older than the kept ones, commit first, and attempts that never were published."""
+        oldest = newest - self.keep + 1
+        for name in self._names("_commits"):
+            if name.isdigit() and int(name) < oldest:
+                fs, path = self._path(f"_commits/{name}")
+                fs.delete(path, False)
+        for name in self._names("data"):
+            if int(name.split("-")[0]) < oldest:
+                fs, path = self._path(f"data/{name}")
+                fs.delete(path, True)
 
 
 def upsert(prev: DataFrame | None, batch: DataFrame, key: str = KEY) -> DataFrame:
@@ -98,26 +135,28 @@ def refresh_state(
     batch: DataFrame,
     batch_id: int,
     store: StateStore,
-    master: DataFrame,
+    master: Master,
     order_by: Sequence[str] = ("LAST_REPORTED", "TST_REC"),
     order: str = "arrival",
-    broadcast_master: bool = True,
+    query: str = "batch",
 ) -> str:
-    """One refresh (G5): dedup + enrich the batch, upsert into the newest state
-    below ``batch_id``, write version ``batch_id``; returns 'Processed N rows'.
+    """One refresh (G5): reduce and enrich the batch, upsert it into the newest
+    state, publish the result; returns 'Processed N rows'.
 
+    ``query`` and ``batch_id`` name the batch; one that is committed already is
+    not applied again. ``master`` is a frame, or a function that reads the master
+    as it is now; of several rows for a station the latest counts.
     ``order="arrival"`` (the reference): whatever arrives later wins, even with
     an older LAST_REPORTED. ``order="event_time"``: the newer ``order_by`` wins (G6).
-    Inside a batch the newest ``order_by`` row per station is kept, then the
-    source file name when the batch carries one. Rows with a NULL key are
-    dropped and counted (G7).
+    Inside a batch the newest ``order_by`` row per station is kept, then that of the
+    last source file. Rows with a NULL key are dropped and counted (G7).
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
-    if "SOURCE_FILE" in batch.columns and "SOURCE_FILE" not in order_by:
-        # Equal report times inside one batch: the later poll file wins.
-        order_by = (*order_by, "SOURCE_FILE")
-    prev = store.read(below=batch_id)
+    done = store.committed(query, batch_id)
+    if done is not None:
+        return f"Processed {done.rows} rows"
+    prev = store.read()
     # One pass over the micro-batch: reduce to one row per key, keeping the row
     # counts (NULL-key group included) for the message and the reject count.
     reduced = latest_per_station(batch, order_by, with_counts=True).persist()
@@ -125,41 +164,47 @@ def refresh_state(
         stats = reduced.agg(
             F.sum("_N").alias("rows"), F.sum(F.when(F.col(KEY).isNull(), F.col("_N"))).alias("rejected")
         ).first()
-        fresh = enrich_status(reduced.where(F.col(KEY).isNotNull()).drop("_N"), master, broadcast_master)
+        rows = stats["rows"] or 0
+        dimension = latest_master(master() if callable(master) else master)
+        fresh = enrich_status(reduced.where(F.col(KEY).isNotNull()).drop("_N"), dimension)
+        # What orders rows besides the state's own columns is kept, the file a row came from is not.
+        extra = [c for c in order_by if c not in STATE_COLUMNS]
+        fresh = fresh.select(*STATE_COLUMNS, *[c for c in extra if c in fresh.columns])
         if order == "arrival" or prev is None:
             new = upsert(prev, fresh)
         else:
             new = latest_per_station(prev.unionByName(fresh, allowMissingColumns=True), order_by)
-        store.write(new, batch_id)
+        store.write(new, query, batch_id, rows)
     finally:
         reduced.unpersist()
-    msg = f"Processed {stats['rows'] or 0} rows"
     if stats["rejected"]:
         log.warning("batch %s: %s rows without a station id were dropped", batch_id, stats["rejected"])
-    log.info("batch %s: %s", batch_id, msg)
-    return msg
+    log.info("batch %s: processed %s rows", batch_id, rows)
+    return f"Processed {rows} rows"
 
 
 def start_state_refresh(
     source: DataFrame,
-    master: DataFrame,
+    master: Master,
     store_root: str,
     checkpoint_location: str,
     processing_time: str | None = "5 minutes",
     available_now: bool = False,
     order_by: Sequence[str] = ("LAST_REPORTED", "TST_REC"),
     order: str = "arrival",
+    keep: int = 10,
 ) -> StreamingQuery:
     """Run :func:`refresh_state` on every micro-batch of a streaming status
-    source (G1, G3). Offsets commit only after the batch's snapshot is written
-    (at-least-once + idempotent rewrite); empty triggers run nothing (C8).
+    source (G1, G3). Offsets commit only after the batch's version is published,
+    and a batch that comes again is recognised by the stream's id; empty triggers
+    run nothing (C8). Give ``master`` as a function for a master that changes: it
+    is called for each batch.
     """
-    spark = source.sparkSession
-    store = StateStore(spark, store_root)
-    dim = bounded_broadcast(master.select(*MASTER_COLUMNS))
+    store = StateStore(source.sparkSession, store_root, keep)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        refresh_state(batch, batch_id, store, dim, order_by, order, broadcast_master=False)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        refresh_state(batch, batch_id, store, master, order_by, order, query=stream or checkpoint_location)
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     if available_now:
