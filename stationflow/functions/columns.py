@@ -6,8 +6,6 @@ them stay inside whole-stage codegen; none is a Python UDF.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +19,8 @@ DROPOFF_DIVISOR = 1.7
 INITIAL_TARGET = 0.45
 VISITED_TARGET = 0.5
 COLOR_THRESHOLD = 0.1
+# 0001-01-01 and the last second of 9999.
+MIN_EPOCH, MAX_EPOCH = -62_135_596_800, 253_402_300_799
 # Mean Earth radius in metres (the reference names none; kept as a parameter).
 EARTH_RADIUS_M = 6371008.8
 
@@ -65,17 +65,22 @@ def ingest_stamp() -> Column:
 
 
 def epoch_to_ntz(seconds: ColumnOrName) -> Column:
-    """Epoch seconds -> UTC wall time as TIMESTAMP_NTZ, independent of the session zone."""
-    return F.timestamp_add("SECOND", as_column(seconds), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    """Epoch seconds -> UTC wall time as TIMESTAMP_NTZ, independent of the session zone.
+
+    Seconds outside the years 1 to 9999 give NULL, so one bad report can't fail a batch.
+    """
+    s = as_column(seconds)
+    stamp = F.timestamp_add("SECOND", s, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.when(s.between(MIN_EPOCH, MAX_EPOCH), stamp)
 
 
 def occupation_ratio(bikes: ColumnOrName, capacity: ColumnOrName) -> Column:
     """Exact decimal quotient, 6 decimals then stored as NUMBER(12,4), half-up.
 
-    Zero capacity gives NULL instead of failing the batch.
+    Zero capacity and a quotient that NUMBER(12,4) can't hold give NULL instead of failing the batch.
     """
     q = F.try_divide(as_column(bikes).cast("decimal(19,0)"), as_column(capacity).cast("decimal(19,0)"))
-    return F.round(q, 6).cast("decimal(12,4)")
+    return F.round(q, 6).try_cast("decimal(12,4)")
 
 
 def usable_docks(bikes: ColumnOrName, docks: ColumnOrName) -> Column:
@@ -169,7 +174,7 @@ def geo_distance_m(
     s1 = F.sin(dp / 2.0)
     s2 = F.sin(dl / 2.0)
     h = s1 * s1 + F.cos(p1) * F.cos(p2) * s2 * s2
-    return F.lit(2.0 * radius_m) * F.asin(F.sqrt(h))
+    return F.lit(2.0 * radius_m) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
 def degree_distance(lat1: ColumnOrName, lon1: ColumnOrName, lat2: ColumnOrName, lon2: ColumnOrName) -> Column:
@@ -179,11 +184,8 @@ def degree_distance(lat1: ColumnOrName, lon1: ColumnOrName, lat2: ColumnOrName,
     return F.sqrt(dlat * dlat + dlon * dlon)
 
 
-def metres_to_lat_degrees(metres: float, radius_m: float = EARTH_RADIUS_M) -> float:
-    return math.degrees(metres / radius_m)
-
-
 # --- B17-B19: text and visited ratio --------------------------------------------------
+# The output sentences below must read as the reference's do.
 
 
 def refresh_message(n: ColumnOrName) -> Column:

@@ -20,19 +20,18 @@ def broken_docks(master: DataFrame, state: DataFrame) -> DataFrame:
     an inner one. The result is unordered; order at the consumer.
     """
     m = master.select("STATION_ID", F.col("CAPACITY").alias("TOTAL_DOCKS"), "STATION_NAME", "ADDRESS", "LAT", "LON")
-    cur = state.select(
-        "STATION_ID", C.usable_docks("NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE").alias("TOTAL_USABLE_DOCKS")
-    )
+    cur = state.select("STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE")
+    broken = C.broken_docks("TOTAL_DOCKS", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE")
     return (
         m.join(cur, "STATION_ID", "left")
-        .where(F.col("TOTAL_USABLE_DOCKS") < F.col("TOTAL_DOCKS"))
+        .where(C.usable_docks("NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE") < F.col("TOTAL_DOCKS"))
         .select(
             "STATION_ID",
             "STATION_NAME",
             "ADDRESS",
             "LAT",
             "LON",
-            (F.col("TOTAL_DOCKS") - F.col("TOTAL_USABLE_DOCKS")).alias("BROKEN_DOCKS"),
+            broken.alias("BROKEN_DOCKS"),
         )
     )
 

@@ -2,14 +2,16 @@
 
 No operator here forms all pairs. Pair searches run as equi-joins on grid
 cells sized from the search radius, so the work grows with the number of
-pairs that are actually close, not with n^2:
+pairs that are actually close, not with n^2. A cell that holds many points is
+split into shards: its points are dealt out, and the probes of the cell go to
+every shard, so no task holds a whole dense cell.
 
 * ``pairs_within`` -- every unordered pair within ``max_distance_m`` metres
-  (great-circle). The cell is the largest latitude/longitude step two points
-  that close can have, so checking the own cell plus 4 "forward" neighbour
-  cells finds every pair exactly once.
-* ``degree_pairs_within`` -- the same with the reference's degree distance,
-  as ordered pairs.
+  (great-circle). Latitude bands as high as the radius; each band has columns
+  of its own, wide enough for two points that close at its latitudes, and they
+  close at +-180 degrees.
+* ``degree_pairs_within`` -- the same with the reference's degree distance on a
+  plane grid, as ordered pairs.
 * ``nearest_station`` -- nearest other station by degree distance: each
   station searches its 3x3 cells on a level quadtree, starting at the coarsest
   level where its cell is sparse and moving one level coarser while
@@ -26,14 +28,15 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import cut_lineage
 
-# Forward half of the 3x3 neighbourhood: own cell plus 4 neighbours, so each
-# unordered pair of cells is visited once.
+# Own cell plus the 4 forward neighbours: each unordered pair of plane cells is visited once.
 _HALF_NEIGHBOURS = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 _ALL_NEIGHBOURS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 # Relative slack on cell sizes so float rounding in floor(coord / step) cannot
 # push a qualifying pair two cells apart (quotients stay below ~1e9, whose
 # rounding error is ~1e-7).
 _SLACK = 1.0 + 1e-6
+# Points of one cell that one join key holds at most (on average, by a hash of the id).
+SHARD_ROWS = 2_048
 
 
 def _points(stations: DataFrame, id_col: str, lat_col: str, lon_col: str) -> DataFrame:
@@ -59,19 +62,58 @@ def _shifted(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     )
 
 
-def lon_step_for(lat_step_rad: float, max_abs_lat_deg: float) -> float:
-    """Largest longitude difference (degrees) two points within ``lat_step_rad``
-    of arc can have when both lie at |lat| <= max_abs_lat_deg."""
-    cos_max = math.cos(math.radians(min(max_abs_lat_deg, 90.0)))
-    s = math.sin(lat_step_rad / 2.0)
-    if cos_max <= 0.0 or s / cos_max >= 1.0:
-        return 361.0  # one column of cells: every longitude is a neighbour
-    return math.degrees(2.0 * math.asin(s / cos_max)) * _SLACK
+def _meet(points: DataFrame, probes: DataFrame, cell: list[str], shard_rows: int | None = None) -> DataFrame:
+    """``points`` joined with the ``probes`` of their cell; crowded cells in shards.
 
+    Both sides carry the cell columns; ``points`` has ``a_id``. The result has the
+    columns of both. Only cells above ``shard_rows`` are kept in the table of counts.
+    """
+    shard_rows = shard_rows or SHARD_ROWS
+    sizes = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > shard_rows)
+    crowded = cut_lineage(sizes.select(*cell, F.ceil(F.col("_n") / F.lit(shard_rows)).cast("long").alias("_shards")), "crowded")
+    one = F.coalesce("_shards", F.lit(1).cast("long"))
+    left = points.join(crowded, cell, "left").withColumn("_shard", F.pmod(F.xxhash64("a_id"), one)).drop("_shards")
+    right = probes.join(crowded, cell, "left").withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("_shards")
+    return left.join(right, [*cell, "_shard"]).drop("_shard")
+
+
+def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
+    return df.select(F.col("_id").alias(f"{name}_id"), F.col("_lat").alias(f"{name}_lat"), F.col("_lon").alias(f"{name}_lon"), *more)
+
+
+def _bands(points: DataFrame, arc: float) -> tuple[DataFrame, DataFrame]:
+    """(points, probes) by latitude band and longitude column for a search of ``arc`` radians.
+
+    A band is as high as the arc. Two points within the arc whose latitudes
+    stay below phi are apart by a longitude of 2 asin(sin(arc / 2) / cos(phi)) at
+    most; a band's columns are at least that wide for itself and the bands
+    beside it, so three columns hold all partners. Near the poles one column is
+    left. A probe goes to its own band and the one above.
+    """
+    height = math.degrees(arc) * _SLACK
+    half = math.sin(arc / 2.0)
+
+    def band(lat: Column) -> Column:
+        return F.floor((lat + 90.0) / F.lit(height))
+
+    def columns(of: Column) -> Column:
+        reach = F.greatest(F.abs((of - 1) * F.lit(height) - 90.0), F.abs((of + 2) * F.lit(height) - 90.0))
+        ratio = F.lit(half) / F.cos(F.radians(F.least(reach, F.lit(90.0))))
+        width = F.degrees(2.0 * F.asin(F.least(ratio, F.lit(1.0)))) * _SLACK
+        return F.when((reach >= 90.0) | (ratio >= 1.0), F.lit(1)).otherwise(F.greatest(F.floor(360.0 / width), F.lit(1))).cast("long")
 
-def max_abs_lat(stations: DataFrame, lat_col: str = "LAT") -> float:
-    v = stations.agg(F.max(F.abs(F.col(lat_col).cast("double")))).first()[0]
-    return float(v) if v is not None else 0.0
+    def column(lon: Column, n: Column) -> Column:
+        turn = lon - 360.0 * F.floor(lon / 360.0)
+        return F.least(F.floor(turn / (F.lit(360.0) / n)), n - 1)
+
+    placed = points.withColumn("_band", band(F.col("_lat")))
+    placed = placed.withColumn("_cols", columns(F.col("_band"))).withColumn("_col", column(F.col("_lon"), F.col("_cols")))
+    probes = placed.select("_id", "_lat", "_lon", F.col("_band").alias("_home"), F.explode(F.array(F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    n = columns(F.col("_band"))
+    at = column(F.col("_lon"), n)
+    near = F.array_distinct(F.array(*[F.pmod(at + d, n) for d in (-1, 0, 1)]))
+    probes = probes.withColumn("_col", F.explode(near))
+    return _side(placed, "a", "_band", "_col"), _side(probes, "b", "_band", "_col", (F.col("_home") == F.col("_band")).alias("_own"))
 
 
 def pairs_within(
@@ -80,27 +122,23 @@ def pairs_within(
     id_col: str = "STATION_ID",
     lat_col: str = "LAT",
     lon_col: str = "LON",
-    max_abs_lat_deg: float | None = None,
     radius_m: float = C.EARTH_RADIUS_M,
+    shard_rows: int | None = None,
 ) -> DataFrame:
     """Unordered station pairs (SRC < TGT) within ``max_distance_m`` metres.
 
-    ``max_abs_lat_deg`` bounds |lat| of the input; when omitted it is read
-    from the data with one small aggregate. Longitudes are not wrapped at the
-    antimeridian.
+    Any radius is right: from half the circumference on, one cell is the whole
+    globe and all pairs qualify, because they were asked for.
     """
     if max_distance_m <= 0:
         raise ValueError("max_distance_m must be positive")
-    pts = _points(stations, id_col, lat_col, lon_col)
-    if max_abs_lat_deg is None:
-        max_abs_lat_deg = max_abs_lat(pts, "_lat")
-    lat_rad = max_distance_m / radius_m
-    lat_step = math.degrees(lat_rad) * _SLACK
-    lon_step = lon_step_for(lat_rad, max_abs_lat_deg)
-    cells = _cells(pts, lat_step, lon_step)
+    points = _points(stations, id_col, lat_col, lon_col)
+    near, probes = _bands(points, min(max_distance_m / radius_m, math.pi))
     dist = C.geo_distance_m("a_lon", "a_lat", "b_lon", "b_lat", radius_m)
     return (
-        _grid_self_join(cells)
+        _meet(near, probes, ["_band", "_col"], shard_rows)
+        # Inside a band each pair meets from both ends.
+        .where((~F.col("_own") & (F.col("a_id") != F.col("b_id"))) | (F.col("a_id") < F.col("b_id")))
         .select(
             F.least("a_id", "b_id").alias("SRC_STATION_ID"),
             F.greatest("a_id", "b_id").alias("TGT_STATION_ID"),
@@ -110,35 +148,13 @@ def pairs_within(
     )
 
 
-def _grid_self_join(cells: DataFrame) -> DataFrame:
-    """Each unordered pair of distinct points in the same or adjacent cells, once.
-
-    One side is copied into its own cell and 4 forward neighbours; a pair in
-    different cells then meets exactly once, and inside one cell both orders
-    meet, of which a_id > b_id is kept.
-    """
-    a = cells.select(F.col("_id").alias("a_id"), F.col("_lat").alias("a_lat"), F.col("_lon").alias("a_lon"), "_cy", "_cx")
-    b = _shifted(cells, _HALF_NEIGHBOURS).select(
-        F.col("_id").alias("b_id"),
-        F.col("_lat").alias("b_lat"),
-        F.col("_lon").alias("b_lon"),
-        F.col("_ny").alias("_cy"),
-        F.col("_nx").alias("_cx"),
-        ((F.col("_ny") == F.col("_cy")) & (F.col("_nx") == F.col("_cx"))).alias("same_cell"),
-    )
-    return (
-        a.join(b, ["_cy", "_cx"])
-        .where(~F.col("same_cell") | (F.col("a_id") > F.col("b_id")))
-        .where(F.col("a_id") != F.col("b_id"))
-    )
-
-
 def degree_pairs_within(
     stations: DataFrame,
     max_degrees: float,
     id_col: str = "STATION_ID",
     lat_col: str = "LAT",
     lon_col: str = "LON",
+    shard_rows: int | None = None,
 ) -> DataFrame:
     """Ordered pairs (i != j) with degree distance <= ``max_degrees`` (D4 in long form).
 
@@ -149,9 +165,13 @@ def degree_pairs_within(
         raise ValueError("max_degrees must be positive")
     step = max_degrees * _SLACK
     cells = _cells(_points(stations, id_col, lat_col, lon_col), step, step)
+    probes = _shifted(cells, _HALF_NEIGHBOURS)
+    own = ((F.col("_ny") == F.col("_cy")) & (F.col("_nx") == F.col("_cx"))).alias("_own")
+    probes = _side(probes.withColumn("_own", own), "b", "_own", "_ny", "_nx").withColumnsRenamed({"_ny": "_cy", "_nx": "_cx"})
     d = C.degree_distance("a_lat", "a_lon", "b_lat", "b_lon")
     close = (
-        _grid_self_join(cells)
+        _meet(_side(cells, "a", "_cy", "_cx"), probes, ["_cy", "_cx"], shard_rows)
+        .where((~F.col("_own") & (F.col("a_id") != F.col("b_id"))) | (F.col("a_id") < F.col("b_id")))
         .select("a_id", "b_id", d.alias("DISTANCE"))
         .where(F.col("DISTANCE") <= F.lit(float(max_degrees)))
     )
@@ -234,57 +254,44 @@ def nearest_station(
     span = max(stats["y1"] - y0, stats["x1"] - x0)
     base = max(span, 1e-9) * 2.0  # level-0 cell: every pair of points is in adjacent cells
 
-    levels = F.explode(F.sequence(F.lit(0), F.lit(NN_MAX_LEVEL)))
-
     def cell(axis: str, origin: float, level: Column) -> Column:
         step = F.lit(base) / F.pow(F.lit(2.0), level)
         return F.floor((F.col(axis) - F.lit(origin)) / step)
 
-    # Every representative at every level (station-sized x 33, the index).
-    index = reps.select("_id", "_lat", "_lon", levels.alias("_L")).select(
-        "_id", "_lat", "_lon", "_L", cell("_lat", y0, F.col("_L")).alias("_cy"), cell("_lon", x0, F.col("_L")).alias("_cx")
-    )
-    occupancy = index.groupBy("_L", "_cy", "_cx").agg(F.count(F.lit(1)).alias("_occ"))
-    start = (
-        index.join(occupancy, ["_L", "_cy", "_cx"])
-        .where(F.col("_occ") <= cell_target)
-        .groupBy("_id")
-        .agg(F.min("_L").alias("_L"))
-    )
-    # Points closer together than the finest level can resolve start there too.
-    pending = cut_lineage(
-        queries.join(start, "_id", "left").select(
-            "_id", "_lat", "_lon", F.coalesce(F.col("_L"), F.lit(NN_MAX_LEVEL)).alias("_L")
-        ),
-        "nn-pending",
-    )
-    cand = index.select(
-        F.col("_id").alias("c_id"), F.col("_lat").alias("c_lat"), F.col("_lon").alias("c_lon"), "_L", "_cy", "_cx"
-    )
+    def placed(df: DataFrame, level: Column | str) -> DataFrame:
+        at = df.select("_id", "_lat", "_lon", (F.explode(level) if isinstance(level, Column) else F.col(level)).alias("_L"))
+        return at.select("_id", "_lat", "_lon", "_L", cell("_lat", y0, F.col("_L")).alias("_cy"), cell("_lon", x0, F.col("_L")).alias("_cx"))
+
+    # Counts of every cell: reduced where they are read, so a coarse cell is no hot key. A cell
+    # is sparse if its count is; whether a query's own cell is follows from the counts alone.
+    key = ["_L", "_cy", "_cx"]
+    every = placed(reps, F.sequence(F.lit(0), F.lit(NN_MAX_LEVEL)))
+    counts = every.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    dense = cut_lineage(counts.where(F.col("_n") > cell_target).select(*key, "_n"), "nn-dense")
+    # The coarsest sparse level is the one below the finest dense cell that holds the station.
+    deepest = placed(queries, F.sequence(F.lit(0), F.lit(NN_MAX_LEVEL))).join(dense, key).groupBy("_id").agg(F.max("_L").alias("_dense"))
+    start = F.least(F.coalesce(F.col("_dense") + 1, F.lit(0)), F.lit(NN_MAX_LEVEL))
+    pending = cut_lineage(queries.join(deepest, "_id", "left").select("_id", "_lat", "_lon", start.alias("_L")), "nn-pending")
     answers = [dup_answers]
-    d = C.degree_distance("_lat", "_lon", "c_lat", "c_lon")
+    d = C.degree_distance("b_lat", "b_lon", "a_lat", "a_lon")
     # Every round lowers the level of the stations it leaves unresolved, and level
     # 0 resolves all, so the loop ends within NN_MAX_LEVEL + 1 rounds.
     for _ in range(NN_MAX_LEVEL + 1):
-        q = _shifted(
-            pending.select("_id", "_lat", "_lon", "_L", cell("_lat", y0, F.col("_L")).alias("_cy"), cell("_lon", x0, F.col("_L")).alias("_cx")),
-            _ALL_NEIGHBOURS,
-        ).select("_id", "_lat", "_lon", "_L", F.col("_ny").alias("_cy"), F.col("_nx").alias("_cx"))
-        best = (
-            q.join(cand, ["_L", "_cy", "_cx"])
-            .where(F.col("c_id") != F.col("_id"))
-            .groupBy("_id")
-            .agg(F.min(F.struct(d.alias("d"), F.col("c_id").alias("c"))).alias("b"))
-        )
-        scored = pending.join(best, "_id", "left")
+        probes = _shifted(placed(pending, "_L"), _ALL_NEIGHBOURS).drop("_cy", "_cx").withColumnsRenamed({"_ny": "_cy", "_nx": "_cx"})
+        # Candidates at the levels still searched only (33 at most), and there in searched cells only.
+        levels = sorted(r["_L"] for r in pending.select("_L").distinct().collect())
+        wanted = cut_lineage(probes.select(*key).distinct(), "nn-wanted")
+        near = placed(reps, F.array(*map(F.lit, levels))).join(wanted, key, "left_semi")
+        met = _meet(_side(near, "a", *key), _side(probes, "b", *key), key).where("a_id <> b_id")
+        best = met.groupBy("b_id").agg(F.min(F.struct(d.alias("d"), F.col("a_id").alias("c"))).alias("b"))
         step = F.lit(base) / F.pow(F.lit(2.0), F.col("_L"))
         ok = (F.col("_L") == 0) | (F.col("b").isNotNull() & (F.col("b.d") <= step / F.lit(_SLACK)))
-        # ``done`` reads the checkpointed ``pending`` of this round, so its lineage
-        # stays one round long without materialising it.
+        scored = pending.join(best.withColumnRenamed("b_id", "_id"), "_id", "left").withColumn("ok", F.coalesce(ok, F.lit(False)))
+        scored = cut_lineage(scored, "nn-scored")
         answers.append(
-            scored.where(ok).select(F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE"))
+            scored.where("ok").select(F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE"))
         )
-        pending = cut_lineage(scored.where(~ok).select("_id", "_lat", "_lon", (F.col("_L") - 1).alias("_L")), "nn-pending")
+        pending = scored.where("not ok").select("_id", "_lat", "_lon", (F.col("_L") - 1).alias("_L"))
         if pending.isEmpty():
             break
     out = answers[0]

@@ -7,6 +7,7 @@ both engines, and non-deterministic load stamps (TST_REC) are left out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from ..session import cut_lineage, scratch_path
 from ..sources import readers, sinks
 from ..streaming.state import StateStore, refresh_state, start_state_refresh
 from . import standins as S
+from .views import register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -770,6 +772,69 @@ def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     return present(StateStore(spark, f"{root}/state").read().select(*STATE_OUT))
 
 
+# The landed snapshots of a stream: event types in two parts, whose files are taken one a batch.
+_FEED_STATE = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS", "STATION_NAME", "CAPACITY"]
+
+
+def _ordered_feed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The two arrival parts; of polls of a station with one report time the last to
+    arrive, because a feed object doesn't say when it arrived."""
+    feed = _status(spark, sf).where("STATION_ID is not null")
+    rest = [c for c in feed.columns if c not in ("STATION_ID", "LAST_REPORTED", "EVENT_ID")]
+    latest = feed.groupBy("STATION_ID", "LAST_REPORTED").agg(F.max(F.struct("EVENT_ID", *rest)).alias("of")).select("STATION_ID", "LAST_REPORTED", "of.*")
+    first = latest.where(F.col("STATUS").isin(*FIRST_BATCH_TYPES))
+    second = latest.where(~F.col("STATUS").isin(*FIRST_BATCH_TYPES) | F.col("STATUS").isNull())
+    return first, second
+
+
+_FEED_STATE_SQL = (
+    _WITH
+    + "SELECT "
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in NULLABLE_INTS else c for c in _FEED_STATE)
+    + " FROM state"
+)
+
+
+def _stream_snapshots(spark: SparkSession, sf: str, parts: list[DataFrame], restart: bool) -> DataFrame:
+    """Land each part as a JSON snapshot and stream them, one file a batch; with
+    ``restart`` the stream stops after the first snapshot and a new one goes on."""
+    root = scratch_path(spark, "json-stream")
+    for i, part in enumerate(parts):
+        sinks.write_snapshot_json(sinks.to_feed_shape(part), f"{root}/landing", f"20240101_00{i:02d}00")
+        if restart or i == len(parts) - 1:
+            source = readers.stream_status_json(spark, f"{root}/landing", "stations*", max_files_per_trigger=1)
+            q = start_state_refresh(source, lambda: _master(spark, sf), f"{root}/state", f"{root}/checkpoint", available_now=True, order="event_time")
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise RuntimeError(str(q.exception()))
+    return present(StateStore(spark, f"{root}/state").read().select(*_FEED_STATE))
+
+
+@query("stream_json_snapshots", _FEED_STATE_SQL)
+def q_stream_json_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON snapshots through the streaming reader, one file a micro-batch."""
+    return _stream_snapshots(spark, sf, list(_ordered_feed(spark, sf)), restart=False)
+
+
+@query("stream_restart", _FEED_STATE_SQL)
+def q_stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, stopped after the first snapshot and started again on its checkpoint."""
+    return _stream_snapshots(spark, sf, list(_ordered_feed(spark, sf)), restart=True)
+
+
+@query("upsert_event_time", _WITH + "SELECT " + _STATE_OUT_SQL + " FROM state")
+def q_upsert_event_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrival batches where the newer report wins, whichever comes first."""
+    return present(_run_two_batches(spark, sf, "event_time").read().select(*STATE_OUT))
+
+
+@query("rejected_ids", "SELECT count(*) AS N_ROWS, count(*) FILTER (user_id IS NULL OR user_id % 7 = 0) AS N_REJECTED FROM events")
+def q_rejected_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that a refresh drops for want of an id, here those of every seventh station."""
+    feed = _status(spark, sf).withColumn("STATION_ID", F.when(F.col("STATION_ID") % 7 != 0, F.col("STATION_ID")))
+    return feed.agg(F.count(F.lit(1)).alias("N_ROWS"), F.count(F.when(F.col("STATION_ID").isNull(), 1)).alias("N_REJECTED"))
+
+
 # ---------------------------------------------------------------------------------------
 # Sources and sinks round trips
 # ---------------------------------------------------------------------------------------
@@ -786,7 +851,7 @@ def q_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     sinks.write_snapshot_json(sinks.to_feed_shape(first), base, "20240101_000000")
     sinks.write_snapshot_json(sinks.to_feed_shape(second), base, "20240101_000500")
     staging = scratch_path(spark, "staging")
-    sinks.append_staging(readers.read_status_json(spark, base, multi_line=False), staging)
+    sinks.append_staging(readers.read_status_json(spark, base), staging)
     return readers.read_table(spark, staging).select(*_FEED_COLS)
 
 
@@ -807,7 +872,55 @@ def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return present(readers.read_broken_docks_csv(spark, path))
 
 
-@query("file_inventory", "SELECT 'events.parquet' AS FILE_NAME, count(*) AS N_ROWS FROM events")
+@query(
+    "master_json_roundtrip",
+    f"WITH m AS ({S.MASTER_SQL}) SELECT STATION_ID, STATION_NAME, ADDRESS, POST_CODE, CAPACITY, "
+    "CAST(LAT AS DOUBLE) AS LAT, CAST(LON AS DOUBLE) AS LON FROM m",
+)
+def q_master_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Two master snapshots written as feed files, read and reduced to the latest row per station."""
+    m = _master(spark, sf)
+    feed = m.select(
+        F.col("STATION_ID").cast("string").alias("station_id"),
+        F.col("STATION_NAME").alias("name"),
+        F.col("ADDRESS").alias("address"),
+        F.col("POST_CODE").alias("post_code"),
+        F.col("CAPACITY").alias("capacity"),
+        F.col("LAT").cast("string").alias("lat"),
+        F.col("LON").cast("string").alias("lon"),
+    )
+    base = scratch_path(spark, "master")
+    sinks.write_snapshot_json(feed.withColumn("capacity", F.lit(1)), base, "20240101_000000")
+    sinks.write_snapshot_json(feed, base, "20240102_000000")
+    out = ["STATION_ID", "STATION_NAME", "ADDRESS", "POST_CODE", "CAPACITY", "LAT", "LON"]
+    read = readers.read_master_json(spark, base)
+    return present(status.latest_per_station(read, ("SOURCE_FILE",)).select(*out), nullable_ints=())
+
+
+@query("view_broken_docks", _WITH + "," + _BROKEN_SQL + "SELECT STATION_NAME, BROKEN_DOCKS FROM broken WHERE BROKEN_DOCKS > 1")
+def q_view_broken_docks(spark: SparkSession, sf: str) -> DataFrame:
+    """The named views through SQL text."""
+    prefix = f"q{uuid.uuid4().hex[:8]}_"
+    register_views(spark, _master(spark, sf), _state(spark, sf), pair_radius_m=PAIR_RADIUS_M, prefix=prefix)
+    return spark.sql(f"SELECT STATION_NAME, BROKEN_DOCKS FROM {prefix}broken_docks WHERE BROKEN_DOCKS > 1")
+
+
+@query(
+    "declared_types",
+    _WITH + "SELECT STATION_ID, CAST(OCCUPATION_RATIO AS DECIMAL(12,4)) AS OCCUPATION_RATIO, CAST(LAT AS DECIMAL(12,7)) AS LAT, LAST_REPORTED_TST FROM state",
+)
+def q_declared_types(spark: SparkSession, sf: str) -> DataFrame:
+    """State columns in their declared types: decimals and time stamps as they are."""
+    return _state(spark, sf).select("STATION_ID", "OCCUPATION_RATIO", "LAT", "LAST_REPORTED_TST")
+
+
+@query(
+    "file_inventory",
+    "SELECT 'events.parquet' AS FILE_NAME, count(*) AS N_ROWS, true AS HAS_SIZE, true AS HAS_TIME FROM events "
+    "UNION ALL SELECT 'orders.parquet', count(*), true, true FROM orders",
+)
 def q_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    inv = readers.file_inventory(spark, f"{sf.rstrip('/')}/events.parquet", "parquet")
-    return inv.select("FILE_NAME", "N_ROWS")
+    """The directory listing with sizes, times and rows of two tables' files."""
+    files = [readers.file_inventory(spark, f"{sf.rstrip('/')}/{n}.parquet", "parquet") for n in ("events", "orders")]
+    inv = files[0].unionByName(files[1])
+    return inv.select("FILE_NAME", "N_ROWS", (F.col("FILE_SIZE") > 0).alias("HAS_SIZE"), F.col("MODIFIED").isNotNull().alias("HAS_TIME"))

@@ -1,6 +1,6 @@
 """Named SQL views over the operators (A13), so the dashboard-style SQL runs as is:
 
-    register_views(spark, master, state)
+    register_views(spark, master, state, pair_radius_m=1500.0)
     spark.sql("SELECT * FROM broken_docks WHERE BROKEN_DOCKS > 1 ORDER BY BROKEN_DOCKS DESC LIMIT 10")
 
 Views are lazy: each query re-plans the operator under Catalyst.
@@ -12,18 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import docks, geo
 
-DEFAULT_PAIR_RADIUS_M = 1500.0
-
 
 def register_views(
     spark: SparkSession,
     master: DataFrame,
     state: DataFrame,
-    pair_radius_m: float = DEFAULT_PAIR_RADIUS_M,
+    pair_radius_m: float,
     prefix: str = "",
 ) -> list[str]:
     """Create temp views ``<prefix>stations``, ``<prefix>current_state``,
-    ``<prefix>broken_docks`` and ``<prefix>station_pairs``; returns their names."""
+    ``<prefix>broken_docks`` and ``<prefix>station_pairs`` (pairs within
+    ``pair_radius_m`` metres, which the caller has to name); returns their names."""
     views = {
         f"{prefix}stations": master,
         f"{prefix}current_state": state,

@@ -63,6 +63,7 @@ ENVELOPE_JSON = StructType(
     [StructField("data", StructType([StructField("stations", ArrayType(STATUS_JSON), True)]), True)]
 )
 
+# The columns of the tables below must match the reference's.
 # Staging fact table: 13 columns.
 STAGING = StructType(
     [
@@ -141,15 +142,6 @@ BROKEN_DOCKS = StructType(
     ]
 )
 
-# Station pairs.
-PAIRS = StructType(
-    [
-        StructField("SRC_STATION_ID", LongType()),
-        StructField("TGT_STATION_ID", LongType()),
-        StructField("DISTANCE", DoubleType()),
-    ]
-)
-
 # One route leg per served station (output of the grouped planner).
 LEGS = StructType(
     [

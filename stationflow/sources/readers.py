@@ -2,14 +2,18 @@
 
 Feeds are JSON arrays (one object per station, one file per poll) or JSON
 lines; either way an explicit schema with string leaves is applied -- never
-inference -- and the typed projection below does the casts. Pretty-printed
-arrays need ``multiLine`` and are read one file per task; JSON lines split.
+inference -- and the typed projection below does the casts. Arrays, which is
+what the feed and our own snapshots are, need ``multi_line`` (the default) and are
+read one file per task; for JSON lines pass ``multi_line=False``, and they split.
+A file or line that isn't JSON gives no rows; ``reject_counts`` says how many there
+are, and how often each field had a text that its type can't hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import columns as C
 from ..schemas import BROKEN_DOCKS, ENVELOPE_JSON, MASTER_JSON, STATUS_JSON
@@ -21,9 +25,11 @@ def _glob(path: str, pattern: str | None) -> str:
     return f"{path.rstrip('/')}/{pattern}" if pattern else path
 
 
-def status_projection(raw: DataFrame, with_source_file: bool = False) -> DataFrame:
-    """Raw feed objects -> the 13 staging columns (A1 projection, B1, B2, B4)."""
-    cols = [
+CORRUPT = "_corrupt_record"
+
+
+def _status_columns() -> list[Column]:
+    return [
         C.to_number("station_id").alias("STATION_ID"),
         C.to_number("num_bikes_available").alias("NUM_BIKES_AVAILABLE"),
         C.to_number("num_bikes_available_types.mechanical").alias("NUM_BIKES_AVAILABLE_MECHANICAL"),
@@ -38,14 +44,18 @@ def status_projection(raw: DataFrame, with_source_file: bool = False) -> DataFra
         F.col("traffic").alias("TRAFFIC"),
         C.ingest_stamp().alias("TST_REC"),
     ]
+
+
+def status_projection(raw: DataFrame, with_source_file: bool = False) -> DataFrame:
+    """Raw feed objects -> the 13 staging columns (A1 projection, B1, B2, B4)."""
+    cols = _status_columns()
     if with_source_file:
         cols.append(F.col("_metadata.file_path").alias("SOURCE_FILE"))
     return raw.select(*cols)
 
 
-def master_projection(raw: DataFrame) -> DataFrame:
-    """Raw master objects -> the 14 master columns."""
-    return raw.select(
+def _master_columns() -> list[Column]:
+    return [
         C.to_number("station_id").alias("STATION_ID"),
         F.col("name").alias("STATION_NAME"),
         F.col("physical_configuration").alias("PHYSICAL_CONFIGURATION"),
@@ -60,7 +70,24 @@ def master_projection(raw: DataFrame) -> DataFrame:
         C.to_boolean("_ride_code_support").alias("_RIDE_CODE_SUPPORT"),
         F.col("rental_uris").alias("RENTAL_URIS"),
         C.ingest_stamp().alias("TST_REC"),
-    )
+    ]
+
+
+def master_projection(raw: DataFrame, with_source_file: bool = False) -> DataFrame:
+    """Raw master objects -> the 14 master columns."""
+    file = [F.col("_metadata.file_path").alias("SOURCE_FILE")] if with_source_file else []
+    return raw.select(*_master_columns(), *file)
+
+
+def _with_corrupt(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField(CORRUPT, StringType())])
+
+
+def _json(reader, schema: StructType, multi_line: bool, path: str) -> DataFrame:  # noqa: ANN001
+    """Feed objects; what isn't JSON is marked by the parser and left out."""
+    raw = reader.schema(_with_corrupt(schema)).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return raw.where(F.col(CORRUPT).isNull())
+
 
 
 def read_status_json(
@@ -71,14 +98,26 @@ def read_status_json(
     with_source_file: bool = False,
 ) -> DataFrame:
     """Status feed files under ``path`` matching ``pattern`` (files or folders) (A1)."""
-    raw = spark.read.schema(STATUS_JSON).option("multiLine", multi_line).json(_glob(path, pattern))
-    return status_projection(raw, with_source_file)
+    return status_projection(_json(spark.read, STATUS_JSON, multi_line, _glob(path, pattern)), with_source_file)
 
 
-def read_master_json(spark: SparkSession, path: str, pattern: str | None = STATUS_PATTERN, multi_line: bool = True) -> DataFrame:
-    """Station master files (A2)."""
-    raw = spark.read.schema(MASTER_JSON).option("multiLine", multi_line).json(_glob(path, pattern))
-    return master_projection(raw)
+def read_master_json(
+    spark: SparkSession, path: str, pattern: str | None = STATUS_PATTERN, multi_line: bool = True, with_source_file: bool = True
+) -> DataFrame:
+    """Station master files (A2); ``SOURCE_FILE`` tells snapshots apart (see ``status.latest_master``)."""
+    return master_projection(_json(spark.read, MASTER_JSON, multi_line, _glob(path, pattern)), with_source_file)
+
+
+def reject_counts(spark: SparkSession, path: str, pattern: str | None = STATUS_PATTERN, multi_line: bool = True, master: bool = False) -> DataFrame:
+    """One row: ``ROWS``, ``CORRUPT`` (files or lines that aren't JSON) and, per typed
+    column, the values that were there and that its type couldn't hold (B2)."""
+    schema, columns = (MASTER_JSON, _master_columns()) if master else (STATUS_JSON, _status_columns())
+    raw = spark.read.schema(_with_corrupt(schema)).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(_glob(path, pattern))
+    typed = raw.select(*columns).schema.names
+    source = {"NUM_BIKES_AVAILABLE_MECHANICAL": "num_bikes_available_types.mechanical", "NUM_BIKES_AVAILABLE_EBIKE": "num_bikes_available_types.ebike", "STATION_NAME": "name"}
+    found = {n: c for n, c in zip(typed, columns, strict=True) if n != "TST_REC"}
+    bad = [F.count(F.when(F.col(source.get(n, n.lower())).isNotNull() & c.isNull(), 1)).alias(n) for n, c in found.items()]
+    return raw.agg(F.count(F.when(F.col(CORRUPT).isNull(), 1)).alias("ROWS"), F.count(CORRUPT).alias("CORRUPT"), *bad)
 
 
 def stream_status_json(
@@ -100,7 +139,7 @@ def stream_status_json(
     ties between polls of one station that report the same time inside one
     micro-batch.
     """
-    r = spark.readStream.schema(STATUS_JSON).option("multiLine", multi_line)
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if clean_source:
@@ -109,7 +148,7 @@ def stream_status_json(
             if not archive_dir:
                 raise ValueError("archive_dir is required with clean_source='archive'")
             r = r.option("sourceArchiveDir", archive_dir)
-    return status_projection(r.json(_glob(path, pattern)), with_source_file)
+    return status_projection(_json(r, STATUS_JSON, multi_line, _glob(path, pattern)), with_source_file)
 
 
 def read_envelope(spark: SparkSession, path: str, pattern: str | None = None, multi_line: bool = True) -> DataFrame:
@@ -118,19 +157,23 @@ def read_envelope(spark: SparkSession, path: str, pattern: str | None = None, mu
     Each payload is one record whose array is split by ``inline``; a payload
     holds one poll, so no row grows with the history.
     """
-    raw = spark.read.schema(ENVELOPE_JSON).option("multiLine", multi_line).json(_glob(path, pattern))
-    return status_projection(raw.select(F.inline("data.stations")))
+    return status_projection(_json(spark.read, ENVELOPE_JSON, multi_line, _glob(path, pattern)).select(F.inline("data.stations")))
 
 
 def file_inventory(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> DataFrame:
-    """Rows and bytes per file under ``path`` (A9): the stage's directory listing."""
-    df = spark.read.format(fmt).options(**options).load(path)
-    return df.groupBy(
-        F.col("_metadata.file_path").alias("FILE_PATH"),
-        F.col("_metadata.file_name").alias("FILE_NAME"),
-        F.col("_metadata.file_size").alias("FILE_SIZE"),
-        F.col("_metadata.file_modification_time").alias("MODIFIED"),
-    ).agg(F.count(F.lit(1)).alias("N_ROWS"))
+    """Path, name, size, time and rows of every file under ``path``, those without rows too.
+
+    The files come from the directory listing (the metadata of Spark's binary
+    reader; contents aren't read), the rows from the format's reader.
+    """
+    listing = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("FILE_SIZE"), F.col("modificationTime").alias("MODIFIED"))
+    listing = listing.select(F.col("path").alias("FILE_PATH"), F.element_at(F.split("path", "/"), -1).alias("FILE_NAME"), "FILE_SIZE", "MODIFIED")
+    # A listed path is written with one slash after the scheme, a reader's with three.
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = spark.read.format(fmt).options(**options).load(path)
+    rows = rows.groupBy(plain(F.col("_metadata.file_path")).alias("_file")).agg(F.count(F.lit(1)).alias("N_ROWS"))
+    joined = listing.withColumn("_file", plain(F.col("FILE_PATH"))).join(rows, "_file", "left")
+    return joined.select("FILE_PATH", "FILE_NAME", "FILE_SIZE", "MODIFIED", F.coalesce("N_ROWS", F.lit(0)).alias("N_ROWS"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +36,27 @@ def to_feed_shape(staging: DataFrame) -> DataFrame:
 
 
 def write_snapshot_json(df: DataFrame, base: str, stamp: str) -> str:
-    """One poll snapshot as ``<base>/stations_<stamp>/`` in JSON lines.
+    """One poll snapshot as ``<base>/stations_<stamp>/``: each file is a JSON array
+    with an object a line, as the feed's own files are (A7).
 
     ``stamp`` is ``%Y%m%d_%H%M%S``; an existing snapshot is never overwritten.
+    Each task streams its rows into its file.
     """
     path = f"{base.rstrip('/')}/stations_{stamp}"
-    df.write.mode("errorifexists").json(path)
+
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            lines = []
+            for row in batch.column(0).to_pylist():
+                lines.append(before + row)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if before == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    objects = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    objects.mapInArrow(array, "value string").write.mode("errorifexists").option("maxRecordsPerFile", 0).text(path)
     return path
 
 
@@ -54,7 +72,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def collect_result(df: DataFrame, max_rows: int) -> pd.DataFrame:
-    """Bounded fetch to the client (A16): at most ``max_rows`` rows ever leave Spark."""
+    """Bounded fetch to the client (A16): the whole result, or an error if it has more than ``max_rows`` rows."""
     if max_rows <= 0:
         raise ValueError("max_rows must be positive")
-    return df.limit(max_rows).toPandas()
+    found = df.limit(max_rows + 1).toPandas()
+    if len(found) > max_rows:
+        raise ValueError(f"the result has more than {max_rows} rows")
+    return found

@@ -47,20 +47,20 @@ SECOND = [poll(1, 2, 13, T0 - 600), poll(4, 7, 3, T0 + 30)]  # station 1: older
 MASTER = [
     {
         "station_id": 1,
-        "name": "LA RAMBLA, 101",
+        "name": "Old Mill Road, 7",
         "physical_configuration": "ELECTRICBIKESTATION",
-        "lat": 41.38266471,
-        "lon": "2.1717083",
+        "lat": 48.12345678,
+        "lon": "11.7654321",
         "altitude": 16.5,
-        "address": "LA RAMBLA, 101",
-        "post_code": "08002",
+        "address": "Old Mill Road, 7",
+        "post_code": "10002",
         "capacity": 30,
         "is_charging_station": True,
         "nearby_distance": 2.4,
         "_ride_code_support": False,
         "rental_uris": {"android": "https://a", "ios": "https://i"},
     },
-    {"station_id": 2, "name": "zero", "lat": 41.4, "lon": 2.2, "capacity": 0, "post_code": "08003"},
-    {"station_id": 3, "name": "no cap", "lat": 41.41, "lon": 2.21, "post_code": "08003"},
-    {"station_id": 9, "name": "no status", "lat": 41.42, "lon": 2.22, "capacity": 20, "post_code": "08004"},
+    {"station_id": 2, "name": "zero", "lat": 41.4, "lon": 2.2, "capacity": 0, "post_code": "10003"},
+    {"station_id": 3, "name": "no cap", "lat": 41.41, "lon": 2.21, "post_code": "10003"},
+    {"station_id": 9, "name": "no status", "lat": 41.42, "lon": 2.22, "capacity": 20, "post_code": "10004"},
 ]

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from stationflow.operators import balance
@@ -84,17 +83,33 @@ def test_invariants_on_driver_tables(spark):
         assert ((g.BIKES_AFTER.to_numpy() + g.DOCKS_AFTER.to_numpy()) == (before.NUM_BIKES_AVAILABLE + before.NUM_DOCKS_AVAILABLE).to_numpy()).all()
 
 
-def test_route_groups_respect_bound(spark):
-    rows = [(i, 41.0 + (i % 7) * 0.01, 2.0 + (i // 7) * 0.01, 20, 5, 5, "Z") for i in range(60)]
-    rows += [(100 + i, 42.0, 3.0, 20, 5, 5, "P") for i in range(25)]  # one point, 25 stations
-    f = balance.with_need(feats(spark, rows))
-    g = balance.route_groups(f, "ZONE", max_stations=10)
-    sizes = g.groupBy("ROUTE_GROUP").count().collect()
-    assert all(r["count"] <= 10 for r in sizes)
-    assert sum(r["count"] for r in sizes) == 85
-    legs = balance.plan_routes(feats(spark, rows), "ZONE", max_route_stations=10)
-    per_group = legs.groupBy("ZONE").agg(F.count("*").alias("n")).collect()
-    assert all(r.n <= 9 for r in per_group)
+def test_a_group_follows_from_the_station_alone(spark):
+    small = [(i, 41.0 + (i % 7) * 0.01, 2.0 + (i // 7) * 0.01, 20, 15 if i % 2 else 2, 5, "Z") for i in range(30)]
+    more = small + [(1000 + i, 45.0 + i * 0.001, 3.0, 20, 5, 5, "Y") for i in range(200)]
+    for kw in ({}, {"cell_deg": 0.05}, {"trucks": 3}):
+        plans = [balance.plan_routes(feats(spark, rows), "ZONE", start="max_surplus", **kw).where("FROM_ID < 1000") for rows in (small, more)]
+        legs = [sorted(map(str, p.collect())) for p in plans]
+        assert legs[0] == legs[1] and legs[0]
+
+
+def test_every_candidate_of_a_group_is_in_a_leg(spark):
+    rows = [(i, 41.0 + (i * 37 % 101) * 0.001, 2.0 + (i * 53 % 97) * 0.001, 20, i % 21, 20 - i % 21, "Z") for i in range(120)]
+    rows += [(500 + i, 42.0, 3.0, 20, 5, 5, "Z") for i in range(25)]  # one point, 25 stations
+    legs = balance.plan_routes(feats(spark, rows), "ZONE").collect()
+    assert len(legs) == 144 and {x for r in legs for x in (r.FROM_ID, r.TO_ID)} == {r[0] for r in rows}
+
+
+def test_missing_docks_and_coordinates_survive(spark):
+    rows = [(1, 0.0, 0.0, 20, 18, None, "A"), (2, 0.0, 1.0, 20, 2, None, "A"), (3, None, None, 20, 2, 18, "A"), (4, 0.0, 2.0, 20, 3, 17, "A")]
+    legs = balance.plan_routes(feats(spark, rows), "ZONE", start="max_surplus").orderBy("LEG_NO").collect()
+    assert [(r.FROM_ID, r.TO_ID, r.AMOUNT, r.DOCKS_AFTER) for r in legs] == [(1, 2, 9, None), (2, 4, 4, None), (4, 3, 3, 14)]
+
+
+def test_max_surplus_start_is_fixed(spark):
+    tie = [(9, 0.0, 0.0, 20, 18, 2, "A"), (4, 1.0, 0.0, 20, 18, 2, "A"), (2, 2.0, 0.0, 20, 2, 18, "A")]
+    none = [(9, 0.0, 0.0, 20, 2, 2, "A"), (4, 1.0, 0.0, 20, 3, 2, "A")]
+    for rows in (tie, none):
+        assert balance.plan_routes(feats(spark, rows), "ZONE", start="max_surplus").where("LEG_NO = 1").first().FROM_ID == 4
 
 
 def test_single_route_without_zone(spark):

@@ -19,8 +19,8 @@ def test_casts(spark):
     assert one(spark, C.to_number("s"), rows, "s string") == [17, 2, None, None, 7]
     scaled = one(spark, C.to_number_scaled("s", 12, 2), rows, "s string")
     assert [None if v is None else float(v) for v in scaled] == [17.0, 2.0, None, None, 7.0]
-    fixed = one(spark, C.to_fixed("s", 12, 7), [("41.38266471",), ("2.1717083",)], "s string")
-    assert [str(v) for v in fixed] == ["41.3826647", "2.1717083"]
+    fixed = one(spark, C.to_fixed("s", 12, 7), [("48.12345678",), ("11.7654321",)], "s string")
+    assert [str(v) for v in fixed] == ["48.1234568", "11.7654321"]
     assert one(spark, C.to_boolean("s"), [("true",), ("false",), ("x",)], "s string") == [True, False, None]
 
 

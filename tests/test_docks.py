@@ -5,17 +5,18 @@ from decimal import Decimal
 from stationflow.operators import docks, status
 from stationflow.schemas import MASTER
 
+# The ids and counts of the sample; names and places are invented.
 # (id, name, capacity, bikes, docks) chosen so capacity - (bikes + docks) gives the
 # sample's seven values, plus stations that must not show: 1 broken (strict > 1),
 # 0 broken, more usable than capacity, and a master station with no status.
 GOLDEN = [
-    (245, "LA RAMBLA, 101", 30, 4, 3, 23),
-    (455, "C/ PROVENÇA, 595", 27, 2, 3, 22),
-    (104, "C/ VALÈNCIA,  621", 24, 5, 3, 16),
-    (86, "C/ VILADOMAT,  2", 20, 10, 2, 8),
-    (67, "C/ ROCAFORT, 214 | C/ ROSSELLÓ", 25, 10, 10, 5),
-    (510, "C/ GRAN DE GRÀCIA, 37", 21, 6, 10, 5),
-    (80, "C/ ENRIC  GRANADOS, 35", 18, 3, 10, 5),
+    (245, "Old Mill Road, 7", 30, 4, 3, 23),
+    (455, "Harbour Lane, 5", 27, 2, 3, 22),
+    (104, "Elm  Court", 24, 5, 3, 16),
+    (86, "Café Square", 20, 10, 2, 8),
+    (67, "Quay 3 | Ñandú Way", 25, 10, 10, 5),
+    (510, "Hill Top, 37", 21, 6, 10, 5),
+    (80, "Brook Row", 18, 3, 10, 5),
 ]
 HIDDEN = [(1, "one broken", 20, 9, 10), (2, "full", 20, 10, 10), (3, "over", 20, 15, 10)]
 
@@ -24,9 +25,9 @@ def _frames(spark):
     master_rows = []
     status_rows = []
     for sid, name, cap, b, d, *_ in GOLDEN + [h + (None,) for h in HIDDEN]:
-        master_rows.append((sid, name, None, Decimal("41.3826647"), Decimal("2.1717083"), None, name, "08001", cap, None, None, None, None, None))
+        master_rows.append((sid, name, None, Decimal("48.1234567"), Decimal("11.7654321"), None, name, "10001", cap, None, None, None, None, None))
         status_rows.append((sid, b, d, 1_700_000_000, 1))
-    master_rows.append((999, "no status", None, Decimal("41.4"), Decimal("2.2"), None, "x", "08002", 30, None, None, None, None, None))
+    master_rows.append((999, "no status", None, Decimal("41.4"), Decimal("2.2"), None, "x", "10002", 30, None, None, None, None, None))
     master = spark.createDataFrame(master_rows, MASTER)
     st = spark.createDataFrame(
         status_rows, "STATION_ID long, NUM_BIKES_AVAILABLE long, NUM_DOCKS_AVAILABLE long, LAST_REPORTED long, TST_REC long"
@@ -44,10 +45,10 @@ def test_golden_broken_docks(spark):
     assert [(r.STATION_ID, r.BROKEN_DOCKS) for r in top] == [
         (245, 23), (455, 22), (104, 16), (86, 8), (67, 5), (80, 5), (510, 5)
     ]
-    assert top[0].STATION_NAME == "LA RAMBLA, 101"
+    assert top[0].STATION_NAME == "Old Mill Road, 7"
     assert [tuple(r) for r in docks.broken_docks_list(docks.top_broken_docks(broken, k=2)).collect()] == [
-        ("LA RAMBLA, 101", 23),
-        ("C/ PROVENÇA, 595", 22),
+        ("Old Mill Road, 7", 23),
+        ("Harbour Lane, 5", 22),
     ]
 
 
@@ -66,7 +67,7 @@ def test_sql_views(spark):
     from stationflow.plans.views import register_views
 
     master, st = _frames(spark)
-    names = register_views(spark, master, status.current_state(st, master), prefix="t_")
+    names = register_views(spark, master, status.current_state(st, master), pair_radius_m=1500.0, prefix="t_")
     assert names == ["t_stations", "t_current_state", "t_broken_docks", "t_station_pairs"]
     rows = spark.sql(
         "SELECT STATION_ID, BROKEN_DOCKS FROM t_broken_docks WHERE BROKEN_DOCKS > 1 "

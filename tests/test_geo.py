@@ -118,3 +118,48 @@ def test_nearest_station_dense_cluster(spark):
     for a in pts:
         best = min((math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2), b[0]) for b in pts if b[0] != a[0])
         assert got[a[0]][0] == best[1], a
+
+
+def globe(spark, pts, radius, **kw):
+    got = {(r.SRC_STATION_ID, r.TGT_STATION_ID): r.DISTANCE for r in geo.pairs_within(frame(spark, pts), radius, **kw).collect()}
+    want = {(a[0], b[0]): hav(a[1], a[2], b[1], b[2]) for a, b in itertools.combinations(pts, 2)}
+    want = {k: d for k, d in want.items() if d <= radius}
+    assert set(got) == set(want)
+    assert all(math.isclose(got[k], d, rel_tol=1e-9, abs_tol=1e-3) for k, d in want.items())
+    return len(got)
+
+
+def test_pairs_at_any_radius_around_the_globe(spark):
+    rnd = random.Random(5)
+    pts = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(60)]
+    pts += [(100, 10.0, 179.999), (101, 10.0, -179.999), (102, 90.0, 0.0), (103, -90.0, 50.0), (104, 89.99, 0.0), (105, 89.99, 180.0), (106, 0.0, 0.0), (107, 0.0, 180.0)]
+    assert globe(spark, pts, 4e7) == len(pts) * (len(pts) - 1) // 2
+    assert globe(spark, pts, 1_500.0) >= 1  # across +-180 degrees
+    globe(spark, pts, 3_000_000.0)
+    globe(spark, pts, 12_000_000.0)
+
+
+def test_a_station_at_the_pole_leaves_other_cells_small(spark):
+    near, probes = geo._bands(geo._points(frame(spark, [(1, 41.4, 2.17), (2, 90.0, 0.0)]), "STATION_ID", "LAT", "LON"), 1500.0 / C.EARTH_RADIUS_M)
+    columns = {r.a_id: r._col for r in near.collect()}
+    assert columns[2] == 0 and columns[1] > 50
+    assert probes.where("b_id = 1").count() == 6
+
+
+def test_a_third_of_the_stations_in_one_cell(spark):
+    rnd = random.Random(8)
+    pts = [(i, 41.4 + rnd.random() * 1e-4, 2.1 + rnd.random() * 1e-4) for i in range(100)]
+    pts += [(100 + i, 41.3 + rnd.random() * 0.2, 2.0 + rnd.random() * 0.2) for i in range(200)]
+    assert globe(spark, pts, 1500.0, shard_rows=16) >= 4950
+    got = {(r.SRC_STATION_ID, r.TGT_STATION_ID) for r in geo.degree_pairs_within(frame(spark, pts), 0.01, shard_rows=16).collect()}
+    assert got == {(a[0], b[0]) for a, b in itertools.permutations(pts, 2) if math.hypot(a[1] - b[1], a[2] - b[2]) <= 0.01}
+
+
+def test_nearest_with_a_cluster_and_an_outlier(spark, monkeypatch):
+    monkeypatch.setattr(geo, "SHARD_ROWS", 8)
+    rnd = random.Random(9)
+    pts = [(i, 41.4 + rnd.random() * 1e-5, 2.1 + rnd.random() * 1e-5) for i in range(150)] + [(500, -80.0, 170.0), (501, -79.0, 170.0)]
+    got = {r.STATION_ID: r.NEAREST_ID for r in geo.nearest_station(frame(spark, pts)).collect()}
+    for a in pts:
+        best = min((math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2), b[0]) for b in pts if b[0] != a[0])
+        assert got[a[0]] == best[1]

@@ -4,9 +4,10 @@ import json
 import os
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from fixtures import FIRST, MASTER, SECOND, T0, write_array
+from fixtures import FIRST, MASTER, SECOND, T0, poll, write_array
 from stationflow.operators import docks, status
 from stationflow.sources import readers, sinks
 
@@ -31,7 +32,7 @@ def test_master_reader(spark, tmp_dir):
     write_array(tmp_dir, "stations_master.json", MASTER)
     m = {r.STATION_ID: r for r in readers.read_master_json(spark, tmp_dir).collect()}
     one = m[1]
-    assert one.LAT == Decimal("41.3826647") and one.LON == Decimal("2.1717083")
+    assert one.LAT == Decimal("48.1234568") and one.LON == Decimal("11.7654321")
     assert one.ALTITUDE == Decimal("17.00") and one.NEARBY_DISTANCE == Decimal("2.00")
     assert json.loads(one.RENTAL_URIS) == {"android": "https://a", "ios": "https://i"}
     assert one._RIDE_CODE_SUPPORT is False and m[2].CAPACITY == 0 and m[3].CAPACITY is None
@@ -65,7 +66,11 @@ def test_snapshot_json_staging_roundtrip(spark, tmp_dir):
     base = os.path.join(tmp_dir, "landing")
     p = sinks.write_snapshot_json(sinks.to_feed_shape(st), base, "20240101_100000")
     assert os.path.basename(p) == "stations_20240101_100000"
-    back = readers.read_status_json(spark, base, multi_line=False)
+    for name in os.listdir(p):
+        if name.endswith(".txt"):
+            with open(os.path.join(p, name)) as f:
+                assert isinstance(json.load(f), list)
+    back = readers.read_status_json(spark, base)
     cols = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_BIKES_AVAILABLE_MECHANICAL", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "TRAFFIC"]
     assert sorted(map(tuple, back.select(cols).collect()), key=str) == sorted(map(tuple, st.select(cols).collect()), key=str)
     staging = os.path.join(tmp_dir, "staging")
@@ -75,8 +80,8 @@ def test_snapshot_json_staging_roundtrip(spark, tmp_dir):
 
 
 def test_csv_roundtrip_keeps_quotes_and_utf8(spark, tmp_dir):
-    rows = [(245, "LA RAMBLA, 101", "LA RAMBLA, 101", Decimal("41.3826647"), Decimal("2.1717083"), 23),
-            (67, "C/ ROCAFORT, 214 | C/ ROSSELLÓ", "C/ ROCAFORT, 214 | C/ ROSSELLÓ", Decimal("41.3852864"), Decimal("2.1454802"), 5)]
+    rows = [(11, "Old Mill Road, 7", "Old Mill Road, 7", Decimal("48.1234567"), Decimal("11.7654321"), 23),
+            (12, "Quay 3 | Café Ö", "Quay 3 | Café Ö", Decimal("48.2000001"), Decimal("11.5000002"), 5)]
     from stationflow.schemas import BROKEN_DOCKS
 
     df = spark.createDataFrame(rows, BROKEN_DOCKS)
@@ -84,7 +89,7 @@ def test_csv_roundtrip_keeps_quotes_and_utf8(spark, tmp_dir):
     sinks.write_csv(df, out)
     text = "".join(open(os.path.join(out, f), encoding="utf-8").read() for f in sorted(os.listdir(out)) if f.endswith(".csv"))
     assert "STATION_ID,STATION_NAME,ADDRESS,LAT,LON,BROKEN_DOCKS" in text
-    assert '"LA RAMBLA, 101"' in text and "41.3826647" in text
+    assert '"Old Mill Road, 7"' in text and "48.1234567" in text
     back = readers.read_broken_docks_csv(spark, out)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
@@ -96,8 +101,28 @@ def test_file_inventory_and_bounded_collect(spark, tmp_dir):
     got = sorted((r.FILE_NAME, r.N_ROWS) for r in inv.collect())
     assert got == [("stations_1.json", 6), ("stations_2.json", 2)]
     assert all(r.FILE_SIZE > 0 for r in inv.collect())
-    pdf = sinks.collect_result(readers.read_status_json(spark, tmp_dir), 3)
-    assert len(pdf) == 3 and "STATION_ID" in pdf.columns
+    rows = readers.read_status_json(spark, tmp_dir)
+    assert len(sinks.collect_result(rows, 8)) == 8
+    with pytest.raises(ValueError):
+        sinks.collect_result(rows, 7)
+
+
+def test_inventory_lists_files_without_rows(spark, tmp_dir):
+    write_array(tmp_dir, "stations_1.json", FIRST)
+    write_array(tmp_dir, "stations_2.json", [])
+    got = sorted((r.FILE_NAME, r.N_ROWS) for r in readers.file_inventory(spark, tmp_dir, "json", multiLine="true").collect())
+    assert got == [("stations_1.json", 6), ("stations_2.json", 0)]
+
+
+def test_rejects_are_counted_by_column(spark, tmp_dir):
+    write_array(tmp_dir, "stations_1.json", FIRST + [poll(7, 1, 1, "late", num_bikes_available="many"), poll(8, 1, 1, T0, num_bikes_available_types={"mechanical": "x", "ebike": 1})])
+    with open(os.path.join(tmp_dir, "stations_2.json"), "w") as f:
+        f.write('[{"station_id": 1, "num_bi')  # cut off
+    r = readers.reject_counts(spark, tmp_dir).first()
+    assert (r.ROWS, r.CORRUPT, r.STATION_ID, r.NUM_BIKES_AVAILABLE, r.LAST_REPORTED, r.NUM_BIKES_AVAILABLE_MECHANICAL, r.STATUS) == (8, 1, 1, 1, 1, 1, 0)
+    assert readers.read_status_json(spark, tmp_dir).count() == 8
+    write_array(os.path.join(tmp_dir, "m"), "stations_m.json", MASTER + [{"station_id": 12, "lat": "north"}])
+    assert readers.reject_counts(spark, os.path.join(tmp_dir, "m"), master=True).first().LAT == 1
 
 
 def test_materialise(spark, tmp_dir):

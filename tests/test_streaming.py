@@ -2,6 +2,9 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from fixtures import FIRST, MASTER, SECOND, T0, poll, write_array
 from stationflow.operators import status
 from stationflow.sources import readers
@@ -49,19 +52,93 @@ def test_stream_equals_batch_and_restart(spark, tmp_dir):
     assert _snap(store.read()) == _snap(batch)
 
 
-def test_replay_is_idempotent(spark, tmp_dir):
-    m = _master(spark, tmp_dir)
+def _two(spark, tmp_dir):
     write_array(os.path.join(tmp_dir, "a"), "stations_a.json", FIRST)
     write_array(os.path.join(tmp_dir, "b"), "stations_b.json", SECOND)
-    a = readers.read_status_json(spark, os.path.join(tmp_dir, "a"))
-    b = readers.read_status_json(spark, os.path.join(tmp_dir, "b"))
+    return [readers.read_status_json(spark, os.path.join(tmp_dir, x)) for x in "ab"]
+
+
+def test_replay_changes_nothing(spark, tmp_dir):
+    m = _master(spark, tmp_dir)
+    a, b = _two(spark, tmp_dir)
     store = StateStore(spark, os.path.join(tmp_dir, "state"))
     assert refresh_state(a, 0, store, m) == "Processed 6 rows"
     assert refresh_state(b, 1, store, m) == "Processed 2 rows"
-    once = _snap(store.read())
+    once, files = _snap(store.read()), store.commits()
     assert refresh_state(b, 1, store, m) == "Processed 2 rows"  # replay after a crash
-    assert _snap(store.read()) == once
+    assert _snap(store.read()) == once and store.commits() == files
     assert {r.STATION_ID for r in store.read().collect()} == {1, 2, 3, 4}  # NULL / bad ids dropped
+    assert len(store.read().columns) == 19
+
+
+def test_a_failed_attempt_leaves_the_state_as_it_is(spark, tmp_dir):
+    m = _master(spark, tmp_dir)
+    a, b = _two(spark, tmp_dir)
+    store = StateStore(spark, os.path.join(tmp_dir, "state"))
+    refresh_state(a, 0, store, m)
+    before = _snap(store.read())
+    with pytest.raises(Exception):
+        refresh_state(b.withColumn("NUM_BIKES_AVAILABLE", F.raise_error(F.lit("lost")).cast("long")), 1, store, m)
+    assert _snap(store.read()) == before and store.latest_version() == 0
+    refresh_state(b, 1, store, m)
+    assert store.latest_version() == 1 and store.read().count() == 4
+
+
+def test_a_new_query_goes_on_behind_the_old_one(spark, tmp_dir):
+    m = _master(spark, tmp_dir)
+    a, b = _two(spark, tmp_dir)
+    store = StateStore(spark, os.path.join(tmp_dir, "state"))
+    for i in range(3):
+        refresh_state(a, i, store, m, query="old")
+    refresh_state(b, 0, store, m, query="new")  # a reset checkpoint numbers from 0 again
+    assert store.latest_version() == 3
+    assert {r.STATION_ID for r in store.read().collect()} == {1, 2, 3, 4}
+
+
+def test_old_versions_and_attempts_go(spark, tmp_dir):
+    m = _master(spark, tmp_dir)
+    a, _ = _two(spark, tmp_dir)
+    store = StateStore(spark, os.path.join(tmp_dir, "state"), keep=2)
+    for i in range(5):
+        refresh_state(a, i, store, m)
+    assert [c.sequence for c in store.commits()] == [3, 4] and len(store._names("data")) == 2
+    assert store.read(version=3).count() == 3
+    with pytest.raises(Exception):
+        store.read(version=0)
+
+
+def test_an_unreadable_log_is_an_error(spark, tmp_dir):
+    m = _master(spark, tmp_dir)
+    a, b = _two(spark, tmp_dir)
+    store = StateStore(spark, os.path.join(tmp_dir, "state"))
+    refresh_state(a, 0, store, m)
+    with open(os.path.join(tmp_dir, "state", "_commits", "000000000001"), "w") as f:
+        f.write("{")
+    with pytest.raises(Exception):
+        refresh_state(b, 1, store, m)
+
+
+def test_master_is_read_anew_and_reduced(spark, tmp_dir):
+    a, b = _two(spark, tmp_dir)
+    folder = os.path.join(tmp_dir, "masters")
+    write_array(folder, "stations_1.json", MASTER)
+    read = lambda: readers.read_master_json(spark, folder)
+    store = StateStore(spark, os.path.join(tmp_dir, "state"))
+    refresh_state(a, 0, store, read)
+    write_array(folder, "stations_2.json", [{"station_id": 4, "name": "new", "capacity": 14}, dict(MASTER[0], name="renamed")])
+    refresh_state(b, 1, store, read)
+    rows = {r.STATION_ID: r for r in store.read().collect()}
+    assert len(rows) == store.read().count() == 4
+    assert (rows[4].STATION_NAME, str(rows[4].OCCUPATION_RATIO), rows[1].STATION_NAME) == ("new", "0.5000", "renamed")
+
+
+def test_a_bad_row_fails_no_batch(spark, tmp_dir):
+    write_array(os.path.join(tmp_dir, "a"), "stations_a.json", [poll(1, 5, 10, 10**17), poll(2, 10**12, 1, T0), poll(3, 1, 1, T0)])
+    m = spark.createDataFrame([(2, "s", None, None, 1), (3, "t", None, None, 0)], "STATION_ID long, STATION_NAME string, LAT decimal(12,7), LON decimal(12,7), CAPACITY long")
+    store = StateStore(spark, os.path.join(tmp_dir, "state"))
+    refresh_state(readers.read_status_json(spark, os.path.join(tmp_dir, "a")), 0, store, m)
+    rows = {r.STATION_ID: r for r in store.read().collect()}
+    assert rows[1].LAST_REPORTED_TST is None and rows[2].OCCUPATION_RATIO is None and rows[3].OCCUPATION_RATIO is None
 
 
 def test_late_data_orders(spark, tmp_dir):
@@ -105,4 +182,4 @@ def test_same_report_time_later_file_wins(spark, tmp_dir):
     q = start_state_refresh(src, m, os.path.join(root, "state"), os.path.join(root, "ckpt"), available_now=True)
     q.awaitTermination()
     row = StateStore(spark, os.path.join(root, "state")).read().collect()[0]
-    assert (row.NUM_BIKES_AVAILABLE, row.SOURCE_FILE.endswith("stations_20240101_100500.json")) == (8, True)
+    assert row.NUM_BIKES_AVAILABLE == 8 and len(row) == 19
