@@ -86,7 +86,10 @@ def _with_corrupt(schema: StructType) -> StructType:
 def _json(reader, schema: StructType, multi_line: bool, path: str) -> DataFrame:  # noqa: ANN001
     """Feed objects; what isn't JSON is marked by the parser and left out."""
     raw = reader.schema(_with_corrupt(schema)).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return raw.where(F.col(CORRUPT).isNull())
+    # Spark refuses queries that read the mark alone (a count, say), so a field is read along with it.
+    field = next((f.name for f in schema.fields if isinstance(f.dataType, StringType)), None)
+    mark = F.concat(F.col(CORRUPT), F.coalesce(F.col(field), F.lit(""))) if field else F.col(CORRUPT)
+    return raw.where(mark.isNull())
 
 
 
