@@ -905,13 +905,24 @@ def q_view_broken_docks(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(f"SELECT STATION_NAME, BROKEN_DOCKS FROM {prefix}broken_docks WHERE BROKEN_DOCKS > 1")
 
 
+_TYPED_COLUMNS = {"OCCUPATION_RATIO": "DECIMAL(12,4)", "LAT": "DECIMAL(12,7)", "LON": "DECIMAL(12,7)", "LAST_REPORTED_TST": "TIMESTAMP"}
+
+
 @query(
     "declared_types",
-    _WITH + "SELECT STATION_ID, CAST(OCCUPATION_RATIO AS DECIMAL(12,4)) AS OCCUPATION_RATIO, CAST(LAT AS DECIMAL(12,7)) AS LAT, LAST_REPORTED_TST FROM state",
+    _WITH
+    + "SELECT STATION_ID, "
+    + ", ".join(f"CAST(CAST({c} AS {t}) AS VARCHAR) AS {c}, lower(typeof(CAST({c} AS {t}))) AS {c}_TYPE" for c, t in _TYPED_COLUMNS.items())
+    + " FROM state",
 )
 def q_declared_types(spark: SparkSession, sf: str) -> DataFrame:
-    """State columns in their declared types: decimals and time stamps as they are."""
-    return _state(spark, sf).select("STATION_ID", "OCCUPATION_RATIO", "LAT", "LAST_REPORTED_TST")
+    """Decimals and time stamps of the state with their types and all their places."""
+    shown = [
+        col
+        for c in _TYPED_COLUMNS
+        for col in (F.col(c).cast("string").alias(c), F.regexp_replace(F.expr(f"typeof({c})"), "_ntz$", "").alias(f"{c}_TYPE"))
+    ]
+    return _state(spark, sf).select("STATION_ID", *shown)
 
 
 @query(
