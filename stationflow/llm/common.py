@@ -77,6 +77,7 @@ def map_texts(
             for part in steps(batch, text_col, size):
                 made = work(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=names)
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return df.mapInArrow(run, out)
 
@@ -90,5 +91,6 @@ def keep_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Arr
         for batch in batches:
             for part in steps(batch, text_col, size):
                 yield part.filter(pa.array(keep(part.column(text_col))))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

@@ -28,7 +28,6 @@ from stationflow.llm.tokens import TOKEN_STEP, ChunkTable
 
 #: Most labelled rows that the model is fitted on.
 MAX_TRAIN = 10_000
-BUCKETS = 1 << 18
 #: A word has a weight if its log odds of being in a toxic text are off by so many standard errors.
 LEAST_ERRORS = 3.0
 #: Weight of the penalty on changes of score, and of that on weights.
@@ -37,6 +36,9 @@ ROUNDS = 300
 #: Swaps of a sentence's terms that the penalty sees, and sentences of a text.
 SWAPS, SENTENCES = 2, 64
 
+#: Distinct chunks whose features a task keeps: they are quickly found anew.
+CHUNKS = 100_000
+
 #: Terms that name groups, by kind.
 TERMS = (
     ("women", "men", "girls", "boys"),
@@ -54,7 +56,8 @@ SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def feature(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8")) % BUCKETS
+    """A word's number, a hash of 31 bits."""
+    return zlib.crc32(word.encode("utf-8")) >> 1
 
 
 def words_of(text: str) -> list[str]:
@@ -88,9 +91,16 @@ class Swapper:
 
 @dataclass
 class Model:
+    """The weights of the words that have one, by ascending number."""
+
+    words: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def weight(self, word: str) -> float:
+        hit = np.flatnonzero(self.words == feature(word))
+        return float(self.weights[hit[0]]) if len(hit) else 0.0
+
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
     """(id, label, features, changes) of a bounded sample of labelled texts outside the held-out fold.
@@ -127,65 +137,74 @@ def fit(rows: DataFrame, counterfactual: float = COUNTERFACTUAL, ridge: float =
     Without rows every score is 0.5; with one label alone the bias carries it.
     """
     seen: dict[bytes, tuple[int, np.ndarray, list]] = {}
-    for r in rows.select("label", "features", "changes").toLocalIterator():
-        features = np.array(r["features"], np.int32)
-        label = max(r["label"], seen.get(features.tobytes(), (0,))[0])
-        seen[features.tobytes()] = (label, features, r["changes"])
+    sample = rows.select("label", "features", "changes").toArrow().combine_chunks()
+    for i in range(sample.num_rows):
+        features = sample["features"][i].values.to_numpy()
+        label = max(sample["label"][i].as_py(), seen.get(features.tobytes(), (0,))[0])
+        seen[features.tobytes()] = (label, features, sample["changes"][i].as_py())
     texts = [seen[k] for k in sorted(seen)]
-    weights = np.zeros(BUCKETS, np.float64)
     if not texts:
-        return Model(weights.astype(np.float32), 0.0)
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     y = np.array([t[0] for t in texts], float)
+    n = len(y)
     flat = np.concatenate([t[1] for t in texts])
-    owner = np.repeat(np.arange(len(texts)), [len(t[1]) for t in texts])
-    toxic = np.bincount(flat, y[owner], BUCKETS) + 0.5
-    clean = np.bincount(flat, 1 - y[owner], BUCKETS) + 0.5
-    no_toxic, no_clean = y.sum() + 1 - toxic, len(y) - y.sum() + 1 - clean
-    odds = np.log(toxic * no_clean / (no_toxic * clean))
-    used = np.abs(odds) >= LEAST_ERRORS * np.sqrt(1 / toxic + 1 / clean + 1 / no_toxic + 1 / no_clean)
+    owner = np.repeat(np.arange(n), [len(t[1]) for t in texts])
     changes = [c for t in texts for c in t[2]]
     moved = np.array([f for c in changes for f in c], np.int64)
     sentence = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
     sign = np.where(moved < 0, -1.0, 1.0)
     moved = np.where(moved < 0, -1 - moved, moved)
-    used[moved] = True
-    flat, owner = flat[used[flat]], owner[used[flat]]
+
+    numbers, at = np.unique(flat, return_inverse=True)
+    toxic = np.bincount(at, y[owner], len(numbers)) + 0.5
+    clean = np.bincount(at, 1 - y[owner], len(numbers)) + 0.5
+    no_toxic, no_clean = y.sum() + 1 - toxic, n - y.sum() + 1 - clean
+    odds = np.log(toxic * no_clean / (no_toxic * clean))
+    told = np.abs(odds) >= LEAST_ERRORS * np.sqrt(1 / toxic + 1 / clean + 1 / no_toxic + 1 / no_clean)
+    words = np.union1d(numbers[told], moved).astype(np.int32)
+    size = len(words)
+    place = np.searchsorted(words, flat)
+    used = place < size
+    used[used] = words[place[used]] == flat[used]
+    flat, owner, moved = place[used], owner[used], np.searchsorted(words, moved)
+
     # A toxic text counts as many times as clean ones outnumber it, square-rooted.
-    share = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()))), 1.0)
+    share = np.where(y > 0, np.sqrt(max(1.0, (n - y.sum()) / max(1.0, y.sum()))), 1.0)
     share /= share.mean()
-    bias, n = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), len(y)
+    weights, bias = np.zeros(size), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     # Adam on the mean loss: the step of each weight follows its own gradients.
-    first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    first, second = np.zeros(size + 1), np.zeros(size + 1)
     for k in range(1, rounds + 1):
         score = np.bincount(owner, weights[flat], n) + bias
-        error = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - y
-        error *= share
-        gradient = np.bincount(flat, error[owner], BUCKETS) / n + ridge * weights
+        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - y) * share
+        gradient = np.bincount(flat, error[owner], size) / n + ridge * weights
         if len(changes):
             change = np.bincount(sentence, sign * weights[moved], len(changes))
-            gradient += 2 * counterfactual * np.bincount(moved, sign * change[sentence], BUCKETS) / len(changes)
+            gradient += 2 * counterfactual * np.bincount(moved, sign * change[sentence], size) / len(changes)
         whole = np.append(gradient, error.mean())
         first, second = 0.9 * first + 0.1 * whole, 0.999 * second + 0.001 * whole**2
         step = 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-9)
         weights -= step[:-1]
         bias -= step[-1]
-    weights[~used] = 0
-    return Model(weights.astype(np.float32), float(bias))
+    return Model(words, weights.astype(np.float32), float(bias))
 
 
 def _scorer(model: Model) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
     """What a task runs: scores of an array of texts."""
-    weights, bias = model.weights, model.bias
+    words, weights, bias = model.words, model.weights, model.bias
 
     def make() -> Callable[[pa.Array], np.ndarray]:
-        table = ChunkTable(_chunk_features)
+        table = ChunkTable(_chunk_features, CHUNKS)
 
         def work(part: pa.Array) -> np.ndarray:
             features, lengths = table.encode(part)
             owner = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-            weighty = weights[features] != 0
-            pairs = np.unique(owner[weighty] * BUCKETS + features[weighty])
-            total = np.bincount(pairs // BUCKETS, weights[pairs % BUCKETS], len(lengths)) + bias
+            total = np.full(len(lengths), bias)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, features), len(words) - 1)
+                known = words[at] == features
+                pairs = np.unique(owner[known] * len(words) + at[known])
+                total += np.bincount(pairs // len(words), weights[pairs % len(words)], len(lengths))
             return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
         return work
