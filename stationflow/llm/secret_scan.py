@@ -28,7 +28,8 @@ from stationflow.session import cut_lineage
 MAX_WAYS = 256
 #: Bits of the candidate bitmap: 4 MB however many documents there are.
 BITMAP_BITS = 1 << 25
-BITMAP_BUCKET = 32_768
+#: Matches of a text whose places are summed in one go.
+AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -132,7 +133,9 @@ def _bitmap(found: DataFrame) -> DataFrame:
 def spans(text: Column, number: int, rule: Rule) -> Column:
     """The rule's spans in ``text``: array of (start, kind number, end), in code points.
 
-    Where the matches lie follows from the lengths of the matches and of what lies between them.
+    Where the matches lie follows from the lengths of the matches and of what lies between
+    them. They are summed in blocks of ``AT_ONCE`` matches and the blocks put together, as
+    a list that grows match by match is copied each time.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
@@ -153,7 +156,14 @@ def spans(text: Column, number: int, rule: Rule) -> Column:
         found = F.when(F.coalesce(x["judged"] >= rule.least, F.lit(False)), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(none)
+    def shift(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["found"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["found"], F.array(moved)).alias("found"))
+
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(steps) - 1) / AT_ONCE).cast("int")), lambda k: F.slice(steps, k * AT_ONCE + 1, AT_ONCE))
+    summed = F.transform(blocks, lambda b: F.aggregate(b, start, step))
+    whole_text = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start: int, kind: int, end: int>>>)").alias("found"))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(summed, whole_text, shift, lambda acc: F.flatten(acc["found"]))).otherwise(none)
 
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] | None = None) -> DataFrame:

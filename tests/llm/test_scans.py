@@ -68,6 +68,12 @@ def test_spans_equal_sql(docs, tmp_dir):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in secret_scan.scan(docs).collect())
 
 
+def test_many_matches_in_one_text(spark):
+    text = "x " + ("deadbeef" * 4 + " é ") * 20_000 + "password=12345678"
+    found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (found["n_hex"], found["n_assign"], found["spans"]) == (20_000, 1, said(spans(text)))
+
+
 def test_trigram_queries_hold_for_every_match():
     for r in secret_scan.RULES:
         query = secret_scan.trigram_query(r.pattern)
