@@ -45,18 +45,17 @@ def crc_of_lists(lists: pa.ListArray) -> pa.Array:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, compression: str = "zstd"
+    docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, compression: str = "lz4"
 ) -> None:
     """Write every document's ids, with ``end_id`` after them, to ORC files under ``path``.
 
     NULL and empty texts are documents of ``end_id`` alone. NULL ids come first;
-    equal ids are ordered by their texts' hash, equal rows stand one after
-    another. An empty table gives files without rows. Other columns aren't written.
+    rows of one id stand one after another in the order in which they are read.
+    An empty table gives files without rows. Other columns aren't written.
     """
-    # The row number deals repeated rows out over several ranges; such rows are alike, so their order means nothing.
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    order = [F.col(id_col).asc_nulls_first(), F.col("tie"), F.col("row")]
+    # The place in the input deals an id that many rows share out over several ranges.
+    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col(id_col).asc_nulls_first(), F.col("row")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, "text")
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:

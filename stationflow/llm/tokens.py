@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 #: The rules of the vocabulary file under which a text may be cut at white space.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -32,8 +32,9 @@ TOKEN_STEP = 4_000_000
 LONGEST_KEPT = 5_000
 #: Texts with a letter beyond these are lowered by the library, chunk by chunk.
 BEYOND_LATIN = regex.compile("[^\\x00-\\u02ff]")
-#: Put between chunks that one call encodes; where chunks hold it, they are encoded one by one.
+#: Put between chunks that one call encodes (it is beyond Latin letters here, so chunks that hold it go alone), and how many those are.
 BORDER = "\x00"
+AT_ONCE = 100
 WHITE = regex.compile("\\p{White_Space}+")
 
 Words = Callable[[list[str]], list[list[int]]]
@@ -71,8 +72,8 @@ class ChunkTable:
     """Numbers (ids, features) of texts that are a function of their chunks between
     white space: each distinct chunk's are found once and gathered for all texts."""
 
-    def __init__(self, words: Words):
-        self.words = words
+    def __init__(self, words: Words, most: int | None = None):
+        self.words, self.most = words, most or MAX_CHUNKS
         self._clear()
 
     def _clear(self) -> None:
@@ -84,7 +85,7 @@ class ChunkTable:
     def _forget(self) -> None:
         """Keep the chunks of the most steps, half a table at most."""
         least = 2
-        while (self.seen >= least).sum() > MAX_CHUNKS // 2:
+        while (self.seen >= least).sum() > self.most // 2:
             least *= 2
         kept = self.seen >= least
         chunks = [c for c, k in zip(self.numbers, kept.tolist(), strict=True) if k]
@@ -128,18 +129,18 @@ class ChunkTable:
         ends = ends - ends[0]
         codes, distinct = words.indices.to_numpy(), self._keys(words.dictionary.to_pylist(), texts)
         used = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)  # white space at an edge leaves empty chunks
-        if len(self.numbers) > MAX_CHUNKS:
+        if len(self.numbers) > self.most:
             self._forget()
         numbers = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
-        long = any(len(c) > LONGEST_KEPT for c in self.numbers.new)
         if self.numbers.new:
             self._learn()
         self.seen[numbers] += 1
-        at = numbers[codes]
         lengths = np.where(used, self.lengths[numbers], 0)[codes]
         after = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.repeat(self.starts[at] - after[:-1], lengths) + np.arange(after[-1])]
-        if long:
+        # Where each id stands in the table: its chunk's place, moved by how far the chunk has come.
+        first = (self.starts[numbers][codes] - after[:-1]).astype(np.int32)
+        ids = self.ids[np.repeat(first, lengths) + np.arange(after[-1], dtype=np.int32)]
+        if (pc.max(pc.binary_length(words.dictionary)).as_py() or 0) > LONGEST_KEPT:
             self._clear()
         return ids, after[ends[1:]] - after[ends[:-1]]
 
@@ -157,7 +158,9 @@ class TextEncoder(ChunkTable):
         self.by_chunks = cut_at_white_space(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
-        self.odd = regex.compile(f"[^\\x00-\\u02ff]|(?i:{self.names})" if self.names else "[^\\x00-\\u02ff]")
+        self.odd = regex.compile("[^\\x01-\\u02ff]" + (f"|(?i:{self.names})" if self.names else ""))
+        self.any_odd = True
+        self.normalizer = self.library.normalizer
         self.border = self.library_ids([BORDER])[0]
         self.own = words is None
         super().__init__(self.library_ids if words is None else words(self))
@@ -166,24 +169,38 @@ class TextEncoder(ChunkTable):
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and lengths of many chunks by one call: a border that is a token of
-        its own stands between them (they don't hold it)."""
-        if not self.own:
+        """Many chunks by one call: a border that is a token of its own stands between them."""
+        if not self.own or len(self.border) != 1:
             return super()._found(chunks)
-        text = f" {BORDER} ".join(chunks)
-        found = np.array(self.library_ids([text])[0], np.int32)
-        borders = np.flatnonzero(found == self.border[0])
-        if len(self.border) != 1 or len(borders) != len(chunks) - 1:
-            return super()._found(chunks)
-        lengths = np.diff(np.concatenate([[-1], borders, [len(found)]])) - 1
-        return np.delete(found, borders), lengths
+        odd = [i for i, c in enumerate(chunks) if self.odd.search(c)] if self.any_odd else []
+        if odd:
+            ids, lengths = super()._found([chunks[i] for i in odd])
+            parts = dict(zip(odd, np.split(ids, np.cumsum(lengths)[:-1]), strict=True))
+            plain_ids, plain = self._found([c for i, c in enumerate(chunks) if i not in parts])
+            rest = iter(np.split(plain_ids, np.cumsum(plain)[:-1]))
+            every = [parts[i] if i in parts else next(rest) for i in range(len(chunks))]
+            return np.concatenate([np.zeros(0, np.int32), *every]), np.array([len(x) for x in every], np.int64)
+        joined = [f" {BORDER} ".join(chunks[i : i + AT_ONCE]) for i in range(0, len(chunks), AT_ONCE)]
+        found: list[int] = []
+        self.library.normalizer = normalizers.Sequence([])  # it would leave these chunks as they are
+        try:
+            parts = self.library_ids(joined)
+        finally:
+            self.library.normalizer = self.normalizer
+        for part in parts:
+            found += part
+            found += self.border
+        ids = np.array(found, np.int32)
+        borders = np.flatnonzero(ids == self.border[0])
+        return np.delete(ids, borders), np.diff(np.concatenate([[-1], borders])) - 1
 
     def _keys(self, chunks: list[str], texts: pa.Array) -> list[str]:
         """The chunks, lowered where that can't change their ids."""
-        odd = f"[^\\x{{0}}-\\x{{2ff}}]|{self.names}" if self.names else "[^\\x{0}-\\x{2ff}]"
-        if not pc.any(pc.match_substring_regex(texts, odd, ignore_case=True)).as_py():
+        odd = "[^\\x{1}-\\x{2ff}]" + (f"|{self.names}" if self.names else "")
+        self.any_odd = pc.any(pc.match_substring_regex(texts, odd, ignore_case=True)).as_py()
+        if not self.any_odd:
             return [c.lower() for c in chunks]
-        odd_chunk = self.odd.search
+        odd_chunk = self.odd.search  # such a chunk goes through the whole normaliser
         return [c if odd_chunk(c) else c.lower() for c in chunks]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
