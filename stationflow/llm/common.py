@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -55,6 +57,15 @@ def _cut(batch: pa.RecordBatch, lengths: pa.Array, size: int) -> Iterator[pa.Rec
         start = end
 
 
+def release() -> None:
+    """Give a task's freed memory back to the system: its worker stays for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -77,7 +88,8 @@ def map_texts(
             for part in steps(batch, text_col, size):
                 made = work(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=names)
-        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
+        work = batch = part = made = None
+        release()
 
     return df.mapInArrow(run, out)
 
@@ -91,6 +103,7 @@ def keep_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Arr
         for batch in batches:
             for part in steps(batch, text_col, size):
                 yield part.filter(pa.array(keep(part.column(text_col))))
-        pa.default_memory_pool().release_unused()
+        keep = batch = part = None
+        release()
 
     return df.mapInArrow(run, df.schema)

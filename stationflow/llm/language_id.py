@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stationflow.llm.common import keep_texts, map_texts, steps
+from stationflow.llm.common import keep_texts, map_texts, release, steps
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -125,6 +125,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
                     sums[name] = sums.get(name, 0) + row.astype(np.float64)
         for name, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(row)), pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], names=["lang", "place", "value"])
+        bundler = batch = part = None
+        release()
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
     total = rows.mapInArrow(run, schema).groupBy("lang", "place").agg(F.sum("value").alias("value"))

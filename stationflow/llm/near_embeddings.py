@@ -106,7 +106,7 @@ def _compare(key: tuple, group: pa.Table, least: float) -> pa.Table:
     group = group.combine_chunks()
     cls, count = (group.column(c).to_numpy() for c in ("cls", "n"))
     blocks = np.stack(group.column("blocks").to_numpy(zero_copy_only=False))
-    x = scaled(vectors_of(group.column("vector").combine_chunks() if isinstance(group.column("vector"), pa.ChunkedArray) else group.column("vector")))
+    x = scaled(vectors_of(group.column("vector").combine_chunks()))
     norm = np.sqrt((x * x).sum(1))
     unit = x / norm[:, None]
     order = int(group.column("pass")[0].as_py())

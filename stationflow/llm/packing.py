@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stationflow.llm.common import steps
+from stationflow.llm.common import release, steps
 from stationflow.llm.token_files import END_ID, end_each
 from stationflow.llm.tokens import TOKEN_STEP, encoder
 
@@ -183,5 +183,6 @@ def pack(
         packer.finish()
         if packer.out:
             yield written()
+        release()
 
     return docs.mapInArrow(run, schema)
