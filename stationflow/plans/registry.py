@@ -772,7 +772,7 @@ def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     return present(StateStore(spark, f"{root}/state").read().select(*STATE_OUT))
 
 
-# The landed snapshots of a stream: event types in two parts, whose files are taken one a batch.
+# The landed snapshots of a stream: event types in two parts.
 _FEED_STATE = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS", "STATION_NAME", "CAPACITY"]
 
 
@@ -796,13 +796,13 @@ _FEED_STATE_SQL = (
 
 
 def _stream_snapshots(spark: SparkSession, sf: str, parts: list[DataFrame], restart: bool) -> DataFrame:
-    """Land each part as a JSON snapshot and stream them, one file a batch; with
+    """Land each part as a JSON snapshot and stream them, four files a batch; with
     ``restart`` the stream stops after the first snapshot and a new one goes on."""
     root = scratch_path(spark, "json-stream")
     for i, part in enumerate(parts):
         sinks.write_snapshot_json(sinks.to_feed_shape(part), f"{root}/landing", f"20240101_00{i:02d}00")
         if restart or i == len(parts) - 1:
-            source = readers.stream_status_json(spark, f"{root}/landing", "stations*", max_files_per_trigger=1)
+            source = readers.stream_status_json(spark, f"{root}/landing", "stations*", max_files_per_trigger=4)
             q = start_state_refresh(source, lambda: _master(spark, sf), f"{root}/state", f"{root}/checkpoint", available_now=True, order="event_time")
             q.awaitTermination()
             if q.exception() is not None:
@@ -812,7 +812,7 @@ def _stream_snapshots(spark: SparkSession, sf: str, parts: list[DataFrame], rest
 
 @query("stream_json_snapshots", _FEED_STATE_SQL)
 def q_stream_json_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON snapshots through the streaming reader, one file a micro-batch."""
+    """JSON snapshots through the streaming reader, a few files a micro-batch."""
     return _stream_snapshots(spark, sf, list(_ordered_feed(spark, sf)), restart=False)
 
 

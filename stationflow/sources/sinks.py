@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Objects of one snapshot file.
+SNAPSHOT_OBJECTS = 5_000
+
+
 def append_staging(df: DataFrame, path: str) -> None:
     """Append loaded rows to the staging table (A5)."""
     df.write.mode("append").parquet(path)
@@ -40,23 +44,27 @@ def write_snapshot_json(df: DataFrame, base: str, stamp: str) -> str:
     with an object a line, as the feed's own files are (A7).
 
     ``stamp`` is ``%Y%m%d_%H%M%S``; an existing snapshot is never overwritten.
-    Each task streams its rows into its file.
+    Each task streams its rows into files of ``SNAPSHOT_OBJECTS`` objects, because
+    an array is read as a whole: every so many lines one array ends and the next begins.
     """
     path = f"{base.rstrip('/')}/stations_{stamp}"
+    size = SNAPSHOT_OBJECTS
 
-    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = "["
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = None, 0  # the last line isn't known to be one until the rows end
         for batch in batches:
             lines = []
             for row in batch.column(0).to_pylist():
-                lines.append(before + row)
-                before = ","
+                if held is not None:
+                    lines.append(held + "]" if n % size == 0 else held)
+                held = ("[" if n % size == 0 else ",") + row
+                n += 1
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-        if before == ",":
-            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + "]"])], names=["value"])
 
     objects = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-    objects.mapInArrow(array, "value string").write.mode("errorifexists").option("maxRecordsPerFile", 0).text(path)
+    objects.mapInArrow(arrays, "value string").write.mode("errorifexists").option("maxRecordsPerFile", size).text(path)
     return path
 
 

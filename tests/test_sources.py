@@ -79,6 +79,16 @@ def test_snapshot_json_staging_roundtrip(spark, tmp_dir):
     assert readers.read_table(spark, staging).count() == 12
 
 
+def test_a_large_snapshot_is_cut_into_whole_arrays(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(sinks, "SNAPSHOT_OBJECTS", 7)
+    for n in (0, 1, 7, 14, 20):
+        p = sinks.write_snapshot_json(spark.range(n).coalesce(1).selectExpr("id as station_id"), os.path.join(tmp_dir, str(n)), "20240101_100000")
+        sizes = [len(json.load(open(os.path.join(p, f)))) for f in sorted(os.listdir(p)) if f.endswith(".txt") and os.path.getsize(os.path.join(p, f))]
+        assert sum(sizes) == n and all(x <= 7 for x in sizes)
+        if n:
+            assert sorted(r.STATION_ID for r in readers.read_status_json(spark, os.path.join(tmp_dir, str(n))).collect()) == list(range(n))
+
+
 def test_csv_roundtrip_keeps_quotes_and_utf8(spark, tmp_dir):
     rows = [(11, "Old Mill Road, 7", "Old Mill Road, 7", Decimal("48.1234567"), Decimal("11.7654321"), 23),
             (12, "Quay 3 | Café Ö", "Quay 3 | Café Ö", Decimal("48.2000001"), Decimal("11.5000002"), 5)]
