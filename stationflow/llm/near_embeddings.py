@@ -11,6 +11,11 @@ vector carries its block of every pass, so a window knows whether an earlier
 pass has compared a pair already. A window returns a row per vector (its new links
 and one edge), never its pairs. Equal vectors are one class with a count; they
 aren't compared with each other.
+
+Equal keys are ordered by a hash of their own in each pass, so that the windows of
+a mass of near vectors hold other members each time. A component that is larger
+than a block can have links outside its windows: its links are counted anew, by
+comparing all its members shard by shard.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ COSINE = 0.98
 PASSES = 12
 BITS = 48
 BLOCK = 512
+#: Vectors of a crowded component that one task compares with as many others; smaller components are dealt out too.
+SHARD = 8_192
+LEAST_SHARD = 256
+SPREAD = 16
 
 
 def usable(vector: Column | str) -> Column:
@@ -78,8 +87,8 @@ def _keys(classes: DataFrame, passes: int, bits: int) -> DataFrame:
 def _blocks(keys: DataFrame, size: int) -> DataFrame:
     """(cls, pass, block). Blocks that follow one another in an order have numbers
     that do; between labels, passes and partitions a number is left out."""
-    order = ["pass", "label", "dim", "key", "cls"]
-    rows = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["pass", "label", "dim", "key", "tie", "cls"]
+    rows = keys.withColumn("tie", F.xxhash64("cls", "pass")).repartitionByRange(*order).sortWithinPartitions(*order)
     schema = T.StructType([keys.schema["cls"], T.StructField("pass", T.LongType()), T.StructField("block", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +155,52 @@ def _compare(key: tuple, group: pa.Table, least: float) -> pa.Table:
     return pa.table({"cls": cls[hit], "links": weight[hit].astype(np.int64), "other": cls[root[hit]]})
 
 
+def _count(key: tuple, group: pa.Table, least: float) -> pa.Table:
+    """Links between two shards of a component, or within one, counted per vector."""
+    low, high = key[1].as_py(), key[2].as_py()
+    group = group.combine_chunks()
+    cls, count, shard = (group.column(c).to_numpy() for c in ("cls", "n", "shard"))
+    x = scaled(vectors_of(group.column("vector").combine_chunks()))
+    norm = np.sqrt((x * x).sum(1))
+    unit = x / norm[:, None]
+    own, other = np.flatnonzero(shard == low), np.flatnonzero(shard == high)
+    across = unit[other].T
+    n = count.astype(np.float64)  # whole numbers below 2 ** 53
+    weight = np.zeros(len(cls))
+    step = max(1, 4_000_000 // max(1, len(other)))
+    for at in range(0, len(own), step):
+        rows = own[at : at + step]
+        cosine = unit[rows] @ across
+        near = cosine >= least - 1e-9
+        # only what rounding can decide is computed again
+        a, b = np.nonzero(near & (cosine < least + 1e-9))
+        for s in range(0, len(a), 200_000):
+            i, j = a[s : s + 200_000], b[s : s + 200_000]
+            p, q = rows[i], other[j]
+            near[i, j] = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= least
+        if low == high:
+            near[np.arange(len(rows)), at + np.arange(len(rows))] = False
+        near = near.astype(np.float64)
+        weight[rows] += near @ n[other]
+        if low != high:
+            weight[other] += n[rows] @ near
+    return pa.table({"cls": cls, "links": weight.astype(np.int64)})
+
+
+def _recount(crowded: DataFrame, least: float, size: int) -> DataFrame:
+    """(cls, links) of all members of the components given by ``root`` and ``members``."""
+    shards = F.greatest(F.ceil(F.col("members") / size), F.least(F.ceil(F.col("members") / LEAST_SHARD), F.lit(SPREAD)))
+    dealt = crowded.select("root", "cls", "n", "vector", shards.alias("shards")).withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    dealt = dealt.select("root", F.least("shard", "with").alias("low"), F.greatest("shard", "with").alias("high"), "cls", "n", "vector", "shard")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("cls", "links")])
+
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        return _count(key, group, least)
+
+    return dealt.groupBy("root", "low", "high").applyInArrow(count, schema).groupBy("cls").agg(F.sum("links").alias("exact"))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -155,6 +210,7 @@ def near_duplicates(
     passes: int = PASSES,
     bits: int = BITS,
     block: int = BLOCK,
+    shard: int = SHARD,
 ) -> DataFrame:
     """One row per vector: the id, ``n_links``, ``component_id`` and ``kept``.
 
@@ -188,9 +244,11 @@ def near_duplicates(
     roots = connected_components(found.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     of = classes.join(totals, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     of = of.withColumn("root", F.coalesce("root", "cls"))
-    first = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(first, "root").select("label", "vector", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    named = cut_lineage(named, "components")
+    first = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = cut_lineage(of.join(first, "root").select("cls", "label", "vector", "n", "links", "root", "component_id", "members"), "components")
+    recounted = cut_lineage(_recount(named.where(F.col("members") > block), least, shard), "recounted")
+    n_links = F.coalesce("exact", "links", F.lit(0)) + F.col("n") - 1
+    named = named.join(recounted, "cls", "left").select("label", "vector", "component_id", n_links.alias("n_links"))
     linked = rows.where(good).join(named, ["label", "vector"]).select(id_col, "n_links", "component_id")
     alone = rows.where(~good).select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

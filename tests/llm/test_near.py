@@ -135,6 +135,20 @@ def test_embeddings(spark, block):
     assert near_embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.14])
+def test_large_groups_keep_their_links(spark, noise):
+    rnd = np.random.default_rng(3)
+    x = rnd.standard_normal(64) + noise * rnd.standard_normal((3_000, 64))
+    x = np.concatenate([x, x[:5], rnd.standard_normal((200, 64))])
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], SCHEMA)
+    got = {r["vec_id"]: r for r in near_embeddings.near_duplicates(df, shard=1_000).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    assert [got[i]["n_links"] for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    want = groups(len(x), zip(*np.nonzero(np.tril(near, -1)), strict=True), list(range(len(x))))
+    assert [got[i]["component_id"] for i in range(len(x))] == want
+
+
 def plain_top(rows, ids, k):
     usable = [(i, topk.whole(v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
