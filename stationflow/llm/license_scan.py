@@ -1,7 +1,7 @@
 """Licences by canonical digests.
 
-A licence's text is brought to a canonical form: lower case, copyright lines
-left out, punctuation and white space made single blanks, equivalent spellings
+A licence's text is brought to a canonical form: lower case, owners' copyright
+lines left out, punctuation and white space made single blanks, equivalent spellings
 made one. Its SHA-256 is its key. Documents are looked up whole and line by
 line (notices are lines), in the same form, by a hash join of digests. A whole
 text may be wrapped in any way, as lines are joined again before hashing.
@@ -29,6 +29,17 @@ SPELLINGS = (
     ("https", "http"),
 )
 
+#: Words that follow "copyright" in licences' sentences, where an owner's notice has a year, a sign or a name.
+SENTENCE_WORDS = (
+    "notices?", "holders?", "owners?", "authors?", "licen[cs]es?", "laws?", "statements?", "permissions?", "protections?", "interests?", "rights?",
+    "claims?", "disclaimers?", "information", "treaty", "treaties", "acts?", "infringement", "ownership", "materials?", "works?", "interfaces?",
+    "and", "or", "patents?", "trademarks?", "on", "in", "of", "to", "is", "are", "for", "under", "as", "that", "which", "this",
+)
+OWNER = (
+    r"^[^\p{L}\p{N}(]*(©|\(c\)|copyright(?:s|ed)?(?!\p{L})(?![^\p{L}\p{N}©(]*$)"
+    r"(?![\s,/\-]+(?:" + "|".join(SENTENCE_WORDS) + r")(?![\p{L}\p{N}])(?!\s*[:©]|\s+\d)))"
+)
+
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
     "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
@@ -68,10 +79,10 @@ LICENSES = (
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical form of each line; blank and copyright lines left out."""
+    """The canonical form of each line; blank lines and owners' notices left out."""
     lines = F.split(F.lower(text), "\r\n|[\n\r]")
-    # "(c) 2020 someone" and "copyright ..." at a line's start name an owner, not the licence's words.
-    lines = F.filter(lines, lambda x: ~F.rlike(x, F.lit(r"^[^\p{L}\p{N}(]*(copyright|©|\(c\))")))
+    # "(c) 2020 someone" and "copyright someone" at a line's start name an owner; "copyright notice" is the licence's words.
+    lines = F.filter(lines, lambda x: ~F.rlike(x, F.lit(OWNER)))
 
     def form(line: Column) -> Column:
         plain = F.concat(F.lit(" "), F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
@@ -82,10 +93,19 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, form), lambda x: x != "")
 
 
+def whole_form(lines: Column) -> Column:
+    """The canonical form of a whole text; spellings of two words are also met where a line ends between them."""
+    plain = F.concat(F.lit(" "), F.array_join(lines, " "))
+    for old, new in SPELLINGS:
+        if " " in old:
+            plain = F.replace(plain, F.lit(f" {old}"), F.lit(f" {new}"))
+    return F.trim(plain)
+
+
 def registry(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = LICENSES) -> DataFrame:
     """(digest, license, size) of the known texts, by the same form as documents'."""
     known = spark.createDataFrame(licenses, "license string, text string")
-    whole = F.array_join(canonical_lines(F.col("text")), " ")
+    whole = whole_form(canonical_lines(F.col("text")))
     return known.select("license", whole.alias("form")).groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("form")).alias("size"))
 
 
@@ -105,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     table = F.broadcast(known.select("digest", "license", F.array_position(F.array(*map(F.lit, names)), F.col("license")).alias("number")))
     rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
     digests = F.transform("lines", lambda x: F.sha2(x, 256))
-    rows = rows.select(id_col, "_row", F.sha2(F.array_join("lines", " "), 256).alias("digest"), digests.alias("digests"))
+    rows = rows.select(id_col, "_row", F.sha2(whole_form(F.col("lines")), 256).alias("digest"), digests.alias("digests"))
     rows = rows.select(id_col, "_row", "digest", F.explode_outer("digests").alias("line"))
     rows = rows.join(table.select("digest", F.col("license").alias("whole_license")), "digest", "left")
     rows = rows.join(table.select(F.col("digest").alias("line"), "number"), "line", "left")

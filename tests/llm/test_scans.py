@@ -117,3 +117,22 @@ def test_licences(spark, odd, none, tmp_dir):
     want = duckdb.sql(license_scan.oracle_sql(f"'{tmp_dir}/l.parquet'")).limit(10**6).fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in license_scan.scan(plain).collect())
     assert license_scan.scan(none).count() == 0
+
+
+def test_licences_wrapped_before_any_word(spark):
+    whole = [(n, t) for n, t in license_scan.LICENSES if len(t) > 200]
+    rows = []
+    for name, text in whole:
+        words = [p.split(" ") for p in text.split("\n\n")]
+        body = next(i for i, p in enumerate(words) if len(p) > 4)
+        head, rest = "\n\n".join(" ".join(p) for p in words[:body]), [w for p in words[body:] for w in p]
+        rows += [(name, head + "\n\n" + " ".join(rest[:i]) + "\n" + " ".join(rest[i:])) for i in range(1, len(rest))]
+        rows.append((name, head + "\n\n" + "\n * ".join(rest)))
+    isc = next(t for n, t in whole if n == "ISC")
+    owners = ["Copyright 2020 x", "Copyright Some One", "COPYRIGHT (C) 2021 Notice Ltd", "Copyright: Some One", "© Some One", "(c) 2020 x", "# Copyright The Authors", "Copyright holder: x", "Copyright2020 x"]
+    rows += [("ISC", isc.replace("Copyright year holder", o)) for o in owners]
+    # as published
+    rows.append(("ISC", isc.replace("above copyright", "above\ncopyright")))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["whole_license"] for r in license_scan.scan(docs).collect()}
+    assert [(i, got[i]) for i in range(len(rows)) if got[i] != rows[i][0]] == []
