@@ -132,6 +132,16 @@ def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.union(balls).distinct()
 
 
+def _components(rows: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, stored, with a fingerprint ``fp`` in place of the text; and (fp, root, component_id) of the distinct ones, stored."""
+    rows = cut_lineage(fingerprints(rows, text_col, "fp", words), "fingerprints")
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
+    roots = connected_components(links(classes.select("fp")))
+    of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows, cut_lineage(of.join(first, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per document: the id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``.
 
@@ -141,24 +151,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of NULL ids alone has a NULL id. Repeated rows stay, one row each; an empty
     table gives none; other columns are left out.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    rows = cut_lineage(fingerprints(rows, text_col, "fp", words), "fingerprints")
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
-    roots = connected_components(links(classes.select("fp")))
-    of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut_lineage(of.join(first, "root").select("fp", "component_id"), "components")
+    rows, named = _components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, words)
     found = rows.join(named, "fp")  # two stored tables: Spark splits a fingerprint that many documents share
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+    """``docs`` with exactly one row of each component: that of the smallest id.
 
-    Of rows that share that id, one stays. A component of NULL ids keeps its
-    documents (they can't be told apart).
+    Of rows that share that id, the first by their stored order stays; a NULL id
+    comes after all others.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = cut_lineage(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
-    rows = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return rows.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    # Numbered once and stored, so that a task that runs again meets the same numbers.
+    number = "_row"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    stored = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = stored.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(number).alias("row"))
+    rows, named = _components(rows, "id", "text", WORDS)
+    # Reduced per fingerprint first: a fingerprint that many documents share is no hot key.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    best = rows.groupBy("fp").agg(first.alias("best")).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = cut_lineage(best.select(F.col("best.row").alias(number)), "kept")
+    return stored.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

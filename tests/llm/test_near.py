@@ -86,6 +86,16 @@ def test_keep_one(odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_of_shared_and_null_ids(spark, odd):
+    text = " ".join(f"word{i}" for i in range(400))
+    near, other = text.replace("word207 ", "other "), " ".join(f"else{i}" for i in range(300))
+    # an id of two groups; a near copy and copies without ids; a group of NULL ids alone
+    rows = [(1, text), (1, other), (2, near), (None, text), (None, near), (3, other), (None, "no id at all"), (None, "no id at all"), (1, near)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, text), (1, other), (None, "no id at all")], key=str)
+
+
 def vectors():
     rnd = np.random.default_rng(1)
     rows, centre = [], rnd.standard_normal((4, 16))
