@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from stationflow.llm import bpe, language_id, license_scan, near_embeddings, packing, secret_scan, simhash, token_files, topk, toxicity
+from pyspark.sql import functions as F
+
+from stationflow.llm import (
+    alignment,
+    bpe,
+    code_compression,
+    gated_lm,
+    language_id,
+    license_scan,
+    near_embeddings,
+    packing,
+    secret_scan,
+    simhash,
+    token_files,
+    topk,
+    toxicity,
+)
 from stationflow.llm.common import fold, held_out, table
 from stationflow.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +79,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    found = gated_lm.score(table(spark, sf_dir, "documents"), remainder != 2)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
+
+
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -73,6 +104,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_alignment": op12_alignment,
+    "op13_code_compression": op13_code_compression,
 }
 TOP_K_SQL = """
 WITH v AS (

@@ -127,7 +127,7 @@ class ChunkTable:
         ends = lists.offsets.to_numpy()
         words = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
         ends = ends - ends[0]
-        codes, distinct = words.indices.to_numpy(), self._keys(words.dictionary.to_pylist(), texts)
+        codes, distinct = words.indices.to_numpy(), self._keys(words.dictionary.to_numpy(zero_copy_only=False).tolist(), texts)
         used = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)  # white space at an edge leaves empty chunks
         if len(self.numbers) > self.most:
             self._forget()
