@@ -12,12 +12,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DecimalType, TimestampNTZType, TimestampType
 
 from ..functions import columns as C
 from ..operators import balance, docks, geo, metrics, status
 from ..session import cut_lineage, scratch_path
 from ..sources import readers, sinks
+from ..sources.loads import LoadedTable
+from ..streaming import staging
+from ..streaming.latest import LatestTable, start_latest
 from ..streaming.state import StateStore, refresh_state, start_state_refresh
 from . import standins as S
 from .views import register_views
@@ -758,68 +762,129 @@ def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(events_path).schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     root = scratch_path(spark, "stream-state")
-    q = start_state_refresh(
-        S.status_from_events(src),
-        _master(spark, sf),
-        f"{root}/state",
-        f"{root}/checkpoint",
-        available_now=True,
-        order_by=ORDER,
+    _ended(start_state_refresh(S.status_from_events(src), _master(spark, sf), f"{root}/state", f"{root}/checkpoint", available_now=True, order_by=ORDER))
+    return present(StateStore(spark, f"{root}/state").read().select(*STATE_OUT))
+
+
+# The landed snapshots of a stream: event types in two parts, every poll of them. Each seventh poll has
+# no id. A feed object doesn't say when it arrived, so polls of one report time are told apart by their values.
+_FEED_STATE = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS", "STATION_NAME", "CAPACITY"]
+FEED_ORDER = ("LAST_REPORTED",)
+
+
+def _landed(spark: SparkSession, sf: str) -> list[DataFrame]:
+    feed = _status(spark, sf).withColumn("STATION_ID", F.when(F.col("EVENT_ID") % 7 != 0, F.col("STATION_ID")))
+    first = F.coalesce(F.col("STATUS").isin(*FIRST_BATCH_TYPES), F.lit(False))
+    return [feed.where(first), feed.where(~first)]
+
+
+def _feed_state_sql(where: str = "true") -> str:
+    columns = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in NULLABLE_INTS else c for c in _FEED_STATE)
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in ("LAST_REPORTED", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "STATUS"))
+    return (
+        _WITH
+        + f"SELECT {columns} FROM enriched WHERE STATION_ID IS NOT NULL AND EVENT_ID % 7 <> 0 AND {where} "
+        + f"QUALIFY row_number() OVER (PARTITION BY STATION_ID ORDER BY {order}) = 1"
     )
+
+
+def _ended(q: StreamingQuery) -> StreamingQuery:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return present(StateStore(spark, f"{root}/state").read().select(*STATE_OUT))
+    return q
 
 
-# The landed snapshots of a stream: event types in two parts.
-_FEED_STATE = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS", "STATION_NAME", "CAPACITY"]
+def _land(part: DataFrame, root: str, number: int) -> None:
+    sinks.write_snapshot_json(sinks.to_feed_shape(part), f"{root}/landing", f"20240101_00{number:02d}00")
 
 
-def _ordered_feed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The two arrival parts; of polls of a station with one report time the last to
-    arrive, because a feed object doesn't say when it arrived."""
-    feed = _status(spark, sf).where("STATION_ID is not null")
-    rest = [c for c in feed.columns if c not in ("STATION_ID", "LAST_REPORTED", "EVENT_ID")]
-    latest = feed.groupBy("STATION_ID", "LAST_REPORTED").agg(F.max(F.struct("EVENT_ID", *rest)).alias("of")).select("STATION_ID", "LAST_REPORTED", "of.*")
-    first = latest.where(F.col("STATUS").isin(*FIRST_BATCH_TYPES))
-    second = latest.where(~F.col("STATUS").isin(*FIRST_BATCH_TYPES) | F.col("STATUS").isNull())
-    return first, second
+def _refreshed(spark: SparkSession, sf: str, source: DataFrame, root: str, start: str = "first") -> None:
+    _ended(
+        start_state_refresh(
+            source, lambda: _master(spark, sf), f"{root}/state", f"{root}/checkpoint", available_now=True, order_by=FEED_ORDER, order="event_time", start=start
+        )
+    )
 
 
-_FEED_STATE_SQL = (
-    _WITH
-    + "SELECT "
-    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in NULLABLE_INTS else c for c in _FEED_STATE)
-    + " FROM state"
-)
+def _feed_state(spark: SparkSession, root: str) -> DataFrame:
+    return present(StateStore(spark, f"{root}/state").read().select(*_FEED_STATE))
 
 
-def _stream_snapshots(spark: SparkSession, sf: str, parts: list[DataFrame], restart: bool) -> DataFrame:
-    """Land each part as a JSON snapshot and stream them, four files a batch; with
-    ``restart`` the stream stops after the first snapshot and a new one goes on."""
-    root = scratch_path(spark, "json-stream")
-    for i, part in enumerate(parts):
-        sinks.write_snapshot_json(sinks.to_feed_shape(part), f"{root}/landing", f"20240101_00{i:02d}00")
-        if restart or i == len(parts) - 1:
-            source = readers.stream_status_json(spark, f"{root}/landing", "stations*", max_files_per_trigger=4)
-            q = start_state_refresh(source, lambda: _master(spark, sf), f"{root}/state", f"{root}/checkpoint", available_now=True, order="event_time")
-            q.awaitTermination()
-            if q.exception() is not None:
-                raise RuntimeError(str(q.exception()))
-    return present(StateStore(spark, f"{root}/state").read().select(*_FEED_STATE))
+def _snapshots(spark: SparkSession, root: str) -> DataFrame:
+    return readers.stream_status_json(spark, f"{root}/landing", "stations*", max_files_per_trigger=4, with_source_file=False)
 
 
-@query("stream_json_snapshots", _FEED_STATE_SQL)
+@query("stream_json_snapshots", _feed_state_sql())
 def q_stream_json_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON snapshots through the streaming reader, a few files a micro-batch."""
-    return _stream_snapshots(spark, sf, list(_ordered_feed(spark, sf)), restart=False)
+    """JSON snapshots through the streaming reader, a few files a micro-batch."""
+    root = scratch_path(spark, "json-stream")
+    for i, part in enumerate(_landed(spark, sf)):
+        _land(part, root, i)
+    _refreshed(spark, sf, _snapshots(spark, root), root)
+    return _feed_state(spark, root)
 
 
-@query("stream_restart", _FEED_STATE_SQL)
+@query("stream_restart", _feed_state_sql())
 def q_stream_restart(spark: SparkSession, sf: str) -> DataFrame:
-    """The same, stopped after the first snapshot and started again on its checkpoint."""
-    return _stream_snapshots(spark, sf, list(_ordered_feed(spark, sf)), restart=True)
+    """The same, stopped after the first snapshot and started again on its checkpoint (A4)."""
+    root = scratch_path(spark, "json-stream")
+    for i, part in enumerate(_landed(spark, sf)):
+        _land(part, root, i)
+        _refreshed(spark, sf, _snapshots(spark, root), root)
+    return _feed_state(spark, root)
+
+
+@query("stream_from_now", _feed_state_sql("(STATUS NOT IN ('click', 'view') OR STATUS IS NULL)"))
+def q_stream_from_now(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream that starts from now: what lay there at its creation never reaches the state."""
+    root = scratch_path(spark, "json-stream")
+    first, second = _landed(spark, sf)
+    _land(first, root, 0)
+    _refreshed(spark, sf, _snapshots(spark, root), root, start="now")
+    _land(second, root, 1)
+    _refreshed(spark, sf, _snapshots(spark, root), root, start="now")
+    return _feed_state(spark, root)
+
+
+@query("stream_two_hops", _feed_state_sql())
+def q_stream_two_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed -> append-only staging table -> stream over that table -> state; both hops stop after each snapshot (A5, G1)."""
+    root = scratch_path(spark, "two-hops")
+    for i, part in enumerate(_landed(spark, sf)):
+        _land(part, root, i)
+        feed = readers.stream_status_json(spark, f"{root}/landing", "stations*")
+        _ended(staging.start_staging(feed, f"{root}/staging", f"{root}/hop1", available_now=True))
+        _refreshed(spark, sf, staging.stream_staging(spark, f"{root}/staging", 4).drop("SOURCE_FILE"), root)
+    return _feed_state(spark, root)
+
+
+@query(
+    "feed_metrics",
+    f"WITH st AS ({S.STATUS_SQL}) SELECT count(*) AS PROCESSED, count(*) FILTER (STATION_ID IS NULL OR EVENT_ID % 7 = 0) AS REJECTED, "
+    "count(*) FILTER (NUM_BIKES_AVAILABLE IS NULL OR NUM_DOCKS_AVAILABLE IS NULL OR NUM_BIKES_AVAILABLE < 0 OR NUM_DOCKS_AVAILABLE < 0) AS INVALID FROM st",
+)
+def q_feed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a feed, observed while the first hop appends it: no job of their own."""
+    root = scratch_path(spark, "feed-metrics")
+    for i, part in enumerate(_landed(spark, sf)):
+        _land(part, root, i)
+    feed = staging.counted(readers.stream_status_json(spark, f"{root}/landing", "stations*", max_files_per_trigger=8))
+    found = staging.observed(_ended(staging.start_staging(feed, f"{root}/staging", f"{root}/hop1", available_now=True)))
+    return spark.createDataFrame([tuple(found[k] for k in ("processed", "rejected", "invalid"))], "PROCESSED long, REJECTED long, INVALID long")
+
+
+@query("stream_latest_changes", _WITH + "SELECT " + _STATE_OUT_SQL + " FROM state")
+def q_stream_latest_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest row per station as the state of a stream over a staging table, in several batches and two runs."""
+    root = scratch_path(spark, "latest-stream")
+    feed = _status(spark, sf)
+    parts = feed.withColumn("_part", F.pmod(F.xxhash64("EVENT_ID"), F.lit(6)))
+    source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 8).parquet
+    for run in (0, 1):
+        parts.where(F.floor(F.col("_part") / 3) == run).drop("_part").write.mode("append").parquet(f"{root}/staging")
+        _ended(start_latest(source(f"{root}/staging"), f"{root}/latest", f"{root}/checkpoint", ORDER, available_now=True))
+    return present(status.enrich_status(LatestTable(spark, f"{root}/latest").read(), _master(spark, sf)).select(*STATE_OUT))
 
 
 @query("upsert_event_time", _WITH + "SELECT " + _STATE_OUT_SQL + " FROM state")
@@ -828,11 +893,26 @@ def q_upsert_event_time(spark: SparkSession, sf: str) -> DataFrame:
     return present(_run_two_batches(spark, sf, "event_time").read().select(*STATE_OUT))
 
 
-@query("rejected_ids", "SELECT count(*) AS N_ROWS, count(*) FILTER (user_id IS NULL OR user_id % 7 = 0) AS N_REJECTED FROM events")
+@query(
+    "rejected_ids",
+    "SELECT count(*) AS N_ROWS, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 = 0 AND user_id IS NOT NULL) AS N_NOT_NUMERIC, "
+    "count(*) AS N_PROCESSED, count(*) FILTER (user_id IS NULL OR event_id % 7 = 0 OR event_id % 5 = 0) AS N_REJECTED, "
+    "count(DISTINCT user_id) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0) AS N_STATIONS FROM events",
+)
 def q_rejected_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that a refresh drops for want of an id, here those of every seventh station."""
-    feed = _status(spark, sf).withColumn("STATION_ID", F.when(F.col("STATION_ID") % 7 != 0, F.col("STATION_ID")))
-    return feed.agg(F.count(F.lit(1)).alias("N_ROWS"), F.count(F.when(F.col("STATION_ID").isNull(), 1)).alias("N_REJECTED"))
+    """A landed feed where some polls have no id and some no numeric one: what the reader and the refresh count."""
+    root = scratch_path(spark, "rejects")
+    feed = _status(spark, sf)
+    text = F.when(F.col("EVENT_ID") % 7 == 0, None).when(F.col("EVENT_ID") % 5 == 0, F.concat(F.lit("s"), F.col("STATION_ID"))).otherwise(F.col("STATION_ID").cast("string"))
+    objects = sinks.to_feed_shape(feed.withColumn("STATION_ID", text))
+    sinks.write_snapshot_json(objects, f"{root}/landing", "20240101_000000")
+    store = StateStore(spark, f"{root}/state")
+    refresh_state(readers.read_status_json(spark, f"{root}/landing"), 0, store, _master(spark, sf))
+    counts, commit = readers.reject_counts(spark, f"{root}/landing"), store.latest()
+    stations = store.read().agg(F.count(F.lit(1)).alias("N_STATIONS"))
+    return counts.select(
+        F.col("ROWS").alias("N_ROWS"), F.col("STATION_ID").alias("N_NOT_NUMERIC"), F.lit(commit.rows).cast("long").alias("N_PROCESSED"), F.lit(commit.rejected).cast("long").alias("N_REJECTED")
+    ).join(stations)
 
 
 # ---------------------------------------------------------------------------------------
@@ -850,18 +930,47 @@ def q_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "landing")
     sinks.write_snapshot_json(sinks.to_feed_shape(first), base, "20240101_000000")
     sinks.write_snapshot_json(sinks.to_feed_shape(second), base, "20240101_000500")
-    staging = scratch_path(spark, "staging")
-    sinks.append_staging(readers.read_status_json(spark, base), staging)
-    return readers.read_table(spark, staging).select(*_FEED_COLS)
+    table = scratch_path(spark, "staging")
+    sinks.append_staging(readers.read_status_json(spark, base), table)
+    return readers.read_table(spark, table).select(*_FEED_COLS)
+
+
+@query("load_once", _FEED_SQL)
+def q_load_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Two snapshots loaded by three loads; what is loaded already is left out (A4, A5)."""
+    table = _loaded(spark, sf)
+    return table.rows().select(*_FEED_COLS)
+
+
+@query(
+    "load_history",
+    f"WITH st AS ({S.STATUS_SQL}) SELECT CAST(CASE WHEN STATUS IN ('click', 'view') THEN 0 ELSE 1 END AS BIGINT) AS LOAD_ID, 'new' AS STATUS, "
+    "count(*) AS N_ROWS, true AS HAS_FILES FROM st GROUP BY 1",
+)
+def q_load_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The history of those loads: rows by load, from files that are known by path, size and time (A4)."""
+    history = _loaded(spark, sf).history().groupBy("LOAD_ID", "STATUS")
+    return history.agg(F.sum("N_ROWS").alias("N_ROWS"), (F.min("FILE_SIZE") >= 0).alias("HAS_FILES"))
+
+
+def _loaded(spark: SparkSession, sf: str) -> LoadedTable:
+    _, first, second = _two_batches(spark, sf)
+    root = scratch_path(spark, "load")
+    table = LoadedTable(spark, f"{root}/staging")
+    for i, part in enumerate((first, second)):
+        _land(part, root, i)
+        table.load(f"{root}/landing")
+    table.load(f"{root}/landing")
+    return table
 
 
 @query("envelope_rows", _FEED_SQL)
 def q_envelope_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Status rows wrapped as API payloads {"data": {"stations": [...]}} and read back."""
+    """The stations of a report time as one API payload {"data": {"stations": [...]}}, read back."""
     feed = sinks.to_feed_shape(_status(spark, sf))
-    payload = feed.select(F.struct(F.array(F.struct(*feed.columns)).alias("stations")).alias("data"))
+    stations = feed.groupBy("last_reported").agg(F.collect_list(F.struct(*feed.columns)).alias("stations"))
     path = scratch_path(spark, "payloads")
-    payload.write.json(path)
+    stations.select(F.struct("stations").alias("data")).write.json(path)
     return readers.read_envelope(spark, path, multi_line=False).select(*_FEED_COLS)
 
 
@@ -905,6 +1014,11 @@ def q_view_broken_docks(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(f"SELECT STATION_NAME, BROKEN_DOCKS FROM {prefix}broken_docks WHERE BROKEN_DOCKS > 1")
 
 
+def _type_sql(column: str, kind: str) -> str:
+    # The other engine's TIMESTAMP has no zone; here that type has a name of its own.
+    return f"replace(lower(typeof(CAST({column} AS {kind}))), 'timestamp', 'timestamp_ntz')"
+
+
 _TYPED_COLUMNS = {"OCCUPATION_RATIO": "DECIMAL(12,4)", "LAT": "DECIMAL(12,7)", "LON": "DECIMAL(12,7)", "LAST_REPORTED_TST": "TIMESTAMP"}
 
 
@@ -912,7 +1026,7 @@ _TYPED_COLUMNS = {"OCCUPATION_RATIO": "DECIMAL(12,4)", "LAT": "DECIMAL(12,7)", "
     "declared_types",
     _WITH
     + "SELECT STATION_ID, "
-    + ", ".join(f"CAST(CAST({c} AS {t}) AS VARCHAR) AS {c}, lower(typeof(CAST({c} AS {t}))) AS {c}_TYPE" for c, t in _TYPED_COLUMNS.items())
+    + ", ".join(f"CAST(CAST({c} AS {t}) AS VARCHAR) AS {c}, {_type_sql(c, t)} AS {c}_TYPE" for c, t in _TYPED_COLUMNS.items())
     + " FROM state",
 )
 def q_declared_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -920,7 +1034,7 @@ def q_declared_types(spark: SparkSession, sf: str) -> DataFrame:
     shown = [
         col
         for c in _TYPED_COLUMNS
-        for col in (F.col(c).cast("string").alias(c), F.regexp_replace(F.expr(f"typeof({c})"), "_ntz$", "").alias(f"{c}_TYPE"))
+        for col in (F.col(c).cast("string").alias(c), F.expr(f"typeof({c})").alias(f"{c}_TYPE"))
     ]
     return _state(spark, sf).select("STATION_ID", *shown)
 

@@ -3,8 +3,9 @@
 Feeds are JSON arrays (one object per station, one file per poll) or JSON
 lines; either way an explicit schema with string leaves is applied -- never
 inference -- and the typed projection below does the casts. Arrays, which is
-what the feed and our own snapshots are, need ``multi_line`` (the default) and are
-read one file per task; for JSON lines pass ``multi_line=False``, and they split.
+what the feed and our own snapshots are, need ``multi_line`` (the default): a file is
+read as one text, parsed as an array and split by ``inline``, one file per task. For JSON
+lines pass ``multi_line=False``, and they split.
 A file or line that isn't JSON gives no rows; ``reject_counts`` says how many there
 are, and how often each field had a text that its type can't hold.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import columns as C
 from ..schemas import BROKEN_DOCKS, ENVELOPE_JSON, MASTER_JSON, STATUS_JSON
@@ -21,11 +22,18 @@ from ..schemas import BROKEN_DOCKS, ENVELOPE_JSON, MASTER_JSON, STATUS_JSON
 STATUS_PATTERN = "stations*"
 
 
-def _glob(path: str, pattern: str | None) -> str:
+def _glob(path: str | list[str], pattern: str | None) -> str | list[str]:
     return f"{path.rstrip('/')}/{pattern}" if pattern else path
 
 
+def plain_path(path: Column) -> Column:
+    """A local file's path as every reader gives it: a listed one is written with one slash after the scheme, a reader's with three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 CORRUPT = "_corrupt_record"
+#: Where a raw object came from.
+FILE = "_source_file"
 
 
 def _status_columns() -> list[Column]:
@@ -50,7 +58,7 @@ def status_projection(raw: DataFrame, with_source_file: bool = False) -> DataFra
     """Raw feed objects -> the 13 staging columns (A1 projection, B1, B2, B4)."""
     cols = _status_columns()
     if with_source_file:
-        cols.append(F.col("_metadata.file_path").alias("SOURCE_FILE"))
+        cols.append(F.col(FILE).alias("SOURCE_FILE"))
     return raw.select(*cols)
 
 
@@ -75,32 +83,32 @@ def _master_columns() -> list[Column]:
 
 def master_projection(raw: DataFrame, with_source_file: bool = False) -> DataFrame:
     """Raw master objects -> the 14 master columns."""
-    file = [F.col("_metadata.file_path").alias("SOURCE_FILE")] if with_source_file else []
+    file = [F.col(FILE).alias("SOURCE_FILE")] if with_source_file else []
     return raw.select(*_master_columns(), *file)
 
 
-def _with_corrupt(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField(CORRUPT, StringType())])
+def _parsed(reader, schema: StructType, multi_line: bool, path: str) -> DataFrame:  # noqa: ANN001
+    """One row a file (``multi_line``) or line that isn't blank: its path and the array of its
+    objects, NULL if it isn't JSON. A file that holds one object is an array of it."""
+    raw = reader.text(path, wholetext=multi_line)
+    texts = raw.where(F.trim(F.translate("value", "\t\r\n", "   ")) != "")
+    return texts.select(F.col("_metadata.file_path").alias(FILE), F.from_json("value", ArrayType(schema)).alias("_objects"))
 
 
 def _json(reader, schema: StructType, multi_line: bool, path: str) -> DataFrame:  # noqa: ANN001
-    """Feed objects; what isn't JSON is marked by the parser and left out."""
-    raw = reader.schema(_with_corrupt(schema)).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    # Spark refuses queries that read the mark alone (a count, say), so a field is read along with it.
-    field = next((f.name for f in schema.fields if isinstance(f.dataType, StringType)), None)
-    mark = F.concat(F.col(CORRUPT), F.coalesce(F.col(field), F.lit(""))) if field else F.col(CORRUPT)
-    return raw.where(mark.isNull())
-
+    """Feed objects with their file; what isn't JSON is left out."""
+    return _parsed(reader, schema, multi_line, path).select(FILE, F.inline("_objects"))
 
 
 def read_status_json(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     pattern: str | None = STATUS_PATTERN,
     multi_line: bool = True,
     with_source_file: bool = False,
 ) -> DataFrame:
-    """Status feed files under ``path`` matching ``pattern`` (files or folders) (A1)."""
+    """Status feed files under ``path`` matching ``pattern`` (files or folders) (A1); without a
+    pattern ``path`` may be a list of files."""
     return status_projection(_json(spark.read, STATUS_JSON, multi_line, _glob(path, pattern)), with_source_file)
 
 
@@ -115,12 +123,14 @@ def reject_counts(spark: SparkSession, path: str, pattern: str | None = STATUS_P
     """One row: ``ROWS``, ``CORRUPT`` (files or lines that aren't JSON) and, per typed
     column, the values that were there and that its type couldn't hold (B2)."""
     schema, columns = (MASTER_JSON, _master_columns()) if master else (STATUS_JSON, _status_columns())
-    raw = spark.read.schema(_with_corrupt(schema)).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(_glob(path, pattern))
+    parsed = _parsed(spark.read, schema, multi_line, _glob(path, pattern))
+    raw = parsed.select(F.col("_objects").isNull().alias(CORRUPT), F.explode_outer("_objects").alias("_object"))
+    raw = raw.select(CORRUPT, F.col("_object").isNotNull().alias("_row"), "_object.*")
     typed = raw.select(*columns).schema.names
     source = {"NUM_BIKES_AVAILABLE_MECHANICAL": "num_bikes_available_types.mechanical", "NUM_BIKES_AVAILABLE_EBIKE": "num_bikes_available_types.ebike", "STATION_NAME": "name"}
     found = {n: c for n, c in zip(typed, columns, strict=True) if n != "TST_REC"}
     bad = [F.count(F.when(F.col(source.get(n, n.lower())).isNotNull() & c.isNull(), 1)).alias(n) for n, c in found.items()]
-    return raw.agg(F.count(F.when(F.col(CORRUPT).isNull(), 1)).alias("ROWS"), F.count(CORRUPT).alias("CORRUPT"), *bad)
+    return raw.agg(F.count(F.when(F.col("_row"), 1)).alias("ROWS"), F.count(F.when(F.col(CORRUPT), 1)).alias("CORRUPT"), *bad)
 
 
 def stream_status_json(
@@ -158,9 +168,11 @@ def read_envelope(spark: SparkSession, path: str, pattern: str | None = None, mu
     """Saved API payloads {"data": {"stations": [...]}} -> staging rows.
 
     Each payload is one record whose array is split by ``inline``; a payload
-    holds one poll, so no row grows with the history.
+    holds one poll, so no row grows with the history. With ``multi_line`` a file is one payload
+    or an array of them.
     """
-    return status_projection(_json(spark.read, ENVELOPE_JSON, multi_line, _glob(path, pattern)).select(F.inline("data.stations")))
+    payloads = _json(spark.read, ENVELOPE_JSON, multi_line, _glob(path, pattern))
+    return status_projection(payloads.select(F.inline("data.stations")))
 
 
 def file_inventory(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> DataFrame:
@@ -171,11 +183,9 @@ def file_inventory(spark: SparkSession, path: str, fmt: str = "json", **options:
     """
     listing = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("FILE_SIZE"), F.col("modificationTime").alias("MODIFIED"))
     listing = listing.select(F.col("path").alias("FILE_PATH"), F.element_at(F.split("path", "/"), -1).alias("FILE_NAME"), "FILE_SIZE", "MODIFIED")
-    # A listed path is written with one slash after the scheme, a reader's with three.
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     rows = spark.read.format(fmt).options(**options).load(path)
-    rows = rows.groupBy(plain(F.col("_metadata.file_path")).alias("_file")).agg(F.count(F.lit(1)).alias("N_ROWS"))
-    joined = listing.withColumn("_file", plain(F.col("FILE_PATH"))).join(rows, "_file", "left")
+    rows = rows.groupBy(plain_path(F.col("_metadata.file_path")).alias("_file")).agg(F.count(F.lit(1)).alias("N_ROWS"))
+    joined = listing.withColumn("_file", plain_path(F.col("FILE_PATH"))).join(rows, "_file", "left")
     return joined.select("FILE_PATH", "FILE_NAME", "FILE_SIZE", "MODIFIED", F.coalesce("N_ROWS", F.lit(0)).alias("N_ROWS"))
 
 

@@ -1,34 +1,34 @@
 """Keyed current-state table kept by micro-batch upsert.
 
 The state lives in a folder of Parquet snapshots. Each attempt to write one has
-a folder of its own, ``<root>/data/<sequence>-<random>``, and is published by one
-small file, ``<root>/_commits/<sequence>``, that names it; creating that file is
-the commit. Sequence numbers are the store's own, so a stream that starts anew
-(and numbers its batches from 0 again) goes on behind what is there. A batch of
-a query that is committed already is a replay and changes nothing. No job ever
-writes where another may read, and the newest state is found by listing the
-commits, without a Spark job. Old versions and left-over attempts are removed.
-
-Upsert without a lakehouse format: ``prev LEFT ANTI JOIN batch`` on the key,
-``UNION`` the batch. The batch is first reduced to one row per key (a MERGE
-source with two rows for a key is ambiguous) and enriched with the master.
-Work per batch is O(stations), not O(history).
+a folder of its own and is published by one small file (``commits.CommitLog``). Sequence
+numbers are the store's own, so a stream that starts anew (and numbers its batches from 0
+again) goes on behind what is there. A batch of a query that is committed already is a
+replay and changes nothing. No job ever writes where another may read, and the newest
+state is found by listing the commits, without a Spark job. Old versions and left-over
+attempts are removed.
+
+Upsert without a lakehouse format: state and batch are united and the batch's row wins
+for its key (``upsert`` is the same as an anti-join and a union). The batch is first
+reduced to one row per key (a MERGE source with two rows for a key is ambiguous) and
+enriched with the master. A refresh is one job: what it processed and rejected is
+observed on the way. Work per batch is O(stations), not O(history).
 """
 
 from __future__ import annotations
 
-import json
 import logging
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.status import KEY, enrich_status, latest_master, latest_per_station
 from ..schemas import STATE_COLUMNS
+from .commits import CommitLog
+from .staging import mark_present
 
 log = logging.getLogger(__name__)
 
@@ -45,6 +45,7 @@ class Commit:
     batch: int
     path: str
     rows: int
+    rejected: int = 0
 
 
 class StateStore:
@@ -53,34 +54,15 @@ class StateStore:
     def __init__(self, spark: SparkSession, root: str, keep: int = 10):
         if keep < 1:
             raise ValueError("at least one version has to be kept")
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
-
-    # Small files are read, written and listed through the file system of the root, be it local or shared.
-    def _path(self, name: str):  # noqa: ANN202
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _names(self, folder: str) -> list[str]:
-        fs, path = self._path(folder)
-        # A folder that isn't there is empty; any other trouble is an error.
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def _commit(self, name: str) -> Commit:
-        fs, path = self._path(f"_commits/{name}")
-        stream = fs.open(path)
-        try:
-            text = bytes(stream.readAllBytes()).decode("utf-8")
-        finally:
-            stream.close()
-        return Commit(**json.loads(text))
+        self.log, self.keep = CommitLog(spark, root), keep
 
     def commits(self) -> list[Commit]:
         """The kept commits, oldest first."""
-        return [self._commit(n) for n in self._names("_commits") if n.isdigit()]
+        return [Commit(sequence=n, **e) for n, e in self.log.entries()]
 
     def latest(self) -> Commit | None:
-        names = [n for n in self._names("_commits") if n.isdigit()]
-        return self._commit(names[-1]) if names else None
+        newest = self.log.newest()
+        return None if newest is None else Commit(sequence=newest[0], **newest[1])
 
     def latest_version(self) -> int | None:
         """Sequence number of the newest version."""
@@ -93,35 +75,15 @@ class StateStore:
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """A kept version by its sequence number, or the newest; None if nothing is published."""
-        commit = self.latest() if version is None else self._commit(f"{version:012d}")
-        return None if commit is None else self.spark.read.parquet(f"{self.root}/{commit.path}")
-
-    def write(self, df: DataFrame, query: str, batch: int, rows: int = 0) -> Commit:
-        """Write a version into a folder of its own, then publish it."""
-        newest = self.latest_version()
-        sequence = 0 if newest is None else newest + 1
-        commit = Commit(sequence, query, int(batch), f"data/{sequence:012d}-{uuid.uuid4().hex[:8]}", int(rows))
-        df.write.parquet(f"{self.root}/{commit.path}")
-        fs, path = self._path(f"_commits/{sequence:012d}")
-        stream = fs.create(path, False)  # fails if another writer was first
-        try:
-            stream.write(bytearray(json.dumps(commit.__dict__), "utf-8"))
-        finally:
-            stream.close()
-        self._clean(sequence)
-        return commit
-
-    def _clean(self, newest: int) -> None:
-        """Remove versions older than the kept ones, commit first, and attempts that never were published."""
-        oldest = newest - self.keep + 1
-        for name in self._names("_commits"):
-            if name.isdigit() and int(name) < oldest:
-                fs, path = self._path(f"_commits/{name}")
-                fs.delete(path, False)
-        for name in self._names("data"):
-            if int(name.split("-")[0]) < oldest:
-                fs, path = self._path(f"data/{name}")
-                fs.delete(path, True)
+        entry = (self.log.newest() or (0, None))[1] if version is None else self.log.read(version)
+        return None if entry is None else self.log.frame(entry)
+
+    def write(self, df: DataFrame, query: str, batch: int, rows: int | Callable[[], int] = 0, rejected: int | Callable[[], int] = 0) -> Commit:
+        """Write a version into a folder of its own, then publish it. The counts may be
+        functions that know them when ``df`` is written."""
+        sequence, entry = self.log.write(df, query=query, batch=int(batch), rows=rows, rejected=rejected)
+        self.log.forget(sequence - self.keep + 1)
+        return Commit(sequence=sequence, **entry)
 
 
 def upsert(prev: DataFrame | None, batch: DataFrame, key: str = KEY) -> DataFrame:
@@ -157,30 +119,32 @@ def refresh_state(
     if done is not None:
         return f"Processed {done.rows} rows"
     prev = store.read()
-    # One pass over the micro-batch: reduce to one row per key, keeping the row
-    # counts (NULL-key group included) for the message and the reject count.
-    reduced = latest_per_station(batch, order_by, with_counts=True).persist()
-    try:
-        stats = reduced.agg(
-            F.sum("_N").alias("rows"), F.sum(F.when(F.col(KEY).isNull(), F.col("_N"))).alias("rejected")
-        ).first()
-        rows = stats["rows"] or 0
-        dimension = latest_master(master() if callable(master) else master)
-        fresh = enrich_status(reduced.where(F.col(KEY).isNotNull()).drop("_N"), dimension)
-        # What orders rows besides the state's own columns is kept, the file a row came from is not.
-        extra = [c for c in order_by if c not in STATE_COLUMNS]
-        fresh = fresh.select(*STATE_COLUMNS, *[c for c in extra if c in fresh.columns])
-        if order == "arrival" or prev is None:
-            new = upsert(prev, fresh)
-        else:
-            new = latest_per_station(prev.unionByName(fresh, allowMissingColumns=True), order_by)
-        store.write(new, query, batch_id, rows)
-    finally:
-        reduced.unpersist()
-    if stats["rejected"]:
-        log.warning("batch %s: %s rows without a station id were dropped", batch_id, stats["rejected"])
-    log.info("batch %s: processed %s rows", batch_id, rows)
-    return f"Processed {rows} rows"
+    # One job: the batch is reduced to one row per key, its row counts (those of the NULL key
+    # too) are observed on the way, and each key's row of the batch meets that of the state.
+    seen = Observation()
+    reduced = latest_per_station(batch, order_by, with_counts=True).observe(
+        seen,
+        F.coalesce(F.sum("_N"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col(KEY).isNull(), F.col("_N"))), F.lit(0)).alias("rejected"),
+    )
+    dimension = latest_master(master() if callable(master) else master)
+    fresh = enrich_status(reduced.where(F.col(KEY).isNotNull()).drop("_N"), dimension)
+    # What orders rows besides the state's own columns is kept, the file a row came from is not.
+    extra = [c for c in order_by if c not in STATE_COLUMNS]
+    fresh = fresh.select(*STATE_COLUMNS, *[c for c in extra if c in fresh.columns])
+    # The batch comes first: its session is the one that observes.
+    if prev is None:
+        new = fresh
+    elif order == "event_time":
+        new = latest_per_station(fresh.unionByName(prev, allowMissingColumns=True), order_by)
+    else:
+        both = fresh.withColumn("_fresh", F.lit(True)).unionByName(prev.withColumn("_fresh", F.lit(False)), allowMissingColumns=True)
+        new = latest_per_station(both, ("_fresh",)).drop("_fresh")
+    commit = store.write(new, query, batch_id, lambda: seen.get["rows"], lambda: seen.get["rejected"])
+    if commit.rejected:
+        log.warning("batch %s: %s rows without a station id were dropped", batch_id, commit.rejected)
+    log.info("batch %s: processed %s rows", batch_id, commit.rows)
+    return f"Processed {commit.rows} rows"
 
 
 def start_state_refresh(
@@ -193,13 +157,19 @@ def start_state_refresh(
     order_by: Sequence[str] = ("LAST_REPORTED", "TST_REC"),
     order: str = "arrival",
     keep: int = 10,
+    start: str = "first",
 ) -> StreamingQuery:
     """Run :func:`refresh_state` on every micro-batch of a streaming status
-    source (G1, G3). Offsets commit only after the batch's version is published,
+    source (G1, G3). ``start="now"`` leaves out what the source holds when its checkpoint is new
+    (G2, see :func:`~.staging.mark_present`). Offsets commit only after the batch's version is published,
     and a batch that comes again is recognised by the stream's id; empty triggers
     run nothing (C8). Give ``master`` as a function for a master that changes: it
     is called for each batch.
     """
+    if start not in ("first", "now"):
+        raise ValueError("start must be 'first' or 'now'")
+    if start == "now":
+        mark_present(source, checkpoint_location)
     store = StateStore(source.sparkSession, store_root, keep)
 
     def run(batch: DataFrame, batch_id: int) -> None:

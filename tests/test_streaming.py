@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fixtures import FIRST, MASTER, SECOND, T0, poll, write_array
 from stationflow.operators import status
 from stationflow.sources import readers
+from stationflow.streaming.commits import CommitLog
 from stationflow.streaming.state import StateStore, refresh_state, start_state_refresh
 
 
@@ -101,21 +102,42 @@ def test_old_versions_and_attempts_go(spark, tmp_dir):
     store = StateStore(spark, os.path.join(tmp_dir, "state"), keep=2)
     for i in range(5):
         refresh_state(a, i, store, m)
-    assert [c.sequence for c in store.commits()] == [3, 4] and len(store._names("data")) == 2
+    assert [c.sequence for c in store.commits()] == [3, 4] and len(store.log._names("data")) == 2
     assert store.read(version=3).count() == 3
     with pytest.raises(Exception):
         store.read(version=0)
 
 
-def test_an_unreadable_log_is_an_error(spark, tmp_dir):
+@pytest.mark.parametrize("left", ["", "{", '{"query": "b'])
+def test_a_torn_commit_is_passed_over(spark, tmp_dir, left):
     m = _master(spark, tmp_dir)
     a, b = _two(spark, tmp_dir)
     store = StateStore(spark, os.path.join(tmp_dir, "state"))
     refresh_state(a, 0, store, m)
+    before = _snap(store.read())
     with open(os.path.join(tmp_dir, "state", "_commits", "000000000001"), "w") as f:
-        f.write("{")
+        f.write(left)
+    assert _snap(store.read()) == before and store.latest_version() == 0
+    assert refresh_state(b, 1, store, m) == "Processed 2 rows"
+    assert store.latest_version() == 2 and {r.STATION_ID for r in store.read().collect()} == {1, 2, 3, 4}
+
+
+def test_of_two_writers_of_a_version_the_second_fails(spark, tmp_dir):
+    log = CommitLog(spark, os.path.join(tmp_dir, "log"))
+    log.write(spark.range(1), rows=1)
     with pytest.raises(Exception):
-        refresh_state(b, 1, store, m)
+        log.publish(0, {"path": "elsewhere"})
+    assert [e["rows"] for _, e in log.entries()] == [1]
+    assert [n for n in os.listdir(os.path.join(tmp_dir, "log", "_commits")) if not n.endswith(".crc")] == ["000000000000"]
+    with pytest.raises(ValueError, match="exclusive"):
+        _Foreign(spark, "s3a://bucket/x")
+
+
+class _Foreign(CommitLog):
+    """A log on a file system that isn't there to be asked."""
+
+    def _path(self, name):
+        return None, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
 
 def test_master_is_read_anew_and_reduced(spark, tmp_dir):
