@@ -37,7 +37,7 @@ from stationflow.llm.common import release, steps
 from stationflow.session import cut_lineage
 
 #: Bytes of text of a chunk (a longer single text makes a chunk of its own).
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 32_000_000
 #: Words of the head; sizes of the embeddings and of the state; classes of the head.
 HEAD = 1_024
 EMBEDDING = 16
@@ -321,6 +321,32 @@ def train_codes(network: Network, adam: Adam, codes: np.ndarray, lengths: np.nda
     return loss
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Numbers below 2^32 as their lower halves and then their upper ones, which are mostly zero."""
+    return (places & 0xFFFF).astype("<u2").tobytes() + (places >> 16).astype("<u2").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    halves = np.frombuffer(data, "<u2").reshape(2, -1).astype(np.int64)
+    return halves[0] | halves[1] << 16
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of up to ``CHUNK_BYTES`` of text, from one batch or several."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in steps(batch, "text", CHUNK_BYTES):
+            own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + own > CHUNK_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """Stored chunks of (id, text, learn): documents with their numbers of words, distinct words with
     their training counts, and each word of the texts as a place among those."""
@@ -332,6 +358,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             T.StructField("n_words", T.ArrayType(T.LongType())),
             T.StructField("word", T.ArrayType(T.StringType())),
             T.StructField("n", T.ArrayType(T.LongType())),
+            T.StructField("distinct", T.LongType()),
             T.StructField("places", T.BinaryType()),
         ]
     )
@@ -346,8 +373,14 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if empty >= 0:
             real = codes != empty
             codes, doc = codes[real], doc[real]
+        # The chunk's frequent words come first, so most places are small.
+        many = np.bincount(codes, minlength=len(words.dictionary))
+        order = np.argsort(-many, kind="stable")[: int((many > 0).sum())]
+        rank = np.empty(len(many), np.int64)
+        rank[order] = np.arange(len(order))
+        codes, distinct = rank[codes], words.dictionary.take(pa.array(order))
         learn = rows.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        n = np.bincount(codes[learn[doc]], minlength=len(words.dictionary))
+        n = np.bincount(codes[learn[doc]], minlength=len(distinct))
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
             [
@@ -355,20 +388,20 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 one(rows.column("id")),
                 one(pa.array(learn)),
                 one(pa.array(np.bincount(doc, minlength=rows.num_rows))),
-                one(words.dictionary),
+                one(distinct),
                 one(pa.array(n)),
-                pa.array([codes.astype("<i4").tobytes()], pa.binary()),
+                pa.array([len(distinct)], pa.int64()),
+                pa.array([_packed(codes)], pa.binary()),
             ],
             names=schema.names,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in steps(batch, "text", CHUNK_BYTES):
-                yield chunk(part, number)
-                number += 1
-        batch = part = None
+        for part in _gathered(batches):
+            yield chunk(part, number)
+            number += 1
+        part = None
         release()
 
     return cut_lineage(docs.mapInArrow(run, schema), "chunks")
@@ -413,14 +446,14 @@ def read_corpus(docs: DataFrame, head: int = HEAD) -> Corpus:
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
         order = right.column("at").to_numpy()
-        size = len(left.column("word").combine_chunks().flatten())
+        size = left.column("distinct")[0].as_py()
         count, number = np.zeros(size + 1, np.int64), np.full(size + 1, tail, np.int64)
         count[order] = right.column("c").to_numpy()
         number[order] = pc.fill_null(right.column("code"), tail).to_numpy()
         count[size], number[size] = ends, END  # the end of a document, as the place after the last
-        places = np.frombuffer(left.column("places")[0].as_py(), "<i4")
+        places = _unpacked(left.column("places")[0].as_py())
         words_of = left.column("n_words").combine_chunks().flatten().to_numpy()
-        places = np.insert(places.astype(np.int64), np.cumsum(words_of), size)
+        places = np.insert(places, np.cumsum(words_of), size)
         lengths = words_of + 1
         starts = np.cumsum(lengths) - lengths
         c, own = count[places], number[places]
@@ -441,7 +474,7 @@ def read_corpus(docs: DataFrame, head: int = HEAD) -> Corpus:
             names=schema.names,
         )
 
-    coded = chunks.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(code, schema)
+    coded = chunks.drop("word", "n").groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(code, schema)
     return Corpus(cut_lineage(coded, "coded"), layout, int(total))
 
 
