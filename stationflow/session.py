@@ -12,6 +12,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,10 +76,34 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Scratch folders made inside each open ``scratch_scope``, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for staged tables."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/stationflow/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/stationflow/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through its own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders that are made inside go at its end: for jobs whose result is written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
