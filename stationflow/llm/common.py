@@ -37,6 +37,25 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Bits of a marker: 4 MB, whatever is marked.
+MARKER_BITS = 1 << 25
+
+
+def with_marks(rows: DataFrame, key: Column, marked: DataFrame, marked_key: Column, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: true for every row whose key is one of ``marked``, and for a few others.
+
+    The marker is a bitmap over hashes of fixed size, so it can be broadcast; what it lets
+    through has to be compared exactly."""
+    at = F.pmod(F.xxhash64(marked_key), F.lit(MARKER_BITS))
+    bits = marked.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    own = F.pmod(F.xxhash64(key), F.lit(MARKER_BITS))
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(own) == F.col("_bucket"), "left")
+    place = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mark = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
+    return found.withColumn(name, mark).drop("_bucket", "_bits")
+
+
 def steps(batch: pa.RecordBatch, column: str, size: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices of ``batch`` of at most ``size`` bytes of text (one row at least)."""
     yield from _cut(batch, pc.binary_length(batch.column(column)), size)

@@ -29,11 +29,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stationflow.llm.common import map_texts
+from stationflow.llm.common import map_texts, with_marks
 from stationflow.llm.components import connected_components
 from stationflow.session import cut_lineage
 
@@ -156,21 +157,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(of, file, place): every column of stored ``docs`` as a struct, and where each row lies.
+
+    A table that was read from Parquet says it itself; anything else is stored first, so
+    that a task that runs again meets the same places."""
+    of = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("of")
+    for table in (lambda: docs, lambda: cut_lineage(docs, "placed")):
+        try:
+            stored = table()
+            where = stored.metadataColumn("_metadata")
+            return stored.select(of, where["file_path"].alias("file"), where["row_index"].alias("place"))
+        except AnalysisException:  # not a scan of Parquet files
+            continue
+    raise ValueError("the rows have no places")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with exactly one row of each component: that of the smallest id.
 
-    Of rows that share that id, the first by their stored order stays; a NULL id
-    comes after all others.
+    Of rows that share that id, the first by its file and place stays; a NULL id comes after
+    all others. Texts stay where they are: the rows to go are found by their places, and only
+    rows that a bitmap of these lets through are joined with them. Every column stays as it is,
+    whatever its name; an empty table stays empty.
     """
-    # Numbered once and stored, so that a task that runs again meets the same numbers.
-    number = "_row"
-    while number.lower() in {c.lower() for c in docs.columns}:
-        number += "_"
-    stored = cut_lineage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    rows = stored.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(number).alias("row"))
+    stored = _placed(docs)
+    rows = stored.select(F.col("of")[id_col].alias("id"), F.col("of")[text_col].alias("text"), "file", "place")
     rows, named = _components(rows, "id", "text", WORDS)
     # Reduced per fingerprint first: a fingerprint that many documents share is no hot key.
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    best = rows.groupBy("fp").agg(first.alias("best")).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    kept = cut_lineage(best.select(F.col("best.row").alias(number)), "kept")
-    return stored.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "file", "place"))
+    of_fp = rows.groupBy("fp").agg(first.alias("best"), F.count(F.lit(1)).alias("n")).join(named.select("fp", "root"), "fp")
+    best = of_fp.groupBy("root").agg(F.min("best").alias("best"), F.sum("n").alias("n")).where("n > 1")
+    kept = cut_lineage(of_fp.select("fp", "root").join(best, "root").select("fp", "best.file", "best.place"), "kept")
+    several = rows.select("fp", "file", "place").join(kept.select("fp", F.col("file").alias("best_file"), F.col("place").alias("best_place")), "fp")
+    gone = cut_lineage(several.where("file <> best_file or place <> best_place").select("file", "place"), "gone")
+    key = F.struct("file", "place")
+    marked = with_marks(stored, key, gone, key, "maybe")
+    sure = marked.where("not maybe").select("of")
+    others = marked.where("maybe").join(gone, ["file", "place"], "left_anti").select("of")
+    return sure.unionByName(others).select("of.*")

@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from stationflow.llm import language_id, toxicity
 
 LETTERS = {"aa": "abcdeé", "bb": "mnopqü", "cc": "uvwxyz"}
@@ -113,20 +112,3 @@ def test_held_out_rows_are_judged_well(spark):
     assert langs.where("lang = lang_pred").count() >= 0.97 * langs.count()
     scores = QUERIES["op9_toxicity"](spark, TABLES).join(labels, "doc_id").where("held_out and toxic = 0")
     assert scores.where("predicted = 0").count() >= 0.97 * scores.count()
-
-
-def test_pipeline_stages(spark, odd, none):
-    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
-    extra = docs.limit(0).union(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "You idiot, moron, scum.", "en", "s", 23)], docs.schema))
-    now = docs.union(extra)
-    counts = []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, now, TABLES)
-        if name != "packing":
-            assert out.columns == docs.columns
-        now = out.cache()
-        counts.append(now.count())
-    assert counts[0] == docs.count() + 1 and counts[1] < counts[0] and counts[2] < counts[1] and counts[3] == counts[2]
-    assert corpus_pipeline.run(spark, TABLES).select("doc_id").distinct().count() >= counts[3]
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.limit(0), TABLES).count() == 0
