@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stationflow.llm import language_id, packing, secret_scan, simhash, toxicity
 from stationflow.llm.common import fold, table
 from stationflow.llm.queries import VOCABULARY
-from stationflow.session import scratch_path, ship_package
+from stationflow.session import delete_path, scratch_path, scratch_scope, ship_package
 
 #: Below this likeness to every known language a text is taken for none of them (by chance it is about 0.03).
 LEAST_LIKENESS = 0.05
@@ -63,16 +63,19 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned models and packing have no SQL. The stage test compares row counts; the operators' own tests cover what near
-#: duplicates keep and what is redacted, on small fixtures outside the pipeline. No test checks which documents the stages keep.
+#: Learned models and packing have no SQL; ``tests/llm/test_pipeline.py`` holds each stage's documents and texts against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another, over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages, one after another, over ``documents``. What a stage stored on its way goes when
+    its result is written, and that goes when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
