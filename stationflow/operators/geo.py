@@ -66,11 +66,12 @@ def _meet(points: DataFrame, probes: DataFrame, cell: list[str], shard_rows: int
     """``points`` joined with the ``probes`` of their cell; crowded cells in shards.
 
     Both sides carry the cell columns; ``points`` has ``a_id``. The result has the
-    columns of both. Only cells above ``shard_rows`` are kept in the table of counts.
+    columns of both. Only cells above ``shard_rows`` are kept in the table of counts, which both
+    sides read: it stays in the plan, so nothing runs before the result is asked for.
     """
     shard_rows = shard_rows or SHARD_ROWS
     sizes = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > shard_rows)
-    crowded = cut_lineage(sizes.select(*cell, F.ceil(F.col("_n") / F.lit(shard_rows)).cast("long").alias("_shards")), "crowded")
+    crowded = sizes.select(*cell, F.ceil(F.col("_n") / F.lit(shard_rows)).cast("long").alias("_shards"))
     one = F.coalesce("_shards", F.lit(1).cast("long"))
     left = points.join(crowded, cell, "left").withColumn("_shard", F.pmod(F.xxhash64("a_id"), one)).drop("_shards")
     right = probes.join(crowded, cell, "left").withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("_shards")
@@ -81,14 +82,15 @@ def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
     return df.select(F.col("_id").alias(f"{name}_id"), F.col("_lat").alias(f"{name}_lat"), F.col("_lon").alias(f"{name}_lon"), *more)
 
 
-def _bands(points: DataFrame, arc: float) -> tuple[DataFrame, DataFrame]:
+def _bands(points: DataFrame, arc: float, some: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(points, probes) by latitude band and longitude column for a search of ``arc`` radians.
 
     A band is as high as the arc. Two points within the arc whose latitudes
     stay below phi are apart by a longitude of 2 asin(sin(arc / 2) / cos(phi)) at
     most; a band's columns are at least that wide for itself and the bands
     beside it, so three columns hold all partners. Near the poles one column is
-    left. A probe goes to its own band and the one above.
+    left. A probe goes to its own band and the one above; if only ``some`` points are
+    probes, they go to the one below too.
     """
     height = math.degrees(arc) * _SLACK
     half = math.sin(arc / 2.0)
@@ -108,7 +110,9 @@ def _bands(points: DataFrame, arc: float) -> tuple[DataFrame, DataFrame]:
 
     placed = points.withColumn("_band", band(F.col("_lat")))
     placed = placed.withColumn("_cols", columns(F.col("_band"))).withColumn("_col", column(F.col("_lon"), F.col("_cols")))
-    probes = placed.select("_id", "_lat", "_lon", F.col("_band").alias("_home"), F.explode(F.array(F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    home = placed if some is None else some.withColumn("_band", band(F.col("_lat")))
+    bands = F.array(*[F.col("_band") + d for d in ((0, 1) if some is None else (-1, 0, 1))])
+    probes = home.select("_id", "_lat", "_lon", F.col("_band").alias("_home"), F.explode(bands).alias("_band"))
     n = columns(F.col("_band"))
     at = column(F.col("_lon"), n)
     near = F.array_distinct(F.array(*[F.pmod(at + d, n) for d in (-1, 0, 1)]))
@@ -148,6 +152,44 @@ def pairs_within(
     )
 
 
+def update_pairs(
+    pairs: DataFrame,
+    before: DataFrame,
+    after: DataFrame,
+    max_distance_m: float,
+    id_col: str = "STATION_ID",
+    lat_col: str = "LAT",
+    lon_col: str = "LON",
+    radius_m: float = C.EARTH_RADIUS_M,
+    shard_rows: int | None = None,
+) -> DataFrame:
+    """``pairs_within`` of ``after``, from that of ``before`` and what has changed.
+
+    Pairs of stations that are gone or moved go; stations that are new or moved are searched
+    against all. The work beside one comparison of both tables by id grows with the changed stations' neighbours.
+    A station has one row; ids and coordinates that are NULL are left out, as there.
+    """
+    if max_distance_m <= 0:
+        raise ValueError("max_distance_m must be positive")
+    old, new = (_points(df, id_col, lat_col, lon_col) for df in (before, after))
+    was = old.select("_id", F.struct("_lat", "_lon").alias("_was"))
+    at = new.select("_id", F.struct("_lat", "_lon").alias("_at"))
+    changed = cut_lineage(was.join(at, "_id", "full_outer").where(~F.col("_was").eqNullSafe(F.col("_at"))).select("_id", "_at"), "changed-stations")
+    ids = changed.select("_id")
+    kept = pairs
+    for end in ("SRC_STATION_ID", "TGT_STATION_ID"):
+        kept = kept.join(ids.withColumnRenamed("_id", end), end, "left_anti")
+    moved = changed.where(F.col("_at").isNotNull()).select("_id", "_at._lat", "_at._lon")
+    arc = min(max_distance_m / radius_m, math.pi)
+    near, probes = _bands(new, arc, moved)
+    dist = C.geo_distance_m("a_lon", "a_lat", "b_lon", "b_lat", radius_m)
+    found = _meet(near, probes, ["_band", "_col"], shard_rows).where(F.col("a_id") != F.col("b_id"))
+    found = found.select(F.least("a_id", "b_id").alias("SRC_STATION_ID"), F.greatest("a_id", "b_id").alias("TGT_STATION_ID"), dist.alias("DISTANCE"))
+    # Two changed stations meet from both ends.
+    found = found.where(F.col("DISTANCE") <= F.lit(float(max_distance_m))).groupBy("SRC_STATION_ID", "TGT_STATION_ID").agg(F.min("DISTANCE").alias("DISTANCE"))
+    return kept.select("SRC_STATION_ID", "TGT_STATION_ID", "DISTANCE").unionByName(found)
+
+
 def degree_pairs_within(
     stations: DataFrame,
     max_degrees: float,

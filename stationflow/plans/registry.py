@@ -24,6 +24,8 @@ from ..streaming import staging
 from ..streaming.latest import LatestTable, start_latest
 from ..streaming.state import StateStore, refresh_state, start_state_refresh
 from . import standins as S
+from .catalog import create_tables, replace_table
+from .sql_functions import register_functions
 from .views import register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,9 +489,35 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return geo.pairs_within(_master(spark, sf), PAIR_RADIUS_M)
 
 
+def _rounded_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("DISTANCE", F.round("DISTANCE", 3))
+
+
 @query("station_pairs", _PAIRS_SQL)
 def q_station_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).withColumn("DISTANCE", F.round("DISTANCE", 3))
+    return _rounded_pairs(_pairs(spark, sf))
+
+
+@query("pairs_upkeep", _PAIRS_SQL)
+def q_pairs_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """The pair table of an earlier master brought up to date: some stations are new, some have moved, some are gone."""
+    after = _master(spark, sf).select("STATION_ID", "LAT", "LON")
+    key = F.col("STATION_ID")
+    lat = F.when(key % 89 == 0, F.col("LAT") + F.lit(0.01)).otherwise(F.col("LAT")).cast("decimal(12,7)")
+    gone = after.where(key % 83 == 0).withColumn("STATION_ID", key + 10**9)
+    before = after.where(key % 97 != 0).withColumn("LAT", lat).unionByName(gone)
+    pairs = sinks.materialise(geo.pairs_within(before, PAIR_RADIUS_M), scratch_path(spark, "pairs-before"))
+    return _rounded_pairs(geo.update_pairs(pairs, before, after, PAIR_RADIUS_M))
+
+
+@query("sql_station_pairs", _PAIRS_SQL)
+def q_sql_station_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs by a table function of SQL text, with the radius as its parameter."""
+    prefix = f"q{uuid.uuid4().hex[:8]}_"
+    _master(spark, sf).createOrReplaceTempView(f"{prefix}stations")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {prefix}broken_docks AS SELECT 0L AS STATION_ID, '' AS STATION_NAME, 0L AS BROKEN_DOCKS WHERE false")
+    register_functions(spark, prefix)
+    return _rounded_pairs(spark.sql(f"SELECT SRC_STATION_ID, TGT_STATION_ID, DISTANCE FROM {prefix}station_pairs_within({PAIR_RADIUS_M}e0)"))
 
 
 @query("materialised_pairs", _PAIRS_SQL)
@@ -558,7 +586,9 @@ _PLAN_SQL = (
     _WITH.replace("WITH m AS", "WITH RECURSIVE m AS")
     + """
 , features AS (
-  SELECT s.*, CAST(CAPACITY AS DOUBLE) AS cap, coalesce(m2.POST_CODE, '') AS ZONE,
+  SELECT s.*, CAST(CAPACITY AS DOUBLE) AS cap, coalesce(m2.POST_CODE, '') || '/'
+           || coalesce(CAST(CAST(floor(s.LAT / __CELL__e0) AS BIGINT) AS VARCHAR), 'none') || '/'
+           || coalesce(CAST(CAST(floor(s.LON / __CELL__e0) AS BIGINT) AS VARCHAR), 'none') AS ZONE,
          round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED
   FROM state s LEFT JOIN (SELECT STATION_ID AS id2, POST_CODE FROM m) m2 ON s.STATION_ID = m2.id2),
 cand AS (SELECT * FROM features WHERE OCCUPATION_RATIO > 0e0 OR OCCUPATION_RATIO < 0.1e0),
@@ -604,6 +634,15 @@ applied AS (
 """
 )
 
+# A truck's route stays in one zone and one cell of so many degrees: a group is what one truck serves, however many zones there are.
+ROUTE_CELL_DEG = 0.05
+_PLAN_SQL = _PLAN_SQL.replace("__CELL__", str(ROUTE_CELL_DEG))
+
+
+def _routes(features: DataFrame) -> DataFrame:
+    return balance.plan_routes(features, "POST_CODE", start="max_surplus", cell_deg=ROUTE_CELL_DEG)
+
+
 _AFTER_SQL = "CASE WHEN cap <> 0 THEN CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / cap END"
 
 
@@ -616,14 +655,14 @@ def _planner_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(features, legs) from the largest surplus of each zone; the walk is stored once."""
+    """(features, legs) from the largest surplus of each group; the walk is stored once."""
     f = _planner_input(spark, sf)
-    return f, cut_lineage(balance.plan_routes(f, "POST_CODE", start="max_surplus"), "legs")
+    return f, cut_lineage(_routes(f), "legs")
 
 
 @query("plan_routes", _PLAN_SQL + "SELECT * FROM legs")
 def q_plan_routes(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.plan_routes(_planner_input(spark, sf), "POST_CODE", start="max_surplus")
+    return _routes(_planner_input(spark, sf))
 
 
 _APPLIED_OUT = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "INITIAL_RATIO", "RATIO", "NEED"]
@@ -974,6 +1013,28 @@ def q_envelope_rows(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_envelope(spark, path, multi_line=False).select(*_FEED_COLS)
 
 
+@query(
+    "variant_fields",
+    "SELECT CAST(event_id AS BIGINT) AS EVENT_ID, CAST(user_id AS BIGINT) AS STATION_ID, json_extract_string(props, '$.k') AS K_TEXT, "
+    "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS K_NUMBER, event_type AS KIND, json_extract_string(props, '$.missing') AS MISSING FROM events",
+)
+def q_variant_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed objects with a part that no schema names, staged whole as VARIANT and asked afterwards (B1, A5)."""
+    e = S.table(spark, sf, "events")
+    objects = e.select(
+        F.col("user_id").alias("station_id"),
+        F.struct(F.col("event_id").alias("seen"), F.struct(F.from_json("props", "k string").alias("props"), F.col("event_type").alias("kind")).alias("of")).alias("vendor"),
+    )
+    root = scratch_path(spark, "variant")
+    sinks.write_snapshot_json(objects, f"{root}/landing", "20240101_000000")
+    sinks.append_staging(readers.read_status_variant(spark, f"{root}/landing"), f"{root}/staging")
+    field = lambda path, kind="string": readers.variant_field("RAW", f"$.vendor.{path}", kind)
+    return readers.read_table(spark, f"{root}/staging").select(
+        field("seen", "long").alias("EVENT_ID"), "STATION_ID", field("of.props.k").alias("K_TEXT"), field("of.props.k", "long").alias("K_NUMBER"),
+        field("of.kind").alias("KIND"), field("of.props.missing").alias("MISSING"),
+    )
+
+
 @query("csv_roundtrip", _WITH + "," + _BROKEN_SQL + "SELECT * FROM broken")
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "brokendocks-csv")
@@ -1019,6 +1080,38 @@ def _type_sql(column: str, kind: str) -> str:
     return f"replace(lower(typeof(CAST({column} AS {kind}))), 'timestamp', 'timestamp_ntz')"
 
 
+@query(
+    "sql_dashboard",
+    _WITH
+    + "," + _BROKEN_SQL
+    + f"""
+SELECT s.STATION_ID, round({_ENTROPY_SQL}, 12) AS ENTROPY, {_COLOR_SQL} AS COLOR,
+       round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED, round_even(CAPACITY * 0.5e0 - NUM_BIKES_AVAILABLE, 0) AS NEED_AFTER, CAST(b.BROKEN_DOCKS AS DOUBLE) AS BROKEN_DOCKS
+FROM (SELECT *, OCCUPATION_RATIO AS r FROM state) s LEFT JOIN (SELECT STATION_ID, BROKEN_DOCKS FROM broken WHERE BROKEN_DOCKS > 3) b ON s.STATION_ID = b.STATION_ID
+""",
+)
+def q_sql_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    """The dashboard's questions as SQL text alone: scalar and table functions over the views."""
+    p = f"q{uuid.uuid4().hex[:8]}_"
+    register_views(spark, _master(spark, sf), _state(spark, sf), pair_radius_m=PAIR_RADIUS_M, prefix=p)
+    register_functions(spark, p)
+    return spark.sql(
+        f"SELECT s.STATION_ID, round({p}binary_entropy(OCCUPATION_RATIO), 12) AS ENTROPY, {p}occupancy_color(OCCUPATION_RATIO) AS COLOR, "
+        f"{p}bike_need(CAPACITY, NUM_BIKES_AVAILABLE) AS NEED, {p}bike_need(CAPACITY, NUM_BIKES_AVAILABLE, 0.5e0) AS NEED_AFTER, "
+        f"CAST(b.BROKEN_DOCKS AS DOUBLE) AS BROKEN_DOCKS "
+        f"FROM {p}current_state s LEFT JOIN {p}broken_docks_over(3) b ON s.STATION_ID = b.STATION_ID"
+    )
+
+
+@query("catalog_tables", _WITH + "," + _BROKEN_SQL + "SELECT * FROM broken")
+def q_catalog_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Master and state as declared, bucketed tables of a schema; broken docks from their join, which shuffles neither."""
+    schema = f"q{uuid.uuid4().hex[:8]}"
+    create_tables(spark, schema, scratch_path(spark, "catalog"), buckets=8)
+    master = replace_table(_master(spark, sf), f"{schema}.stations")
+    return present(docks.broken_docks(master, replace_table(_state(spark, sf), f"{schema}.current_state")))
+
+
 _TYPED_COLUMNS = {"OCCUPATION_RATIO": "DECIMAL(12,4)", "LAT": "DECIMAL(12,7)", "LON": "DECIMAL(12,7)", "LAST_REPORTED_TST": "TIMESTAMP"}
 
 

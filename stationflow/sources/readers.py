@@ -119,6 +119,35 @@ def read_master_json(
     return master_projection(_json(spark.read, MASTER_JSON, multi_line, _glob(path, pattern)), with_source_file)
 
 
+def read_status_variant(spark: SparkSession, path: str, pattern: str | None = STATUS_PATTERN, multi_line: bool = True) -> DataFrame:
+    """Status feed files without a schema for their objects (B1): the staging columns and
+    ``RAW``, the whole object as a VARIANT, so that fields which no schema names stay.
+
+    A file or line that isn't JSON gives no rows; neither does one in which a field stands twice.
+    """
+    texts = spark.read.text(_glob(path, pattern), wholetext=multi_line)
+    parsed = texts.select(F.col("_metadata.file_path").alias(FILE), F.try_parse_json("value").alias("_v")).where("_v is not null")
+    several = F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))
+    return variant_projection(parsed.select(FILE, F.explode(several).alias("RAW")))
+
+
+def variant_projection(raw: DataFrame) -> DataFrame:
+    """Rows with a VARIANT ``RAW`` -> the staging columns, read from it as text, and ``RAW``."""
+
+    def field(name: str, kind: StringType | StructType, at: str) -> Column:
+        if isinstance(kind, StructType):
+            return F.struct(*[field(f.name, f.dataType, f"{at}.{f.name}") for f in kind.fields]).alias(name)
+        return F.try_variant_get("RAW", at, "string").alias(name)
+
+    fields = raw.select("*", *[field(f.name, f.dataType, f"$.{f.name}") for f in STATUS_JSON.fields])
+    return fields.select(*_status_columns(), "RAW")
+
+
+def variant_field(raw: str, path: str, kind: str = "string") -> Column:
+    """A field of a VARIANT as ``kind``; NULL where it isn't there or is something else (B1)."""
+    return F.try_variant_get(raw, path, kind)
+
+
 def reject_counts(spark: SparkSession, path: str, pattern: str | None = STATUS_PATTERN, multi_line: bool = True, master: bool = False) -> DataFrame:
     """One row: ``ROWS``, ``CORRUPT`` (files or lines that aren't JSON) and, per typed
     column, the values that were there and that its type couldn't hold (B2)."""

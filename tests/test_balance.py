@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from stationflow.operators import balance
+from stationflow.operators.unvisited import Unvisited
 
 COLS = "STATION_ID long, STATION_NAME string, LAT double, LON double, CAPACITY long, NUM_BIKES_AVAILABLE long, " \
        "NUM_DOCKS_AVAILABLE long, OCCUPATION_RATIO double, TOTAL_CAPACITY long, RATIO double, ZONE string"
@@ -120,3 +121,44 @@ def test_single_route_without_zone(spark):
 def test_start_option_is_checked(spark):
     with pytest.raises(ValueError):
         balance.plan_routes(feats(spark, HAND), "ZONE", start="nearest")
+
+
+def plain_order(place, start):
+    """The walk by a scan of all stations left."""
+    stops, left = [start], [i for i in range(len(place)) if i != start]
+    while left:
+        away = np.sqrt(((place[left] - place[stops[-1]]) ** 2).sum(axis=1))
+        best = left[int(np.where(np.isnan(away), np.inf, away).argmin())]
+        stops.append(best)
+        left.remove(best)
+    return stops
+
+
+@pytest.mark.parametrize("n, grid", [(1, False), (2, True), (33, True), (500, False), (2000, True), (2000, False)])
+def test_the_tree_walks_as_the_scan(n, grid):
+    rng = np.random.default_rng(n + grid)
+    place = rng.random((n, 2))
+    if grid:
+        place = np.round(place * 12) / 12  # many equal places and equal distances
+    if n > 30:
+        place[rng.integers(0, n, 6)] = np.nan
+        place[rng.integers(0, n, 4), 0] = np.nan
+    for start in {0, n // 2, int(np.isnan(place).any(axis=1).argmax())}:
+        left = Unvisited(place)
+        left.take(start)
+        stops = [start]
+        for _ in range(n - 1):
+            stops.append(left.nearest(stops[-1]))
+            left.take(stops[-1])
+        assert stops == plain_order(place, start)
+
+
+def test_groups_stay_small_where_a_zone_is_large(spark):
+    # a third of all stations in one zone: the cells, not the zones, bound a task
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.random()), float(rng.random()), 20, int(rng.integers(0, 20)), 5, "A" if i % 3 == 0 else f"z{i % 40}") for i in range(3000)]
+    f = feats(spark, rows)
+    legs = balance.plan_routes(f, "ZONE", cell_deg=0.1)
+    sizes = legs.groupBy("ZONE").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 30 and legs.count() > 1000
+    assert legs.groupBy("FROM_ID").count().where("count > 1").isEmpty()
