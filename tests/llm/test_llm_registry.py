@@ -21,6 +21,9 @@ SCHEMAS = {
     "op7_topk": "query_id long, rank int, vec_id long, score long",
     "op8_simhash": "doc_id long, fingerprint string, component_id long",
     "op9_toxicity": "doc_id long, held_out boolean, score double, predicted int",
+    "op11_lm_scoring": "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    "op12_alignment": "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
+    "op13_code_compression": "vec_id long, code string, error long, label_error long, codebooks_sha256 string",
     "op10_packing": "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
 }
 
@@ -38,9 +41,9 @@ def test_schema(spark, key):
     assert want.items() <= {k: v.replace("bigint", "long") for k, v in found.items()}.items()
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in E.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_nothing_else_imports_the_subpackage():
