@@ -43,10 +43,17 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     return spark
 
 
+#: Bytes of a batch that a Python worker gets at once (Spark's own value is 64 MB, which JVM and worker both hold).
+BATCH_CONF, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, "67108864b"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application.
+    """Make this package importable in the Python workers, once per application, and bound the
+    batches that they get, unless the session has a bound of its own.
     The zip is only what the driver uploads: Spark serves it to the executors."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     if getattr(sc, "_stationflow_shipped", None) == sc.applicationId:
         return
     here = os.path.dirname(os.path.abspath(__file__))
