@@ -47,6 +47,21 @@ _AS_IS = (
     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
 
+_BSD = (
+    "Copyright (c) year holder\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+    "the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 #: Licence texts and notices (the texts their owners publish).
 LICENSES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -74,6 +89,24 @@ LICENSES = (
         "ISC License\n\nCopyright year holder\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
         "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _AS_IS,
     ),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    (
+        "BSD-3-Clause",
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission.\n\n" + _BSD_AS_IS,
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        'under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>",
+    ),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _AS_IS),
 )
 
@@ -147,17 +180,30 @@ def oracle_sql(table: str = "documents", licenses: tuple[tuple[str, str], ...] =
     for old, new in SPELLINGS:
         form = f"replace({form}, ' {old}', ' {new}')"
     form = f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
+    # The other engine's patterns can't look ahead, so "this and not that" is two patterns, for a sign and for the word.
+    blank, names = "^[^\\p{L}\\p{N}(]*", f"(?:{'|'.join(SENTENCE_WORDS)})"
+    sign, word = "^[^\\p{L}\\p{N}(©]*(?:©|\\(c\\))", f"{blank}copyright(?:s|ed)?"
+    owner = []
+    for start, more in ((sign, ""), (word, "(?:[\\p{N}©(]|[^\\p{L}\\p{N}©(]+[\\p{L}\\p{N}©(])")):
+        sentence = f"{start}[\\s,/\\-]+{names}"
+        said = f"regexp_matches(x, '{sentence}(?:[^\\p{{L}}\\p{{N}}]|$)') AND NOT regexp_matches(x, '{sentence}(?:\\s*[:©]|\\s+\\d)')"
+        owner.append(f"(regexp_matches(x, '{start}{more}') AND NOT ({said}))")
     lines = (
         "list_filter(list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), '\r\n|[\n\r]'), "
-        f"lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}(]*(copyright|©|\\(c\\))')), lambda x: {form}), lambda x: x <> '')"
+        f"lambda x: NOT ({' OR '.join(owner)})), lambda x: {form}), lambda x: x <> '')"
     )
+    whole = "' ' || coalesce(array_to_string(lines, ' '), '')"
+    for old, new in SPELLINGS:
+        if " " in old:
+            whole = f"replace({whole}, ' {old}', ' {new}')"
+    whole = f"sha256(trim({whole}))"
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses)
     return f"""
 WITH known_texts(license, text) AS (VALUES {values}),
-known AS (SELECT sha256(array_to_string(lines, ' ')) AS digest, min(license) AS license
+known AS (SELECT {whole} AS digest, min(license) AS license
   FROM (SELECT license, {lines} AS lines FROM known_texts) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS r, doc_id, {lines} AS lines FROM {table}),
-whole AS (SELECT d.r, d.doc_id, sha256(coalesce(array_to_string(d.lines, ' '), '')) AS digest FROM docs d),
+whole AS (SELECT d.r, d.doc_id, {whole} AS digest FROM docs d),
 found AS (SELECT l.r, k.license FROM (SELECT r, sha256(unnest(lines)) AS digest FROM docs) l JOIN known k USING (digest)),
 per AS (SELECT r, count(*) AS n FROM found GROUP BY r),
 named AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses FROM (

@@ -12,6 +12,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -134,6 +135,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     loss_col: str | None = None,
+    loss_share: float = 1.0,
     end_id: int = END_ID,
     max_tokens: int = MAX_TOKENS,
     max_segments: int = MAX_SEGMENTS,
@@ -144,7 +146,8 @@ def pack(
     ``sequence_id``, ``offset`` and ``loss_tokens``.
 
     ``loss_col`` names a column with the number of a document's last tokens that
-    bear loss (NULL or no column: all of them; it is held to 0 .. its tokens).
+    bear loss (held to 0 .. its tokens); where it is NULL or there is no such column, the last
+    ``loss_share`` of the tokens do (rounded up: an answer behind its question).
     ``max_loss`` is ``max_tokens`` unless given. Each token of each document, with
     ``end_id`` after a text's own, lies in exactly one piece; NULL and empty texts
     are documents of ``end_id`` alone. Repeated rows are packed each on its own,
@@ -178,7 +181,7 @@ def pack(
                 ends = np.cumsum(lengths).tolist()
                 loss = part.column(loss_col).to_pylist() if loss_col else [None] * len(ends)
                 for doc, end, n, own in zip(part.column(id_col).to_pylist(), ends, lengths.tolist(), loss, strict=True):
-                    packer.add(doc, ids[end - n : end], n if own is None else min(max(int(own), 0), n))
+                    packer.add(doc, ids[end - n : end], math.ceil(n * loss_share) if own is None else min(max(int(own), 0), n))
                 yield written()
         packer.finish()
         if packer.out:

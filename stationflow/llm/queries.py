@@ -25,6 +25,8 @@ from stationflow.llm.common import fold, held_out, table
 from stationflow.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Limits of a packed sequence beside its 4,096 tokens: the last third of a document bears loss, at most 2,048 such tokens, 16 segments.
+PACKING = {"loss_share": 1 / 3, "max_loss": 2_048, "max_segments": 16}
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -76,7 +78,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, **PACKING)
 
 
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,13 +34,10 @@ LEAST_ERRORS = 3.0
 #: Weight of the penalty on changes of score, and of that on weights.
 COUNTERFACTUAL, RIDGE = 1.0, 1e-5
 ROUNDS = 300
-#: Swaps of a sentence's terms that the penalty sees, and sentences of a text.
-SWAPS, SENTENCES = 2, 64
-
 #: Distinct chunks whose features a task keeps: they are quickly found anew.
 CHUNKS = 100_000
 
-#: Terms that name groups, by kind.
+#: Terms that name groups, by kind, in English, German, French and Spanish.
 TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy", "female", "male"),
@@ -49,6 +47,24 @@ TERMS = (
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "locals"),
     ("old", "young", "disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("alte", "junge", "behinderte", "gehörlose", "blinde"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("lesbiennes", "homosexuels", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "habitants"),
+    ("vieux", "jeunes", "handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("lesbianas", "homosexuales", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "vecinos"),
+    ("viejos", "jóvenes", "discapacitados", "sordos", "ciegos"),
 )
 
 WORD = re.compile(r"[^\W_]+")
@@ -72,21 +88,27 @@ class Swapper:
     """Counterfactual sentences: what a swap takes from a text's words and puts in."""
 
     def __init__(self, terms: tuple[tuple[str, ...], ...] = TERMS):
-        self.kind = {t: kind for kind in terms for t in kind}
+        self.kind = {t: kind for kind in reversed(terms) for t in kind}  # of two kinds the first
         self.any = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, self.kind), key=len, reverse=True)) + r")(?![^\W_])")
 
     def changes(self, text: str) -> list[list[int]]:
-        """Lists of features, those that go negated (-1 - feature), one list per swapped sentence."""
-        low, out = text.lower(), []
+        """The text's distinct changes: how many sentences have it, then its features, those that go
+        negated (-1 - feature).
+
+        A sentence's terms are swapped together, each for the next, second next ... term of its
+        kind, until every other term has stood in its place.
+        """
+        low = text.lower()
         if not self.any.search(low):
-            return out
-        for sentence in SENTENCE.split(low):
-            held = sorted(set(self.any.findall(sentence)))
-            if held and len(out) < SENTENCES * SWAPS:
-                for shift in range(1, SWAPS + 1):
-                    new = [self.kind[t][(self.kind[t].index(t) + shift) % len(self.kind[t])] for t in held]
-                    out.append([-1 - feature(t) for t in held] + [feature(t) for t in new])
-        return out
+            return []
+        held = Counter(tuple(sorted(set(self.any.findall(sentence)))) for sentence in SENTENCE.split(low))
+        out: Counter[tuple[int, ...]] = Counter()
+        for terms, n in held.items():
+            for shift in range(1, max((len(self.kind[t]) for t in terms), default=0)):
+                new = {t: self.kind[t][(self.kind[t].index(t) + shift) % len(self.kind[t])] for t in terms}
+                pairs = [(t, x) for t, x in new.items() if t != x]
+                out[tuple([-1 - feature(t) for t, _ in pairs] + [feature(x) for _, x in pairs])] += n
+        return [[n, *c] for c, n in sorted(out.items())]
 
 
 @dataclass
@@ -149,7 +171,8 @@ def fit(rows: DataFrame, counterfactual: float = COUNTERFACTUAL, ridge: float =
     n = len(y)
     flat = np.concatenate([t[1] for t in texts])
     owner = np.repeat(np.arange(n), [len(t[1]) for t in texts])
-    changes = [c for t in texts for c in t[2]]
+    times = np.array([c[0] for t in texts for c in t[2]], float)
+    changes = [c[1:] for t in texts for c in t[2]]
     moved = np.array([f for c in changes for f in c], np.int64)
     sentence = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
     sign = np.where(moved < 0, -1.0, 1.0)
@@ -179,8 +202,8 @@ def fit(rows: DataFrame, counterfactual: float = COUNTERFACTUAL, ridge: float =
         error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - y) * share
         gradient = np.bincount(flat, error[owner], size) / n + ridge * weights
         if len(changes):
-            change = np.bincount(sentence, sign * weights[moved], len(changes))
-            gradient += 2 * counterfactual * np.bincount(moved, sign * change[sentence], size) / len(changes)
+            change = np.bincount(sentence, sign * weights[moved], len(changes)) * times
+            gradient += 2 * counterfactual * np.bincount(moved, sign * change[sentence], size) / times.sum()
         whole = np.append(gradient, error.mean())
         first, second = 0.9 * first + 0.1 * whole, 0.999 * second + 0.001 * whole**2
         step = 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-9)

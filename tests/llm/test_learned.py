@@ -103,6 +103,53 @@ def test_odd_texts_have_scores(spark, odd, none):
     assert toxicity.training_rows(docs, labels, max_train=10).count() <= 10
 
 
+def test_every_swap_of_every_sentence_is_seen_with_its_count():
+    swapper = toxicity.Swapper()
+    low = lambda pairs: sorted(tuple(x) for x in pairs)
+    number = toxicity.feature
+    text = ". ".join(["The women came"] * 150 + [f"some men {i}" for i in range(50)]) + ". Women and men."
+    women, men = [[-1 - number("women"), number(x)] for x in ("men", "girls", "boys")], [[-1 - number("men"), number(x)] for x in ("girls", "boys", "women")]
+    found = swapper.changes(text)
+    assert low(c for c in found if len(c) == 3) == low([[150, *c] for c in women] + [[50, *c] for c in men])
+    assert sum(c[0] for c in found if len(c) == 5) == 3  # both terms of the last sentence
+    for term, kind in (("Frauen", 4), ("Muslime", 5), ("femmes", 4), ("judíos", 6)):
+        assert len(swapper.changes(f"die {term} x")) == kind - 1
+    assert swapper.changes("womenfolk") == [] == swapper.changes("")
+
+
+def test_scores_and_loss_by_a_plain_model(spark):
+    docs, labels = labelled(spark, biased(240))
+    rows = toxicity.training_rows(docs, labels).collect()
+    model = toxicity.fit(spark.createDataFrame(rows))
+    weight = dict(zip(model.words.tolist(), model.weights.astype(float).tolist(), strict=True))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    texts = [r["text"] for r in docs.collect()] + ["", None, "vile VILE road. vile", "unknown words only"]
+    scored = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    for r in scored:
+        z = model.bias + sum(weight.get(toxicity.feature(w), 0.0) for w in set(toxicity.words_of(r["text"] or "")))
+        assert abs(r["score"] - sigmoid(z)) < 1e-6 and r["predicted"] == (r["score"] >= 0.5)
+
+    distinct = {tuple(r["features"]): r for r in rows}.values()
+    n, toxic = len(distinct), sum(r["label"] for r in distinct)
+    share = np.sqrt(max(1.0, (n - toxic) / toxic))
+    mean = (toxic * share + n - toxic) / n
+
+    def loss(weight, bias):
+        total, changes, times = 0.0, 0.0, 0
+        for r in distinct:
+            p = sigmoid(bias + sum(weight.get(f, 0.0) for f in r["features"]))
+            total -= (np.log(p) * share if r["label"] else np.log(1 - p)) / mean / n
+            for c in r["changes"]:
+                moved = sum(-weight[-1 - f] if f < 0 else weight[f] for f in c[1:])
+                changes, times = changes + c[0] * moved**2, times + c[0]
+        return total + toxicity.COUNTERFACTUAL * changes / times + toxicity.RIDGE / 2 * sum(w * w for w in weight.values())
+
+    best, rnd = loss(weight, model.bias), random.Random(1)
+    for _ in range(40):
+        other = {k: w + rnd.gauss(0, 0.3) for k, w in weight.items()}
+        assert loss(other, model.bias + rnd.gauss(0, 0.1)) > best
+
+
 def test_held_out_rows_are_judged_well(spark):
     from stationflow.llm.queries import QUERIES
 
@@ -112,3 +159,6 @@ def test_held_out_rows_are_judged_well(spark):
     assert langs.where("lang = lang_pred").count() >= 0.97 * langs.count()
     scores = QUERIES["op9_toxicity"](spark, TABLES).join(labels, "doc_id").where("held_out and toxic = 0")
     assert scores.where("predicted = 0").count() >= 0.97 * scores.count()
+    larger = TABLES.replace("0.01", "0.1")  # enough toxic texts to be told from chance
+    toxic = QUERIES["op9_toxicity"](spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out and toxic = 1")
+    assert toxic.count() > 40 and toxic.where("predicted = 1").count() >= 0.85 * toxic.count()

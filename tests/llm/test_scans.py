@@ -119,7 +119,7 @@ def test_licences(spark, odd, none, tmp_dir):
     assert license_scan.scan(none).count() == 0
 
 
-def test_licences_wrapped_before_any_word(spark):
+def test_licences_wrapped_before_any_word(spark, tmp_dir):
     whole = [(n, t) for n, t in license_scan.LICENSES if len(t) > 200]
     rows = []
     for name, text in whole:
@@ -136,3 +136,10 @@ def test_licences_wrapped_before_any_word(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["whole_license"] for r in license_scan.scan(docs).collect()}
     assert [(i, got[i]) for i in range(len(rows)) if got[i] != rows[i][0]] == []
+    # The SQL says the same of each of them, of owners' lines and of licence words at a line's start.
+    more = [f"{a}{b} {c}\n{d}" for a in ("", "© ", "# (c)", "©©", "copyright ", "(", "* ") for b in ("copyright", "Copyrights", "copyrighter", "copyright,", "copyright:", "c")
+            for c in ("", "notice", "notice: x", "Notice 2020", "notices2", "2020 x", "of x", "©", "/law") for d in ("per\ncent", "copyright\nholder here")]
+    every = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in rows] + more)], "doc_id long, text string")
+    every.toPandas().to_parquet(f"{tmp_dir}/w.parquet")
+    want = duckdb.sql(license_scan.oracle_sql(f"'{tmp_dir}/w.parquet'")).limit(10**6).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in license_scan.scan(every).collect())

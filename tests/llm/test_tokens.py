@@ -137,3 +137,17 @@ def test_packing_counts_loss_from_the_end(spark):
 
 def test_packing_nothing(none):
     assert packing.pack(none, PATH).count() == 0
+
+
+def test_the_query_packs_under_three_limits(spark):
+    from pyspark.sql import functions as F
+
+    from stationflow.llm.queries import PACKING, QUERIES
+
+    pieces = QUERIES["op10_packing"](spark, "/root/testdata/sf0.01")
+    of = pieces.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss")).collect()
+    assert max(r["tokens"] for r in of) == 4096 and all(r["tokens"] == 4096 or r["tokens"].bit_count() == 1 for r in of)
+    # the other two limits hold, and each of them binds somewhere
+    assert max(r["segments"] for r in of) == PACKING["max_segments"] and max(r["loss"] for r in of) == PACKING["max_loss"]
+    by_doc = pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"), F.sum("loss_tokens").alias("loss")).collect()
+    assert all(r["n"] == r["doc_tokens"] and r["loss"] == -(-r["doc_tokens"] // 3) for r in by_doc)
