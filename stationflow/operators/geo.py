@@ -21,6 +21,7 @@ every shard, so no task holds a whole dense cell.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,6 +238,46 @@ NN_CELL_TARGET = 32
 NN_MAX_LEVEL = 32
 
 
+def _start_levels(placed: Callable[[DataFrame, Column], DataFrame], reps: DataFrame, queries: DataFrame, n: int, target: int) -> DataFrame:
+    """``queries`` with the level ``_L`` at which each starts: the coarsest one whose cell
+    holds at most ``target`` of the ``n`` representatives.
+
+    Representatives are counted once, in the cells of one level about as fine as it takes if they
+    lie evenly. Counts of coarser cells are sums of those (a cell's number there is its
+    number shifted), so it is cells and not stations that meet every level. Where a
+    cell of that level is crowded still, its representatives alone go on to finer ones.
+    """
+    found, top = [], 0
+    at = lambda x, level: F.expr(f"cast(shiftright({x}, _B - {level}) as bigint)")
+    while True:
+        depth = 1 + max(0, math.ceil(math.log(max(n, 1) / target, 4)))
+        bottom = min(NN_MAX_LEVEL, top + depth)
+        own = lambda df: placed(df, F.array(F.lit(bottom))).withColumnRenamed("_L", "_B")
+        cells = cut_lineage(own(reps).groupBy("_B", "_cy", "_cx").agg(F.count(F.lit(1)).alias("_n")), "nn-cells")
+        levels = cells.withColumn("_L", F.explode(F.sequence(F.lit(top), F.lit(bottom))))
+        levels = levels.select("*", at("_cy", "_L").alias("_py"), at("_cx", "_L").alias("_px"))
+        crowded = levels.groupBy("_L", "_py", "_px").agg(F.sum("_n").alias("_all")).where(F.col("_all") > target)
+        # The coarsest sparse level is the one below the finest crowded cell that holds the station.
+        deepest = levels.join(crowded, ["_L", "_py", "_px"]).groupBy("_cy", "_cx").agg(F.max("_L").alias("_dense"), F.first("_n").alias("_n"))
+        deepest = cut_lineage(deepest, "nn-dense")
+        started = own(queries).join(deepest, ["_cy", "_cx"], "left")
+        more = F.col("_dense").eqNullSafe(F.lit(bottom)) & F.lit(bottom < NN_MAX_LEVEL)
+        level = F.least(F.coalesce(F.col("_dense") + 1, F.lit(top)), F.lit(NN_MAX_LEVEL))
+        found.append(started.where(~more).select("_id", "_lat", "_lon", level.alias("_L")))
+        full = deepest.where(F.col("_dense") == bottom)
+        n = full.agg(F.max("_n")).first()[0] if bottom < NN_MAX_LEVEL else None
+        if n is None:
+            break
+        crowds = full.select("_cy", "_cx")
+        reps = cut_lineage(own(reps).join(crowds, ["_cy", "_cx"], "left_semi").select("_id", "_lat", "_lon"), "nn-crowds")
+        queries = own(queries).join(crowds, ["_cy", "_cx"], "left_semi").select("_id", "_lat", "_lon")
+        top = bottom + 1
+    out = found[0]
+    for more_rows in found[1:]:
+        out = out.unionByName(more_rows)
+    return out
+
+
 def nearest_station(
     stations: DataFrame,
     id_col: str = "STATION_ID",
@@ -298,32 +339,25 @@ def nearest_station(
 
     def cell(axis: str, origin: float, level: Column) -> Column:
         step = F.lit(base) / F.pow(F.lit(2.0), level)
-        return F.floor((F.col(axis) - F.lit(origin)) / step)
+        return F.floor((F.col(axis) - F.lit(origin)) / step)  # steps are halved exactly: a coarser number is a shift of a finer one
 
     def placed(df: DataFrame, level: Column | str) -> DataFrame:
         at = df.select("_id", "_lat", "_lon", (F.explode(level) if isinstance(level, Column) else F.col(level)).alias("_L"))
         return at.select("_id", "_lat", "_lon", "_L", cell("_lat", y0, F.col("_L")).alias("_cy"), cell("_lon", x0, F.col("_L")).alias("_cx"))
 
-    # Counts of every cell: reduced where they are read, so a coarse cell is no hot key. A cell
-    # is sparse if its count is; whether a query's own cell is follows from the counts alone.
+    pending = cut_lineage(_start_levels(placed, reps, queries, n, cell_target), "nn-pending")
     key = ["_L", "_cy", "_cx"]
-    every = placed(reps, F.sequence(F.lit(0), F.lit(NN_MAX_LEVEL)))
-    counts = every.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    dense = cut_lineage(counts.where(F.col("_n") > cell_target).select(*key, "_n"), "nn-dense")
-    # The coarsest sparse level is the one below the finest dense cell that holds the station.
-    deepest = placed(queries, F.sequence(F.lit(0), F.lit(NN_MAX_LEVEL))).join(dense, key).groupBy("_id").agg(F.max("_L").alias("_dense"))
-    start = F.least(F.coalesce(F.col("_dense") + 1, F.lit(0)), F.lit(NN_MAX_LEVEL))
-    pending = cut_lineage(queries.join(deepest, "_id", "left").select("_id", "_lat", "_lon", start.alias("_L")), "nn-pending")
     answers = [dup_answers]
     d = C.degree_distance("b_lat", "b_lon", "a_lat", "a_lon")
     # Every round lowers the level of the stations it leaves unresolved, and level
     # 0 resolves all, so the loop ends within NN_MAX_LEVEL + 1 rounds.
     for _ in range(NN_MAX_LEVEL + 1):
-        probes = _shifted(placed(pending, "_L"), _ALL_NEIGHBOURS).drop("_cy", "_cx").withColumnsRenamed({"_ny": "_cy", "_nx": "_cx"})
         # Candidates at the levels still searched only (33 at most), and there in searched cells only.
-        levels = sorted(r["_L"] for r in pending.select("_L").distinct().collect())
-        wanted = cut_lineage(probes.select(*key).distinct(), "nn-wanted")
-        near = placed(reps, F.array(*map(F.lit, levels))).join(wanted, key, "left_semi")
+        levels = sorted(r["_L"] for r in pending.groupBy("_L").count().collect())
+        if not levels:
+            break
+        probes = _shifted(placed(pending, "_L"), _ALL_NEIGHBOURS).drop("_cy", "_cx").withColumnsRenamed({"_ny": "_cy", "_nx": "_cx"})
+        near = placed(reps, F.array(*map(F.lit, levels))).join(probes.select(*key).distinct(), key, "left_semi")
         met = _meet(_side(near, "a", *key), _side(probes, "b", *key), key).where("a_id <> b_id")
         best = met.groupBy("b_id").agg(F.min(F.struct(d.alias("d"), F.col("a_id").alias("c"))).alias("b"))
         step = F.lit(base) / F.pow(F.lit(2.0), F.col("_L"))
@@ -334,8 +368,6 @@ def nearest_station(
             scored.where("ok").select(F.col("_id").alias(id_col), F.col("b.c").alias("NEAREST_ID"), F.col("b.d").alias("DISTANCE"))
         )
         pending = scored.where("not ok").select("_id", "_lat", "_lon", (F.col("_L") - 1).alias("_L"))
-        if pending.isEmpty():
-            break
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)
