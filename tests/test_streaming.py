@@ -1,6 +1,7 @@
 """Incremental state: stream equals batch, restart, replay, late data."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,17 +182,58 @@ def test_late_data_orders(spark, tmp_dir):
     assert arrival.read(version=0).count() == 3 and arrival.read().count() == 4
 
 
+def _files(folder):
+    return sorted(f for _, _, names in os.walk(folder) for f in names if f.endswith(".json"))
+
+
 def test_clean_source_archive(spark, tmp_dir):
-    land = os.path.join(tmp_dir, "landing")
-    archive = os.path.join(tmp_dir, "archive")
-    write_array(land, "stations_0.json", [poll(1, 5, 10, T0)], mtime=1_700_000_000)
-    write_array(land, "stations_1.json", [poll(1, 6, 9, T0 + 60)], mtime=1_700_000_001)
+    land, archive, name = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "archive"), "spark.sql.streaming.fileSource.cleaner.numThreads"
+    m = _master(spark, tmp_dir)
+    run = lambda: _run(spark, land, m, os.path.join(tmp_dir, "run"), clean_source="archive", archive_dir=archive)
+    spark.conf.set(name, "0")  # files move before the next batch begins
+    try:
+        for i in range(3):
+            write_array(land, f"stations_{i}.json", [poll(1, 5 + i, 10, T0 + 60 * i)], mtime=1_700_000_000 + i)
+        store = run()
+        # A batch's files are archived once the next one has been planned: all but the last one's.
+        assert _files(archive) == ["stations_0.json", "stations_1.json"] and _files(land) == ["stations_2.json"]
+        write_array(land, "stations_3.json", [poll(1, 9, 9, T0 + 600)], mtime=1_700_000_010)
+        write_array(land, "other.json", [poll(1, 9, 9, T0 + 600)])  # not the stream's
+        store = run()
+        assert _files(archive) == ["stations_0.json", "stations_1.json", "stations_2.json"] and _files(land) == ["other.json", "stations_3.json"]
+        assert [r.NUM_BIKES_AVAILABLE for r in store.read().collect()] == [9]
+        # Nothing is lost on the way: archive and landing zone hold every poll once.
+        kept = [readers.read_status_json(spark, p).count() for p in (os.path.join(archive, land.lstrip("/")), land)]
+        assert kept == [3, 1]
+    finally:
+        spark.conf.unset(name)
+
+
+def test_a_timer_runs_when_there_are_files_and_only_then(spark, tmp_dir):
+    land, root = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "run")
+    os.makedirs(land)
     m = _master(spark, tmp_dir)
-    store = _run(spark, land, m, os.path.join(tmp_dir, "run"), clean_source="archive", archive_dir=archive)
-    assert store.read().count() == 1
-    # consumed files are moved out of the landing folder (all but possibly the newest batch's)
-    archived = [f for _, _, fs in os.walk(archive) for f in fs if f.endswith(".json")]
-    assert len(archived) >= 1
+    q = start_state_refresh(readers.stream_status_json(spark, land), m, f"{root}/state", f"{root}/ckpt", processing_time="500 milliseconds")
+    store = StateStore(spark, f"{root}/state")
+
+    def wait(version):
+        until = time.time() + 60
+        while store.latest_version() != version and time.time() < until:
+            time.sleep(0.2)
+        return store.latest_version()
+
+    try:
+        time.sleep(2)
+        assert store.latest_version() is None  # C8: no files, no refresh
+        for i in range(2):
+            write_array(tmp_dir, f"made_{i}.json", [poll(1, 5 + i, 10, T0 + i)])
+            os.rename(os.path.join(tmp_dir, f"made_{i}.json"), os.path.join(land, f"stations_{i}.json"))
+            assert wait(i) == i
+            time.sleep(2)
+            assert store.latest_version() == i
+    finally:
+        q.stop()
+    assert [r.NUM_BIKES_AVAILABLE for r in store.read().collect()] == [6]
 
 
 def test_same_report_time_later_file_wins(spark, tmp_dir):
