@@ -805,6 +805,10 @@ def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     return present(StateStore(spark, f"{root}/state").read().select(*STATE_OUT))
 
 
+_FEED_COLS = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS"]
+_FEED_SQL = f"WITH st AS ({S.STATUS_SQL}) SELECT " + ", ".join(_FEED_COLS) + " FROM st"
+
+
 # The landed snapshots of a stream: event types in two parts, every poll of them. Each seventh poll has
 # no id. A feed object doesn't say when it arrived, so polls of one report time are told apart by their values.
 _FEED_STATE = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS", "STATION_NAME", "CAPACITY"]
@@ -898,6 +902,29 @@ def q_stream_two_hops(spark: SparkSession, sf: str) -> DataFrame:
     return _feed_state(spark, root)
 
 
+@query("landing_expired", _FEED_SQL)
+def q_landing_expired(spark: SparkSession, sf: str) -> DataFrame:
+    """A landing folder whose consumed files the stream archives: archive and folder hold every poll once."""
+    root = scratch_path(spark, "expiry")
+    _, first, second = _two_batches(spark, sf)
+    cleaner = "spark.sql.streaming.fileSource.cleaner.numThreads"
+    before = spark.conf.get(cleaner, None)
+    spark.conf.set(cleaner, "0")  # files move between batches, not beside what reads them here
+    try:
+        for i, part in enumerate((first, second)):
+            _land(part, root, i)
+            source = readers.stream_status_json(spark, f"{root}/landing", "stations*", max_files_per_trigger=8, clean_source="archive", archive_dir=f"{root}/archive", with_source_file=False)
+            _refreshed(spark, sf, source, root)
+    finally:
+        if before is None:
+            spark.conf.unset(cleaner)
+        else:
+            spark.conf.set(cleaner, before)
+    archived = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/landing").toUri().getPath()
+    both = [readers.read_status_json(spark, path) for path in (f"{root}/archive{archived}", f"{root}/landing")]
+    return both[0].unionByName(both[1]).select(*_FEED_COLS)
+
+
 @query(
     "feed_metrics",
     f"WITH st AS ({S.STATUS_SQL}) SELECT count(*) AS PROCESSED, count(*) FILTER (STATION_ID IS NULL OR EVENT_ID % 7 = 0) AS REJECTED, "
@@ -958,10 +985,6 @@ def q_rejected_ids(spark: SparkSession, sf: str) -> DataFrame:
 # Sources and sinks round trips
 # ---------------------------------------------------------------------------------------
 
-_FEED_COLS = ["STATION_ID", "NUM_BIKES_AVAILABLE", "NUM_DOCKS_AVAILABLE", "LAST_REPORTED", "STATUS"]
-_FEED_SQL = f"WITH st AS ({S.STATUS_SQL}) SELECT " + ", ".join(_FEED_COLS) + " FROM st"
-
-
 @query("json_roundtrip", _FEED_SQL)
 def q_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Status -> two feed snapshots (A7) -> feed reader (A1) -> staging append (A5) -> scan (A10)."""
