@@ -55,6 +55,35 @@ def test_languages(spark, profiles, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
 
 
+def test_predictions_by_a_plain_cosine(spark):
+    """Profiles, cosines and the choice between languages, letter by letter."""
+    signs = lambda c: np.random.default_rng([language_id.SEED, ord(c)]).integers(0, 2, language_id.DIMENSIONS) * 2 - 1
+
+    def bundle(t):
+        plain = " " + " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()) + " "
+        grams = [plain[i : i + 3] for i in range(len(plain) - 2) if plain[i + 1] != " "]
+        return sum((np.roll(signs(a), 2) * np.roll(signs(b), 1) * signs(c) for a, b, c in grams), np.zeros(language_id.DIMENSIONS))
+
+    taught = [(text(lang, 30 + i, 6), lang) for i, lang in enumerate(["bb", "aa", "cc"] * 4)] + [("Same words", "yy"), ("same  WORDS!", "xx"), ("...", "zz"), (None, "aa"), ("abc", None)]
+    profiles = {}
+    for t, lang in taught:
+        if lang is not None and bundle(t).any():
+            profiles[lang] = profiles.get(lang, 0) + bundle(t)
+    learned = language_id.learn(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(taught)], "doc_id long, text string, lang string").repartition(3))
+    assert list(learned) == sorted(profiles) and all((learned[k] == profiles[k]).all() for k in profiles)
+    texts = [text(lang, 90 + i, n) for i, (lang, n) in enumerate([("aa", 1), ("bb", 3), ("cc", 40)] * 3)] + ["same words", "a", "É1x", " ", None, "12"]
+    found = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), learned).orderBy("doc_id").collect()
+    for t, r in zip(texts, found, strict=True):
+        own = bundle(t)
+        if not any(c.isalpha() for c in t or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosine = {k: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for k, v in sorted(profiles.items())}
+        best = max(cosine, key=lambda k: round(cosine[k], 5))  # of equal ones the first by name
+        assert r["lang_pred"] == best and abs(r["score"] - max(0, cosine[best])) < 1e-5
+    assert found[9]["lang_pred"] == "xx"
+
+
 def labelled(spark, rows):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     return docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
