@@ -7,7 +7,9 @@ tasks at most. All but the last return the columns of documents.
 
 A table without rows passes through. Extra columns stay as they are, whatever
 their names, up to the last stage, which returns pieces. Repeated rows are one
-document to the stage of near duplicates.
+document to the stage of near duplicates. NULL and empty texts have no language and go with
+the first stage; were they to reach the others, toxicity and secrets would leave them as they are.
+Very long texts are read whole in every stage.
 """
 
 from __future__ import annotations
