@@ -227,7 +227,8 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", digests_on
     special tokens, ``decoded`` what it decodes them to, special tokens included.
     NULL and empty texts have no ids and decode to the empty text. Rows are
     independent, so ties and repeated rows just repeat. Columns of these names
-    are replaced; others stay.
+    are replaced; others stay. A very long text is encoded whole, its digests piece by
+    piece; an empty table gives no rows.
     """
     numbers = 1 << 17
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

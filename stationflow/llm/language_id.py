@@ -171,7 +171,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
 
     NULL texts and texts without a letter (or no profiles at all) are ``und`` with
     score 0. Of equal cosines the first language by name wins. Columns of these
-    names are replaced; others stay, and so do repeated rows.
+    names are replaced; others stay, and so do repeated rows. A very long text is a step of its
+    own, read whole (about 60 bytes of memory a letter); an empty table gives no rows.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     identifier = _identifier(profiles, seed)

@@ -150,7 +150,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     NULL and empty texts, and texts of copyright lines alone, have the digest of the
     empty text and no licence. A line that occurs several times counts each
     time. Repeated rows stay; ids may be NULL; an empty table gives no rows; other
-    columns are left out.
+    columns are left out. A very long text is read whole, a row for each of its lines.
     """
     known = registry(docs.sparkSession, licenses)
     names = sorted({name for name, _ in licenses})

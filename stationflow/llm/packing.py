@@ -151,7 +151,8 @@ def pack(
     ``max_loss`` is ``max_tokens`` unless given. Each token of each document, with
     ``end_id`` after a text's own, lies in exactly one piece; NULL and empty texts
     are documents of ``end_id`` alone. Repeated rows are packed each on its own,
-    an empty table gives no rows, other columns are left out. A sequence belongs
+    an empty table gives no rows, other columns are left out. A very long text is cut
+    into as many pieces as it takes. A sequence belongs
     to one task's rows, so ids are unique and tasks pack side by side.
     """
     cols = [id_col, text_col] + ([loss_col] if loss_col else [])

@@ -205,7 +205,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     Spans are written kind:start:end in code points (end exclusive), comma-joined.
     NULL and empty texts have none (the digest of the empty text); ids aren't
     used but to be returned, and may be NULL. Repeated rows stay; an empty table
-    gives no rows; other columns are left out.
+    gives no rows; other columns are left out. A very long text is matched whole, in time linear
+    in its matches.
     """
     found = with_spans(docs, id_col, text_col, rules, [id_col])
     base = [i for i, r in enumerate(rules) if r.kind in BASE_KINDS]

@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differing bits) reaches. NULL, empty and blank texts have fingerprint zero
     and link like any other. NULL ids are never the smallest; a component
     of NULL ids alone has a NULL id. Repeated rows stay, one row each; an empty
-    table gives none; other columns are left out.
+    table gives none; other columns are left out. A very long text is read whole, its hashes
+    are counted 100,000 at a time.
     """
     rows, named = _components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, words)
     found = rows.join(named, "fp")  # two stored tables: Spark splits a fingerprint that many documents share

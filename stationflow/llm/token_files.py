@@ -51,7 +51,8 @@ def write_token_files(
 
     NULL and empty texts are documents of ``end_id`` alone. NULL ids come first;
     rows of one id stand one after another in the order in which they are read.
-    An empty table gives files without rows. Other columns aren't written.
+    An empty table gives files without rows. Other columns aren't written. A very long
+    text is one row, encoded whole (about 20 bytes of memory a byte of text).
     """
     # The place in the input deals an id that many rows share out over several ranges.
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())

@@ -240,7 +240,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", drop_text: bool
 
     NULL, empty and wordless texts get the score of the bias. A word counts once
     a text, so repeated passages change nothing. Columns of these names are
-    replaced; others stay, and so do repeated rows.
+    replaced; others stay, and so do repeated rows. A very long text is scored whole, a step
+    of its own; an empty table gives no rows.
     """
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     scorer = _scorer(model)
