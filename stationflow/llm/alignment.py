@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from stationflow.llm.bpe import byte_symbols
 from stationflow.llm.common import release, steps
-from stationflow.llm.tokens import ChunkTable
+from stationflow.llm.tokens import ChunkTable, byte_symbols
 from stationflow.session import cut_lineage
 
 #: Bytes of text of a chunk (a longer single text makes a chunk of its own).

@@ -26,21 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from stationflow.llm.common import map_texts
-from stationflow.llm.tokens import BEYOND_LATIN, SPLIT, TOKEN_STEP, TextEncoder, encoder
+from stationflow.llm.tokens import BEYOND_LATIN, SPLIT, TOKEN_STEP, TextEncoder, byte_symbols, encoder
 
 #: Stands for the end of a word in the automaton's alphabet (no byte symbol maps to it).
 END = "\x00"
 NEVER = 1 << 60
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: printable Latin-1 bytes
-    stand for themselves, the others for the code points from 256 on, in order."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class BacktrackingBPE:
     """Exact merges of a BPE vocabulary with a word-end suffix, by token matches."""
 

@@ -3,7 +3,8 @@
 ``TextEncoder`` gives what ``Tokenizer.encode(text, add_special_tokens=False)``
 gives. Where the vocabulary's rules drop white space and never look across it,
 a text is cut at white space, every distinct chunk is encoded once (kept in a
-table of bounded size) and the ids of a step of texts are gathered with numpy.
+table of bounded size) and the ids of a step of texts are gathered with numpy. Chunks
+of plain Latin letters are merged by ranks where the vocabulary allows it, others by the library.
 A vocabulary with other rules is encoded text by text with the library.
 """
 
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from tokenizers import Tokenizer, normalizers
 
 #: The rules of the vocabulary file under which a text may be cut at white space.
@@ -35,6 +37,7 @@ BEYOND_LATIN = regex.compile("[^\\x00-\\u02ff]")
 #: Put between chunks that one call encodes (it is beyond Latin letters here, so chunks that hold it go alone), and how many those are.
 BORDER = "\x00"
 AT_ONCE = 100
+RANKED_AT_ONCE = 10_000
 WHITE = regex.compile("\\p{White_Space}+")
 
 Words = Callable[[list[str]], list[list[int]]]
@@ -145,6 +148,46 @@ class ChunkTable:
         return ids, after[ends[1:]] - after[ends[:-1]]
 
 
+#: In the texts that are merged by ranks: ends each word, and stands between chunks (neither is in a plain chunk).
+WORD_END, CHUNK_END = "\x00", "\n"
+PIECES = regex.compile(SPLIT.replace("\\s", "\\p{White_Space}"))
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte: printable Latin-1 bytes
+    stand for themselves, the others for the code points from 256 on, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+def ranks_of_words(spec: dict) -> tiktoken.Encoding | None:
+    """A faster merger for a vocabulary with word ends whose ids follow its merges; None for any other.
+
+    A word is its bytes and ``WORD_END``. Tokens that end a word end with that byte, so the
+    first merge of a word is that of its last byte, as in the library. Then the adjacent
+    pair whose joint bytes have the lowest id is merged; the library merges the pair that stands first in
+    the list, which is the same where the list is in id order and no token is made by two merges."""
+    model = spec["model"]
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    vocab, symbols = model["vocab"], byte_symbols()
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    single = [vocab.get(s, -1) for s in symbols] + [vocab.get(s + suffix, -1) for s in symbols]
+    if min(single) < 0 or made != sorted(set(made)) or made[0] < max(single):
+        return None
+    byte, used = {s: i for i, s in enumerate(symbols)}, {*made, *single}
+    ranks = {}
+    for token, i in vocab.items():
+        if i in used:
+            ends = token.endswith(suffix)
+            ranks[bytes(byte[c] for c in (token[: -len(suffix)] if ends else token)) + WORD_END.encode() * ends] = i
+    if len(ranks) != len(used):
+        return None
+    return tiktoken.Encoding("words", pat_str=f"[^{WORD_END}{CHUNK_END}]+{WORD_END}|{CHUNK_END}", mergeable_ranks=ranks, special_tokens={})
+
+
 class TextEncoder(ChunkTable):
     """Ids of texts; ``words`` may replace the library for the chunks it is given."""
 
@@ -163,6 +206,7 @@ class TextEncoder(ChunkTable):
         self.normalizer = self.library.normalizer
         self.border = self.library_ids([BORDER])[0]
         self.own = words is None
+        self.ranks = ranks_of_words(spec) if self.own and self.by_chunks else None
         super().__init__(self.library_ids if words is None else words(self))
 
     def library_ids(self, texts: list[str]) -> list[list[int]]:
@@ -180,6 +224,8 @@ class TextEncoder(ChunkTable):
             rest = iter(np.split(plain_ids, np.cumsum(plain)[:-1]))
             every = [parts[i] if i in parts else next(rest) for i in range(len(chunks))]
             return np.concatenate([np.zeros(0, np.int32), *every]), np.array([len(x) for x in every], np.int64)
+        if self.ranks is not None:
+            return self._by_ranks(chunks)
         joined = [f" {BORDER} ".join(chunks[i : i + AT_ONCE]) for i in range(0, len(chunks), AT_ONCE)]
         found: list[int] = []
         self.library.normalizer = normalizers.Sequence([])  # it would leave these chunks as they are
@@ -194,6 +240,24 @@ class TextEncoder(ChunkTable):
         borders = np.flatnonzero(ids == self.border[0])
         return np.delete(ids, borders), np.diff(np.concatenate([[-1], borders])) - 1
 
+    def _by_ranks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain lowered chunks: cut into words by the file's rule, which are merged by ranks; a long chunk goes through the library."""
+        long = {i for i, c in enumerate(chunks) if len(c) > LONGEST_KEPT}
+        found: list[int] = []
+        for i in range(0, len(chunks), RANKED_AT_ONCE):
+            part = [c if j not in long else "" for j, c in enumerate(chunks[i : i + RANKED_AT_ONCE], i)] if long else chunks[i : i + RANKED_AT_ONCE]
+            found += self.ranks.encode_ordinary(PIECES.sub("\\g<0>" + WORD_END, CHUNK_END.join(part)) + CHUNK_END)
+        ids = np.array(found, np.int32)
+        border = self.ranks.encode_ordinary(CHUNK_END)[0]
+        ends = np.flatnonzero(ids == border)
+        ids, lengths = np.delete(ids, ends), np.diff(np.concatenate([[-1], ends])) - 1
+        if long:
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for i in long:
+                parts[i] = np.array(self.library_ids([chunks[i]])[0], np.int32)
+            ids, lengths = np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(x) for x in parts], np.int64)
+        return ids, lengths
+
     def _keys(self, chunks: list[str], texts: pa.Array) -> list[str]:
         """The chunks, lowered where that can't change their ids."""
         odd = "[^\\x{1}-\\x{2ff}]" + (f"|{self.names}" if self.names else "")
