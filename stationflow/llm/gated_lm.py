@@ -42,7 +42,7 @@ CHUNK_BYTES = 32_000_000
 HEAD = 1_024
 EMBEDDING = 16
 STATE = 16
-CLASSES = 32
+CLASSES = 24
 #: Each training document is seen once, in one of these rounds.
 RATES = (0.02, 0.012, 0.006, 0.002)
 #: Lanes and steps of a training window, and of a scoring window.
@@ -221,12 +221,11 @@ class Network:
         g["recurrent"] = befores.reshape(-1, size).T @ d_owns.reshape(-1, 3 * size)
         flat = d_gates.reshape(-1, 3 * size)
         g["bias"] = flat.sum(0)
-        # Equal codes' gradients are added up before they meet the input weights.
-        present, number = np.unique(codes.ravel(), return_inverse=True)
-        at = number[:, None] * np.int64(3 * size) + np.arange(3 * size)
-        per_code = np.bincount(at.ravel(), flat.ravel(), len(present) * 3 * size).reshape(len(present), -1).astype(flat.dtype)
-        g["input"] = p["embedding"][present].T @ per_code
-        g["embedding"][present] = per_code @ p["input"].T
+        ids = codes.ravel()
+        g["input"] = p["embedding"][ids].T @ flat
+        at = ids[:, None] * EMBEDDING + np.arange(EMBEDDING)
+        of_token = flat @ p["input"].T
+        g["embedding"] = np.bincount(at.ravel(), of_token.ravel(), p["embedding"].size).reshape(-1, EMBEDDING).astype(flat.dtype)
         return g, made[-1], loss
 
 
