@@ -27,7 +27,7 @@ from tokenizers import Tokenizer, normalizers
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Chunks kept; a full table is started anew, so memory stays bounded whatever the corpus holds.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 200_000
 #: Bytes of text that one step of a token operator works on.
 TOKEN_STEP = 4_000_000
 #: After a chunk longer than this the table is started anew.
