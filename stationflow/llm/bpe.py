@@ -220,8 +220,11 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", digests_on
     NULL and empty texts have no ids and decode to the empty text. Rows are
     independent, so ties and repeated rows just repeat. Columns of these names
     are replaced; others stay. A very long text is encoded whole, its digests piece by
-    piece; an empty table gives no rows.
+    piece; an empty table gives no rows. A vocabulary file that names a decoder is refused.
     """
+    with open(path, encoding="utf-8") as f:
+        if json.load(f).get("decoder") is not None:
+            raise ValueError("the offset table joins tokens with a blank; this vocabulary's decoder does something else")
     numbers = 1 << 17
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if not digests_only:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -151,3 +152,22 @@ def test_the_query_packs_under_three_limits(spark):
     assert max(r["segments"] for r in of) == PACKING["max_segments"] and max(r["loss"] for r in of) == PACKING["max_loss"]
     by_doc = pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"), F.sum("loss_tokens").alias("loss")).collect()
     assert all(r["n"] == r["doc_tokens"] and r["loss"] == -(-r["doc_tokens"] // 3) for r in by_doc)
+
+
+def test_a_vocabulary_with_a_decoder_is_refused(none):
+    from stationflow.llm.queries import BYTE_VOCABULARY
+
+    with pytest.raises(ValueError, match="decoder"):
+        bpe.encode_decode(none, BYTE_VOCABULARY)
+
+
+def test_chunks_merged_by_ranks_have_the_librarys_ids():
+    texts = [r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["text"]).to_pylist()]
+    texts += [" ".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}2 {chr(c)}'s{chr(c)}'LL{chr(c)}" for c in range(s, s + 256)) for s in range(0, 0x3000, 256)]
+    texts += ["x" * 7_000 + " yes", "é" * 6_000, "don't DON'T it'S 'tis rock'n'roll 12345 a1b2", "<|endoftext|> a<|startoftext|>b", "a\x00b \x00"]
+    ours = tokens.TextEncoder(PATH)
+    assert ours.ranks is not None
+    ids, lengths = ours.encode(pa.array(texts))
+    got = np.split(ids, np.cumsum(lengths)[:-1])
+    for text, own, want in zip(texts, got, ours.library_ids(texts), strict=True):
+        assert own.tolist() == want, text[:80]
