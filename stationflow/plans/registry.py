@@ -586,9 +586,7 @@ _PLAN_SQL = (
     _WITH.replace("WITH m AS", "WITH RECURSIVE m AS")
     + """
 , features AS (
-  SELECT s.*, CAST(CAPACITY AS DOUBLE) AS cap, coalesce(m2.POST_CODE, '') || '/'
-           || coalesce(CAST(CAST(floor(s.LAT / __CELL__e0) AS BIGINT) AS VARCHAR), 'none') || '/'
-           || coalesce(CAST(CAST(floor(s.LON / __CELL__e0) AS BIGINT) AS VARCHAR), 'none') AS ZONE,
+  SELECT s.*, CAST(CAPACITY AS DOUBLE) AS cap, coalesce(m2.POST_CODE, '') AS ZONE,
          round_even(CAPACITY * 0.45e0 - NUM_BIKES_AVAILABLE, 0) AS NEED
   FROM state s LEFT JOIN (SELECT STATION_ID AS id2, POST_CODE FROM m) m2 ON s.STATION_ID = m2.id2),
 cand AS (SELECT * FROM features WHERE OCCUPATION_RATIO > 0e0 OR OCCUPATION_RATIO < 0.1e0),
@@ -634,13 +632,9 @@ applied AS (
 """
 )
 
-# A truck's route stays in one zone and one cell of so many degrees: a group is what one truck serves, however many zones there are.
-ROUTE_CELL_DEG = 0.05
-_PLAN_SQL = _PLAN_SQL.replace("__CELL__", str(ROUTE_CELL_DEG))
-
 
 def _routes(features: DataFrame) -> DataFrame:
-    return balance.plan_routes(features, "POST_CODE", start="max_surplus", cell_deg=ROUTE_CELL_DEG)
+    return balance.plan_routes(features, "POST_CODE", start="max_surplus")
 
 
 _AFTER_SQL = "CASE WHEN cap <> 0 THEN CAST(NUM_BIKES_AVAILABLE AS DOUBLE) / cap END"
@@ -655,7 +649,7 @@ def _planner_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(features, legs) from the largest surplus of each group; the walk is stored once."""
+    """(features, legs) from the largest surplus of each zone; the walk is stored once."""
     f = _planner_input(spark, sf)
     return f, cut_lineage(_routes(f), "legs")
 

@@ -162,3 +162,34 @@ def test_groups_stay_small_where_a_zone_is_large(spark):
     sizes = legs.groupBy("ZONE").count().agg({"count": "max"}).first()[0]
     assert sizes <= 30 and legs.count() > 1000
     assert legs.groupBy("FROM_ID").count().where("count > 1").isEmpty()
+
+
+def zone_tables(folder, n=24):
+    """``n`` stations of one zone, spread over several cells of 0.05 degrees, and a poll of each."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS s_suppkey, 'S' || i AS s_name, 7 AS s_nationkey, 0e0 AS s_acctbal FROM range({n}) t(i)) TO '{folder}/supplier.parquet'")
+    con.execute(
+        f"COPY (SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) SECOND AS ts, CAST(i AS BIGINT) AS user_id, 'view' AS event_type, "
+        f"CAST(i * 7 % 13 AS DOUBLE) AS value, '{{\"k\": ' || (i * 5 % 23) || '}}' AS props FROM range({n}) t(i)) TO '{folder}/events.parquet'"
+    )
+    return con
+
+
+@pytest.mark.parametrize("key", ["plan_routes", "apply_plan", "route_legs", "route_text", "plan_entropy_report", "plan_histograms"])
+def test_a_route_crosses_its_whole_zone(spark, tmp_dir, key):
+    # One zone is one route, however many grid cells its stations lie in.
+    from oracle import compare
+
+    con = zone_tables(tmp_dir)
+    for t in ("supplier", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_dir}/{t}.parquet')")
+    assert "LAT /" not in E.oracle_sql()[key]
+    got = E.queries()[key](spark, tmp_dir).toPandas()
+    ok, msg = compare(got, con.execute(E.oracle_sql()[key]).df())
+    assert ok, msg
+    if key in ("plan_routes", "route_legs"):
+        assert set(got.ZONE) == {"00007"} and len(got) == 23
+    if key == "route_text":
+        assert len(got) == 1 and len(got.TEXT[0].splitlines()) == 24
