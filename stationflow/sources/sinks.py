@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# Objects of one snapshot file.
-SNAPSHOT_OBJECTS = 5_000
+# Objects of one snapshot file: some 16 MB, which a task reads and parses as a whole.
+SNAPSHOT_OBJECTS = 50_000
 
 
 def append_staging(df: DataFrame, path: str) -> None:

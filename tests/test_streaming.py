@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fixtures import FIRST, MASTER, SECOND, T0, poll, write_array
 from stationflow.operators import status
-from stationflow.sources import readers
+from stationflow.sources import readers, sinks
 from stationflow.streaming.commits import CommitLog
 from stationflow.streaming.state import StateStore, refresh_state, start_state_refresh
 
@@ -247,3 +247,47 @@ def test_same_report_time_later_file_wins(spark, tmp_dir):
     q.awaitTermination()
     row = StateStore(spark, os.path.join(root, "state")).read().collect()[0]
     assert row.NUM_BIKES_AVAILABLE == 8 and len(row) == 19
+
+
+def _polls(spark, ids, at, bikes):
+    rows = [(i, bikes, 3, at + i % 2) for i in ids]
+    return spark.createDataFrame(rows, "STATION_ID long, NUM_BIKES_AVAILABLE long, NUM_DOCKS_AVAILABLE long, LAST_REPORTED long")
+
+
+@pytest.mark.parametrize("order", ["arrival", "event_time"])
+def test_a_small_batch_does_not_rewrite_a_large_state(spark, tmp_dir, order):
+    m = _master(spark, tmp_dir)
+    store = StateStore(spark, os.path.join(tmp_dir, "state"), keep=2)
+    want = {}
+    batches = [(range(1000), T0, 1)] + [(range(7 * i, 7 * i + 5), T0 + (100 if i % 3 else -100), 10 + i) for i in range(9)] + [([], T0, 0), ([None, 8], T0 + 500, 40)]
+    for n, (ids, at, bikes) in enumerate(batches):
+        refresh_state(_polls(spark, [i for i in ids if i is not None], at, bikes), n, store, m, order_by=("LAST_REPORTED",), order=order)
+        for i in ids:
+            if i is not None and (order == "arrival" or i not in want or at + i % 2 >= want[i][0]):
+                want[i] = (at + i % 2, bikes)
+        if n > 1:  # the next batch is taken to be as large as the last one
+            assert spark.read.parquet(f"{tmp_dir}/state/{store.latest().path}").count() <= 100  # it had written all 1,000 stations
+    got = {r.STATION_ID: (r.LAST_REPORTED, r.NUM_BIKES_AVAILABLE) for r in store.read().collect()}
+    assert got == want and store.read().count() == 1000 and len(store.read().columns) == 19
+    assert store.read(version=len(batches) - 2).where("NUM_BIKES_AVAILABLE = 40").isEmpty()
+    assert len(store.log._names("data")) <= 8  # parts that no kept version holds are gone
+    # Another rule folds what was written by the old one.
+    refresh_state(_polls(spark, [1], T0 - 900, 77), 99, store, m, order_by=("LAST_REPORTED",), order="event_time" if order == "arrival" else "arrival")
+    now = {r.STATION_ID: (r.LAST_REPORTED, r.NUM_BIKES_AVAILABLE) for r in store.read().collect()}
+    assert now == want | ({} if order == "arrival" else {1: (T0 - 899, 77)}) and store.latest().older == []
+
+
+def test_a_refresh_sends_no_master_through_the_driver(spark, tmp_dir, monkeypatch):
+    plans, write = [], StateStore.write
+    monkeypatch.setattr(StateStore, "write", lambda self, df, *a, **kw: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df, *a, **kw))[1])
+    store = StateStore(spark, os.path.join(tmp_dir, "state"))
+    for n in range(2):
+        refresh_state(_polls(spark, range(20), T0, n), n, store, _master(spark, tmp_dir), order_by=("LAST_REPORTED",))
+    assert len(plans) == 2 and all("Broadcast" not in p and "SortMergeJoin" in p for p in plans)
+
+
+def test_a_snapshot_of_many_polls_is_few_files(spark, tmp_dir):
+    # Batches are so many files, so files of a few thousand polls make a batch of every few thousand polls.
+    sinks.write_snapshot_json(spark.range(120_000).coalesce(1).selectExpr("id as station_id"), tmp_dir, "20240101_100000")
+    files = [f for _, _, names in os.walk(tmp_dir) for f in names if f.startswith("part-")]
+    assert len(files) == 3 and readers.read_status_json(spark, tmp_dir).select("STATION_ID").distinct().count() == 120_000
