@@ -36,8 +36,9 @@ _ALL_NEIGHBOURS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 # push a qualifying pair two cells apart (quotients stay below ~1e9, whose
 # rounding error is ~1e-7).
 _SLACK = 1.0 + 1e-6
-# Points of one cell that one join key holds at most (on average, by a hash of the id).
-SHARD_ROWS = 2_048
+# Points of one cell that one join key holds at most (on average, by a hash of the id), so a probe's row
+# never stands for more pairs.
+SHARD_ROWS = 512
 
 
 def _points(stations: DataFrame, id_col: str, lat_col: str, lon_col: str) -> DataFrame:
@@ -63,6 +64,15 @@ def _shifted(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     )
 
 
+def _dealt(points: DataFrame) -> DataFrame:
+    """Points dealt evenly over as many tasks as a shuffle has partitions, whichever side of the join streams.
+
+    The pairs are many times the points, so tasks by the bytes of the points (one input file, or what
+    AQE makes one partition of) would be far too few; a number that is asked for is kept.
+    """
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id")
+
+
 def _meet(points: DataFrame, probes: DataFrame, cell: list[str], shard_rows: int | None = None) -> DataFrame:
     """``points`` joined with the ``probes`` of their cell; crowded cells in shards.
 
@@ -137,7 +147,7 @@ def pairs_within(
     """
     if max_distance_m <= 0:
         raise ValueError("max_distance_m must be positive")
-    points = _points(stations, id_col, lat_col, lon_col)
+    points = _dealt(_points(stations, id_col, lat_col, lon_col))
     near, probes = _bands(points, min(max_distance_m / radius_m, math.pi))
     dist = C.geo_distance_m("a_lon", "a_lat", "b_lon", "b_lat", radius_m)
     return (
@@ -182,7 +192,7 @@ def update_pairs(
         kept = kept.join(ids.withColumnRenamed("_id", end), end, "left_anti")
     moved = changed.where(F.col("_at").isNotNull()).select("_id", "_at._lat", "_at._lon")
     arc = min(max_distance_m / radius_m, math.pi)
-    near, probes = _bands(new, arc, moved)
+    near, probes = _bands(_dealt(new), arc, _dealt(moved))
     dist = C.geo_distance_m("a_lon", "a_lat", "b_lon", "b_lat", radius_m)
     found = _meet(near, probes, ["_band", "_col"], shard_rows).where(F.col("a_id") != F.col("b_id"))
     found = found.select(F.least("a_id", "b_id").alias("SRC_STATION_ID"), F.greatest("a_id", "b_id").alias("TGT_STATION_ID"), dist.alias("DISTANCE"))
@@ -207,7 +217,7 @@ def degree_pairs_within(
     if max_degrees <= 0:
         raise ValueError("max_degrees must be positive")
     step = max_degrees * _SLACK
-    cells = _cells(_points(stations, id_col, lat_col, lon_col), step, step)
+    cells = _cells(_dealt(_points(stations, id_col, lat_col, lon_col)), step, step)
     probes = _shifted(cells, _HALF_NEIGHBOURS)
     own = ((F.col("_ny") == F.col("_cy")) & (F.col("_nx") == F.col("_cx"))).alias("_own")
     probes = _side(probes.withColumn("_own", own), "b", "_own", "_ny", "_nx").withColumnsRenamed({"_ny": "_cy", "_nx": "_cx"})

@@ -63,8 +63,9 @@ def _cube(function: str) -> str:
     return ", ".join(f"floor({at} / {side}) AS {name}" for name, at in axes.items())
 
 
-def _pairs(prefix: str, name: str) -> str:
-    points = f"SELECT STATION_ID AS id, cast(LAT AS DOUBLE) AS lat, cast(LON AS DOUBLE) AS lon FROM {prefix}stations WHERE STATION_ID IS NOT NULL AND LAT IS NOT NULL AND LON IS NOT NULL"
+def _pairs(prefix: str, name: str, tasks: int) -> str:
+    # The points are dealt evenly over the tasks, because the pairs are many times the points.
+    points = f"SELECT /*+ REPARTITION({tasks}, id) */ * FROM (SELECT STATION_ID AS id, cast(LAT AS DOUBLE) AS lat, cast(LON AS DOUBLE) AS lon FROM {prefix}stations WHERE STATION_ID IS NOT NULL AND LAT IS NOT NULL AND LON IS NOT NULL)"
     placed = f"SELECT id, lat, lon, {_cube(name)} FROM ({points})"
     # A probe goes to the 27 cells around it.
     probes = f"SELECT id, lat, lon, y, z, explode(sequence(x - 1, x + 1)) AS x FROM ({placed})"
@@ -83,7 +84,7 @@ def register_functions(spark: SparkSession, prefix: str = "") -> list[str]:
     pairs, broken = f"{prefix}station_pairs_within", f"{prefix}broken_docks_over"
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {pairs}(radius DOUBLE) RETURNS TABLE(SRC_STATION_ID BIGINT, TGT_STATION_ID BIGINT, DISTANCE DOUBLE) "
-        f"RETURN {_pairs(prefix, pairs)}"
+        f"RETURN {_pairs(prefix, pairs, int(spark.conf.get('spark.sql.shuffle.partitions')))}"
     )
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {broken}(least BIGINT DEFAULT 1) RETURNS TABLE(STATION_ID BIGINT, STATION_NAME STRING, BROKEN_DOCKS BIGINT) "

@@ -163,3 +163,32 @@ def test_nearest_with_a_cluster_and_an_outlier(spark, monkeypatch):
     for a in pts:
         best = min((math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2), b[0]) for b in pts if b[0] != a[0])
         assert got[a[0]] == best[1]
+
+
+@pytest.mark.parametrize("search", ["pairs_within", "degree_pairs_within", "update_pairs", "sql"])
+def test_the_pairs_of_one_small_file_are_dealt_over_tasks(spark, tmp_dir, search):
+    # A table of one file with few bytes, and many pairs: no task makes more than a part of them.
+    from pyspark.sql import functions as F
+    from stationflow.plans.sql_functions import register_functions
+
+    rnd = random.Random(12)
+    pts = [(i, 41.4 + rnd.random() * 0.005, 2.1 + rnd.random() * 0.005) for i in range(400)]
+    frame(spark, pts).coalesce(1).write.parquet(f"{tmp_dir}/stations")
+    stations = spark.read.parquet(f"{tmp_dir}/stations")
+    if search == "update_pairs":
+        none = geo.pairs_within(stations.where("false"), 1500.0)
+        got = geo.update_pairs(none, stations.where("false"), stations, 1500.0)
+        assert got.count() == 400 * 399 // 2
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+        return
+    if search == "sql":
+        stations.createOrReplaceTempView("dealt_stations")
+        stations.selectExpr("STATION_ID", "'' AS STATION_NAME", "0L AS BROKEN_DOCKS").createOrReplaceTempView("dealt_broken_docks")
+        register_functions(spark, "dealt_")
+        got = spark.sql("SELECT * FROM dealt_station_pairs_within(1500)")
+    else:
+        got = getattr(geo, search)(stations, 1500.0 if search == "pairs_within" else 0.01)
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 400 * 399 // (1 if search == "degree_pairs_within" else 2)
+    assert max(shares) <= sum(shares) / 3
