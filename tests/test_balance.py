@@ -1,5 +1,7 @@
 """Route planner: a hand-computed walk, the seeded start, invariants, zone splitting."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -193,3 +195,34 @@ def test_a_route_crosses_its_whole_zone(spark, tmp_dir, key):
         assert set(got.ZONE) == {"00007"} and len(got) == 23
     if key == "route_text":
         assert len(got) == 1 and len(got.TEXT[0].splitlines()) == 24
+
+
+def plain_walk(n=24):
+    """The reference's loop over the stations of ``zone_tables``: legs, and (bikes, docks) per station before and after."""
+    at = {i: ((413500 + i * 37 % 1000) / 1e4, (21000 + i * 91 % 1000) / 1e4) for i in range(n)}
+    cap = {i: 20 + i for i in range(n)}
+    before = {i: (i * 5 % 23, i * 7 % 13) for i in range(n)}
+    need = {i: round(cap[i] * 0.45 - before[i][0]) for i in range(n)}
+    here, load, legs, after = min(need, key=lambda i: (min(need[i], 0), i)), 0, [], dict(before)
+    left = set(at) - {here}
+    while left:
+        bikes, docks = before[here]
+        amount = min(20 - load, -need[here], bikes) if need[here] < 0 else round(min(load, need[here], docks) / 1.7)
+        moved = amount if need[here] < 0 else -amount
+        load += moved
+        after[here] = (bikes - moved, docks + moved)
+        there = min(left, key=lambda i: (math.dist(at[i], at[here]), i))
+        legs.append((here, there, f"{'Picked up' if need[here] < 0 else 'Dropped off'} {amount} bikes"))
+        left.remove(there)
+        here = there
+    return legs, cap, before, after
+
+
+def planned(spark, folder, key):
+    zone_tables(folder)
+    return E.queries()[key](spark, folder)
+
+
+def test_apply_plan_serves_the_whole_zone(spark, tmp_dir):
+    got = {r.STATION_ID: (r.NUM_BIKES_AVAILABLE, r.NUM_DOCKS_AVAILABLE) for r in planned(spark, tmp_dir, "apply_plan").collect()}
+    assert got == plain_walk()[3]
