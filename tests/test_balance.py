@@ -226,3 +226,8 @@ def planned(spark, folder, key):
 def test_apply_plan_serves_the_whole_zone(spark, tmp_dir):
     got = {r.STATION_ID: (r.NUM_BIKES_AVAILABLE, r.NUM_DOCKS_AVAILABLE) for r in planned(spark, tmp_dir, "apply_plan").collect()}
     assert got == plain_walk()[3]
+
+
+def test_route_legs_are_one_chain_through_the_zone(spark, tmp_dir):
+    got = planned(spark, tmp_dir, "route_legs").orderBy("ZONE", "LEG_NO").collect()
+    assert [(r.FROM_ID, r.TO_ID, r.ACTION) for r in got] == plain_walk()[0]
