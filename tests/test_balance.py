@@ -231,3 +231,8 @@ def test_apply_plan_serves_the_whole_zone(spark, tmp_dir):
 def test_route_legs_are_one_chain_through_the_zone(spark, tmp_dir):
     got = planned(spark, tmp_dir, "route_legs").orderBy("ZONE", "LEG_NO").collect()
     assert [(r.FROM_ID, r.TO_ID, r.ACTION) for r in got] == plain_walk()[0]
+
+
+def test_route_text_tells_every_leg_of_the_zone(spark, tmp_dir):
+    lines = [f"Bus {action}, then moved from Station {a} to Station {b}." for a, b, action in plain_walk()[0]]
+    assert [r.TEXT for r in planned(spark, tmp_dir, "route_text").collect()] == ["\n".join([balance.PLAN_HEADER, *lines, ""])]
