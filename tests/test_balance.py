@@ -236,3 +236,15 @@ def test_route_legs_are_one_chain_through_the_zone(spark, tmp_dir):
 def test_route_text_tells_every_leg_of_the_zone(spark, tmp_dir):
     lines = [f"Bus {action}, then moved from Station {a} to Station {b}." for a, b, action in plain_walk()[0]]
     assert [r.TEXT for r in planned(spark, tmp_dir, "route_text").collect()] == ["\n".join([balance.PLAN_HEADER, *lines, ""])]
+
+
+def test_plan_entropy_report_sums_over_the_whole_zone(spark, tmp_dir):
+    def entropy(counts):
+        ratios = [counts[i][0] / cap[i] for i in cap]
+        return sum(-r * math.log2(r) - (1 - r) * math.log2(1 - r) for r in ratios if 0 < r < 1)
+
+    _, cap, before, after = plain_walk()
+    got = planned(spark, tmp_dir, "plan_entropy_report").first()
+    # Ratios before the plan have four decimals.
+    assert got.INITIAL_ENTROPY == pytest.approx(entropy(before), abs=0.01)
+    assert got.FINAL_ENTROPY == pytest.approx(entropy(after), abs=1e-4)
