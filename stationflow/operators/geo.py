@@ -1,11 +1,14 @@
 """Distances between stations.
 
-No operator here forms all pairs. Pair searches run as equi-joins on grid
+Pair searches run as equi-joins on grid
 cells sized from the search radius, so the work grows with the number of
 pairs that are actually close, not with n^2. A cell that holds many points is
 split into shards: its points are dealt out, and the probes of the cell go to
 every shard, so no task holds a whole dense cell.
 
+* ``all_pairs`` -- the distance of every unordered pair, however far apart: the
+  only operator here that forms all of them, because they are its result.
+  Stations are dealt into shards, and each two shards meet under a key of their own.
 * ``pairs_within`` -- every unordered pair within ``max_distance_m`` metres
   (great-circle). Latitude bands as high as the radius; each band has columns
   of its own, wide enough for two points that close at its latitudes, and they
@@ -163,6 +166,47 @@ def pairs_within(
     )
 
 
+def all_pairs(
+    stations: DataFrame,
+    id_col: str = "STATION_ID",
+    lat_col: str = "LAT",
+    lon_col: str = "LON",
+    radius_m: float = C.EARTH_RADIUS_M,
+    shard_rows: int | None = None,
+) -> DataFrame:
+    """Every unordered station pair (SRC < TGT) with its distance in metres.
+
+    A pair with a coordinate that is NULL or not finite has a NULL distance; rows of one id aren't
+    paired with each other, and a NULL id has no pairs. A station goes to as many keys as there are
+    shards, and a key holds two shards, so the rows that are shuffled are n times the shards and a
+    key stands for ``shard_rows``^2 pairs.
+    """
+    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < F.lit(math.inf), F.col(c).cast("double"))
+    points = stations.select(F.col(id_col).alias("_id"), finite(lat_col).alias("_lat"), finite(lon_col).alias("_lon")).where(F.col("_id").isNotNull())
+    tasks = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several keys a task even of a small table, so that tasks are alike. The count stays in the plan.
+    least = math.ceil(4 * math.sqrt(tasks))
+    count = points.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows or SHARD_ROWS)), F.lit(least)).cast("long")).scalar()
+    placed = points.withColumn("_shards", count).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_shards")))
+    up = F.explode(F.sequence(F.col("_own"), F.col("_shards") - 1))
+    down = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_own")))
+    left = _side(placed.select("*", F.col("_own").alias("_i"), up.alias("_j")), "a", "_i", "_j")
+    right = _side(placed.select("*", down.alias("_i"), F.col("_own").alias("_j")), "b", "_i", "_j")
+    # A number that is asked for is kept: the bytes of the points say nothing about the pairs.
+    left, right = (df.repartition(tasks, "_i", "_j") for df in (left, right))
+    dist = C.geo_distance_m("a_lon", "a_lat", "b_lon", "b_lat", radius_m)
+    known = F.col("a_lat").isNotNull() & F.col("a_lon").isNotNull() & F.col("b_lat").isNotNull() & F.col("b_lon").isNotNull()
+    return (
+        left.join(right.hint("merge"), ["_i", "_j"])
+        .where(((F.col("_i") < F.col("_j")) & (F.col("a_id") != F.col("b_id"))) | (F.col("a_id") < F.col("b_id")))
+        .select(
+            F.least("a_id", "b_id").alias("SRC_STATION_ID"),
+            F.greatest("a_id", "b_id").alias("TGT_STATION_ID"),
+            F.when(known, dist).alias("DISTANCE"),
+        )
+    )
+
+
 def update_pairs(
     pairs: DataFrame,
     before: DataFrame,

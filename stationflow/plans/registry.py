@@ -485,6 +485,16 @@ WHERE DISTANCE <= {PAIR_RADIUS_M}e0
 )
 
 
+# Every pair, as the reference's view has them.
+_ALL_PAIRS_SQL = (
+    _POINTS_SQL
+    + f"""
+SELECT a.id AS SRC_STATION_ID, b.id AS TGT_STATION_ID, round({_HAVERSINE_SQL}, 3) AS DISTANCE
+FROM p a JOIN p b ON a.id < b.id
+"""
+)
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return geo.pairs_within(_master(spark, sf), PAIR_RADIUS_M)
 
@@ -493,9 +503,10 @@ def _rounded_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("DISTANCE", F.round("DISTANCE", 3))
 
 
-@query("station_pairs", _PAIRS_SQL)
+@query("station_pairs", _ALL_PAIRS_SQL)
 def q_station_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded_pairs(_pairs(spark, sf))
+    """The distance of every station pair (D3)."""
+    return _rounded_pairs(geo.all_pairs(_master(spark, sf)))
 
 
 @query("pairs_upkeep", _PAIRS_SQL)

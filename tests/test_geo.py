@@ -192,3 +192,50 @@ def test_the_pairs_of_one_small_file_are_dealt_over_tasks(spark, tmp_dir, search
     shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == 400 * 399 // (1 if search == "degree_pairs_within" else 2)
     assert max(shares) <= sum(shares) / 3
+
+
+@pytest.mark.parametrize("shard_rows", [None, 16])
+def test_all_pairs_are_every_pair_at_any_distance(spark, shard_rows):
+    pts = points()  # one station is thousands of kilometres from the others
+    got = {(r.SRC_STATION_ID, r.TGT_STATION_ID): r.DISTANCE for r in geo.all_pairs(frame(spark, pts), shard_rows=shard_rows).collect()}
+    assert len(got) == len(pts) * (len(pts) - 1) // 2
+    for a, b in itertools.combinations(pts, 2):
+        assert math.isclose(got[min(a[0], b[0]), max(a[0], b[0])], hav(a[1], a[2], b[1], b[2]), rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_all_pairs_of_odd_rows(spark):
+    nan = float("nan")
+    pts = [(1, 41.0, 2.0), (1, 41.0, 2.0), (2, 42.0, 2.0), (3, None, 2.0), (4, 41.0, None), (None, 41.0, 2.0), (5, nan, 2.0), (6, 41.0, math.inf)]
+    rows = [tuple(r) for r in geo.all_pairs(frame(spark, pts)).collect()]
+    with_id = [p[0] for p in pts if p[0] is not None]
+    assert sorted(r[:2] for r in rows) == sorted((a, b) for a in with_id for b in with_id if a < b)
+    known = [r for r in rows if r[2] is not None]
+    assert [r[:2] for r in known] == [(1, 2), (1, 2)]
+    assert all(math.isclose(r[2], hav(41.0, 2.0, 42.0, 2.0), rel_tol=1e-9) for r in known)
+    assert geo.all_pairs(frame(spark, pts[:2])).count() == 0 == geo.all_pairs(frame(spark, [])).count()
+
+
+def test_station_pairs_has_every_pair_of_the_master(spark, tmp_dir):
+    import __spark_entry__ as E
+    import duckdb
+    from oracle import compare
+
+    n = 40
+    # Keys 0-39: latitudes 37e-4 degrees apart, so most pairs are farther apart than 1,500 m.
+    spark.sql(f"SELECT id AS s_suppkey, concat('S', id) AS s_name, CAST(id % 25 AS INT) AS s_nationkey FROM range({n})").write.parquet(f"{tmp_dir}/supplier.parquet")
+    got = E.queries()["station_pairs"](spark, tmp_dir).toPandas()
+    assert len(got) == n * (n - 1) // 2 and got["DISTANCE"].max() > 10_000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_dir}/supplier.parquet/*.parquet')")
+    ok, msg = compare(got, con.execute(E.oracle_sql()["station_pairs"]).df())
+    assert ok, msg
+
+
+def test_all_pairs_of_one_small_file_are_dealt_over_tasks(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    frame(spark, points(n=400)).coalesce(1).write.parquet(f"{tmp_dir}/stations")
+    got = geo.all_pairs(spark.read.parquet(f"{tmp_dir}/stations"))
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 403 * 402 // 2
+    assert max(shares) <= sum(shares) / 3
