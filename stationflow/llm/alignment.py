@@ -45,6 +45,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LONGEST = 1_000
 #: Texts that can't be cut at each space: without the space some segment is empty, or the model takes a letter for a space.
 UNCUT = "^ |  | $|" + SPACE
+#: How chunks are stored: each is a row group of its own. The writer holds a row group, and the reader all rows of
+#: one at once, so both hold one chunk and not all chunks of a task.
+STORED = {"parquet.block.row.count.limit": "1"}
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
 
 
@@ -327,7 +330,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             names=schema.names,
         )
 
-    return cut_lineage(docs.mapInArrow(run, schema), "aligned")
+    return cut_lineage(docs.mapInArrow(run, schema), "aligned", **STORED)
 
 
 def pair_counts(chunks: DataFrame, n_b: int) -> DataFrame:

@@ -210,6 +210,24 @@ def test_alignment_by_brute_force(spark, odd, none, pair):
     assert long["n_a"] > 30_000 and long["n_links"] >= max(long["n_a"], long["n_b"])
 
 
+def test_alignment_stores_each_chunk_alone(spark, pair):
+    # Writer and reader hold all rows of a row group at once, and a row is a chunk: a task's chunks must not be one group.
+    import pyarrow.parquet as pq
+
+    docs = spark.range(12, numPartitions=1).selectExpr("id", "concat('some words of text ', id) AS text")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a chunk holds rows of one batch
+    try:
+        chunks = alignment._chunks(docs, BYTE_VOCABULARY, PIECE_MODEL)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    stored = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in chunks.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in stored for i in range(m.num_row_groups)]
+    assert chunks.count() > 1 and set(rows) == {1}
+    assert sorted(i for r in chunks.collect() for i in r["id"]) == list(range(12))
+
+
+
 def test_shared_group_links(pair):
     text = "an unusual café, naïve"
     a, b = pair.ids(pa.array([text]))
